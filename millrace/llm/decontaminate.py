@@ -17,7 +17,6 @@ slice by slice.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from millrace.llm.common import hidden, staged
 
@@ -64,17 +63,11 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Dat
             )
 
     schema = StructType(
-        [StructField("item_id", benchmark.schema[id_col].dataType), StructField("words", ArrayType(_binary()))]
+        [StructField("item_id", benchmark.schema[id_col].dataType), StructField("words", ArrayType(BinaryType()))]
     )
     return benchmark.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(work, schema)
 
 
-def _binary():
-    from pyspark.sql.types import BinaryType
-
-    return BinaryType()
-
-
 def _word_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict[bytes, int]:
     """How often each word of the items occurs in all documents; summed before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -193,8 +186,3 @@ def contaminated_spans(
 
         probed = probed.mapInArrow(work, out)
     return probed
-
-
-def items_digest(item_ids: list | None) -> str:
-    """sha256 (lowercase hex) of the item ids sorted as strings and joined by commas."""
-    return hashlib.sha256(",".join(sorted(map(str, item_ids or []))).encode()).hexdigest()

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import read_documents, read_table
+from millrace.llm.decontaminate import contaminated_spans
 from millrace.llm.quality import apply_quality_rules
 from millrace.llm.shards import assign_shards
+from millrace.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,9 +35,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(rows, "doc_id", 40, ("text_crc32",))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows, and the items they come from."""
+    docs = read_documents(spark, sf_dir)
+    spans = contaminated_spans(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    return spans.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the least doc_id of its near-duplicate component."""
+    found = simhash_components(read_documents(spark, sf_dir))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -3,7 +3,8 @@
 The vocabulary's tokenizer normalises, splits into words and encodes each word
 by itself, so a text's ids are its words' ids in order. For texts of Latin
 letters the words are found here by the tokenizer's own split rule and looked
-up; unknown ones are encoded in bulk. Every other text goes to the tokenizer whole.
+up; unknown ones are given to the tokenizer's model. Every other text goes to the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 
-_MEMO = 250_000
+_MEMO = 500_000
+#: The split rule that ``_patterns`` follows, as it stands in the vocabulary file (fixed value).
+_SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters up to here have no combining forms, so normalising leaves them as they are.
 _LAST_LATIN = 0x24F
 
@@ -56,38 +59,24 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         with open(path) as f:
             model = json.load(f)
-        suffix = model["model"].get("end_of_word_suffix")
-        self._ends = np.zeros(max(model["model"]["vocab"].values()) + 1, dtype=bool)
-        for token, k in model["model"]["vocab"].items():
-            self._ends[k] = bool(suffix) and token.endswith(suffix)
-        self._by_word = bool(suffix) and "L" in json.dumps(model["pre_tokenizer"])
+        self._model = self._tokenizer.model
+        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._by_word = bool(model["model"].get("end_of_word_suffix")) and _SPLIT in json.dumps(model)
         self._memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, encoded in a few joined texts; each word ends at the one id that closes a word."""
-        found: dict[str, bytes] = {}
-        lines = [words[k : k + 512] for k in range(0, len(words), 512)]
-        coded = self._tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
-        for line, code in zip(lines, coded):
-            ids = np.array(code.ids, dtype="<u4")
-            cuts = np.flatnonzero(self._ends[ids]) + 1
-            if len(cuts) != len(line):
-                found |= {w: self._whole(w) for w in line}
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(line, (cuts * 4).tolist()):
-                found[w] = raw[at:to]
-                at = to
-        return found
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as the split rule cuts it."""
+        plain = word if word.isascii() and word.isprintable() else self._bytes.pre_tokenize_str(word)[0][0]
+        return np.array([t.id for t in self._model.tokenize(plain)], dtype="<u4").tobytes()
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none)."""
@@ -105,7 +94,7 @@ class WordTokenizer:
                 unknown.update(w for w in set(words) if w not in memo)
                 cut.append(words)
         new = _Words(memo)
-        new.update(self._learn(list(unknown)) if unknown else ())
+        new.update((w, self._word(w)) for w in unknown)
         out = [self._whole(x) if isinstance(x, str) else b"".join(map(new.__getitem__, x)) for x in cut]
         for w in list(new)[: max(0, _MEMO - len(memo))]:
             memo[w] = new[w]
