@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read_documents, read_table
 from millrace.llm.decontaminate import contaminated_spans
+from millrace.llm.packing import pack_documents
 from millrace.llm.quality import apply_quality_rules
 from millrace.llm.shards import assign_shards
 from millrace.llm.simhash import simhash_components
@@ -35,6 +36,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(rows, "doc_id", 40, ("text_crc32",))
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids in sequences of 4096, one row for each piece."""
+    pieces = pack_documents(read_documents(spark, sf_dir), vocabulary())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items they come from."""
     docs = read_documents(spark, sf_dir)
@@ -61,6 +77,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op4_packing": op4_packing,
     "op6_decontamination": op6_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
