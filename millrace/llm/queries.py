@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read_documents, read_table
 from millrace.llm.decontaminate import contaminated_spans
+from millrace.llm.lines import drop_repeated_lines, lines_of
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import apply_quality_rules
 from millrace.llm.shards import assign_shards
@@ -74,12 +75,28 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those removed as later copies, their runs, and a digest of what is left."""
+    found = drop_repeated_lines(read_documents(spark, sf_dir))
+    gone = F.col("removed_lines")
+    runs = F.filter(gone, lambda x, i: (F.get(gone, i - 1) != x - 1) | (i == 0))
+    worded = F.filter(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
+    return found.select(
+        "doc_id",
+        F.coalesce(F.size(worded), F.lit(0)).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"),
+        F.size(runs).cast("long").alias("n_runs"),
+        F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op4_packing": op4_packing,
     "op6_decontamination": op6_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
