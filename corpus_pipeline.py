@@ -1,14 +1,77 @@
-"""The corpus pipeline: five stages from raw documents to packed sequences."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all
+but the last return the columns of ``docs``. ``run`` writes each result to the
+shared folder and reads it again for the next stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import read_table, staged
+from millrace.llm.decontaminate import contaminated_spans
+from millrace.llm.lines import drop_repeated_lines
+from millrace.llm.packing import pack_documents
+from millrace.llm.quality import apply_quality_rules
+from millrace.llm.queries import vocabulary
+from millrace.llm.simhash import simhash_components
+
+
+def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """``docs`` with another text, its length in n_chars, and only the given columns."""
+    new = {"text": F.col(text)} | ({"n_chars": F.char_length(F.col(text)).cast("long")} if "n_chars" in columns else {})
+    return docs.withColumns(new).select(*[f"`{c}`" for c in columns])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: failing lines go, and rejected documents go."""
+    judged = apply_quality_rules(docs).where("quality.kept").withColumn("_clean", F.col("quality.clean_text"))
+    return _with_text(judged, "_clean", docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: later copies of runs of lines go; a document that consisted of them alone goes too."""
+    found = drop_repeated_lines(docs)
+    left = found.where((F.size("removed_lines") == 0) | F.col("clean_text").rlike(r"[^ \t\n\x0B\f\r]"))
+    return _with_text(left, "clean_text", docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each near-duplicate component, the document with the least doc_id stays, once."""
+    kept = simhash_components(docs).select(F.col("component_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that hold a benchmark window go."""
+    spans = contaminated_spans(docs, read_table(spark, sf_dir, "benchmark"))
+    return spans.where(F.size("spans") == 0).select(*[f"`{c}`" for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: token ids in sequences of 4096, one row for each piece of a document."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: XXH64 fingerprints and token ids are beyond SQL; tests compare with a plain Python version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
