@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read_documents, read_table
+from millrace.llm.common import read_documents, read_table, shared_dir
 from millrace.llm.decontaminate import contaminated_spans
+from millrace.llm.licenses import scan_licenses
 from millrace.llm.lines import drop_repeated_lines, lines_of
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import apply_quality_rules
 from millrace.llm.shards import assign_shards
 from millrace.llm.simhash import simhash_components
+from millrace.llm.token_counts import count_tokens, write_token_files
+from millrace.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +41,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(rows, "doc_id", 40, ("text_crc32",))
 
 
+_HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 5"
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels outside the held-out fifth."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = score_toxicity(read_documents(spark, sf_dir), labels, f"{_HELD_OUT} <> 0")
+    return scored.select(
+        "doc_id",
+        F.coalesce(F.expr(f"{_HELD_OUT} = 0"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The path of a public tokenizer's vocabulary file."""
     import public_tokenizers
@@ -68,6 +87,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, its own or inherited.
+
+    Documents stand for files at source/lang/doc_id; those of up to 40 words with
+    a licence statement stand for licence files of their directory.
+    """
+    docs = read_documents(spark, sf_dir, ("doc_id", "text", "lang", "source"))
+    short = (F.size(F.split("text", r"\s+")) <= 40) & F.col("text").rlike("(?i)licen[sc]ed? |rights reserved")
+    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", "lang", name).alias("path")
+    found = scan_licenses(docs.select(path, "text"))
+    doc_id = F.regexp_extract("path", "([0-9-]+)$", 1).cast("long").alias("doc_id")
+    return found.select(doc_id, "path", "license", "similarity", "inherited", "inherited_from")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the least doc_id of its near-duplicate component."""
     found = simhash_components(read_documents(spark, sf_dir))
@@ -75,6 +109,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count, read back from flat token files by its end ids."""
+    folder = f"{shared_dir(spark)}/millrace/token-files-{uuid.uuid4().hex}"
+    end = 49407
+    files = write_token_files(read_documents(spark, sf_dir), folder, vocabulary(), end)
+    counts = count_tokens(files.select("file", "bytes").distinct(), folder, end)
+    return files.join(counts, ["file", "ordinal"], "left").select(F.col("id").alias("doc_id"), "n_tokens")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, those removed as later copies, their runs, and a digest of what is left."""
     found = drop_repeated_lines(read_documents(spark, sf_dir))
@@ -93,9 +136,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }
 
