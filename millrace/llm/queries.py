@@ -16,6 +16,7 @@ from millrace.llm.packing import pack_documents
 from millrace.llm.quality import apply_quality_rules
 from millrace.llm.shards import assign_shards
 from millrace.llm.simhash import simhash_components
+from millrace.llm.substrings import remove_repeats
 from millrace.llm.token_counts import count_tokens, write_token_files
 from millrace.llm.toxicity import score_toxicity
 
@@ -71,6 +72,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes that lie in 50-byte strings of earlier documents, and a digest of the rest."""
+    found = remove_repeats(read_documents(spark, sf_dir))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows, and the items they come from."""
     docs = read_documents(spark, sf_dir)
@@ -138,6 +152,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
