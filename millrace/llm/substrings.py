@@ -77,7 +77,10 @@ def samples(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     h ^= h >> np.uint64(32)
     h |= np.uint64(1)  # the lowest bit is free for a flag
     width = length - _GRAM + 1
-    low = _slide(h, width, np.minimum)  # one for each string start
+    # position in the low bits: a minimum is the leftmost of the least hashes, and says where it is
+    bits = np.uint64(max(1, int(n).bit_length()))
+    marked = h >> bits << bits | np.arange(m, dtype=np.uint64)
+    low = _slide(marked, width, np.minimum)  # one for each string start
     valid = np.zeros(len(low), dtype=bool)
     for s, k in zip(starts.tolist(), sizes.tolist()):
         if k >= length:
@@ -85,15 +88,7 @@ def samples(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     q = np.flatnonzero(valid)
     if not len(q):
         return none
-    # leftmost place of the least hash: walk from string to string, sharing what stays the same
-    place = np.full(len(q), -1, dtype=np.int64)
-    open_ = np.arange(len(q))
-    for d in range(width):
-        hit = h[q[open_] + d] == low[q[open_]]
-        place[open_[hit]] = q[open_[hit]] + d
-        open_ = open_[~hit]
-        if not len(open_):
-            break
+    place = (low[q] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     return place[edge], h[place[edge]], q[edge], q[np.r_[edge[1:], len(q)] - 1]
 
@@ -105,15 +100,38 @@ def records(data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.nda
     """
     reach = length - _GRAM
     width = reach + length
-    at = place[:, None] - reach + np.arange(width)[None, :]
-    inside = (at >= first[:, None]) & (at < (last + length)[:, None])
+    padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
+    lo, hi = first - (place - reach), last - (place - reach)
     out = np.zeros((len(place), width + 2), dtype=np.uint8)
-    out[:, :width] = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0)
-    out[:, width] = first - (place - reach)
-    out[:, width + 1] = last - (place - reach)
+    out[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width)[place]
+    column = np.arange(width, dtype=np.uint8)
+    out[:, :width][(column < lo.astype(np.uint8)[:, None]) | (column >= (hi + length).astype(np.uint8)[:, None])] = 0
+    out[:, width], out[:, width + 1] = lo, hi
     return out
 
 
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each group, group of each row) of equal rows, in an order that their contents decide.
+
+    Rows are sorted by a 64-bit hash and compared in full with their neighbour; rows
+    that share a hash by chance may make more groups, which costs nothing but work.
+    """
+    n, width = rows.shape
+    words = np.zeros((n, -(-width // 8) * 8), dtype=np.uint8)
+    words[:, :width] = rows
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(words.shape[1] // 8):
+        key = (key ^ words[:, 8 * k : 8 * k + 8].copy().view("<u8")[:, 0]) * _A
+        key ^= key >> np.uint64(31)
+    order = np.argsort(key, kind="stable")
+    s = rows[order]
+    new = np.ones(n, dtype=bool)
+    new[1:] = (s[1:] != s[:-1]).any(axis=1)
+    back = np.empty(n, dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 def _named(*columns: np.ndarray) -> np.ndarray:
     """The rank of each row among the distinct rows."""
     order = np.lexsort(columns[::-1])
@@ -191,10 +209,9 @@ class _Chunk:
         )
 
     def unique_records(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, hashes, least document, record of each sample); the order is that of hash and row."""
+        """(rows, hashes, least document, record of each sample)."""
         rows = records(self.data, self.place, self.first, self.last, self.length)
-        whole = np.ascontiguousarray(np.concatenate([self.hash[:, None].view(np.uint8).reshape(-1, 8), rows], axis=1))
-        _, at, back = np.unique(whole.view(f"V{whole.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+        at, back = _grouped(rows)
         least = np.full(len(at), _LAST)
         np.minimum.at(least, back, self.ids[self.doc])
         return rows[at], self.hash[at], least, back
@@ -350,9 +367,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     (chunk, np.frombuffer(r, np.uint8).reshape(-1, row_bytes), np.frombuffer(least, "<i8"))
                 )
         for part, own in groups.items():
-            every = np.ascontiguousarray(np.concatenate([r for _, r, _ in own]))
+            every = np.concatenate([r for _, r, _ in own])
             docs_ = np.concatenate([d for _, _, d in own])
-            _, at, back = np.unique(every.view(f"V{row_bytes}").reshape(-1), return_index=True, return_inverse=True)
+            at, back = _grouped(every)
             least = np.full(len(at), _LAST)
             np.minimum.at(least, back, docs_)
             row, start, low = least_documents(every[at], least, length)
