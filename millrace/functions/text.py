@@ -1,6 +1,239 @@
-"""Text scalars: tokens and the tests built on them, as Column -> Column functions."""
+"""Text scalars as Column -> Column functions, all of them built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from millrace.functions import vocab as V
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in(words: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def raw_words(text: Column) -> Column:
+    """All ``[a-z0-9]+`` runs of the lower-cased text, in order, with repeats."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def tokens(text: Column) -> Column:
+    """The distinct scoring tokens: words of three characters or more that are no stop words. Null: none."""
+    found = F.array_distinct(F.filter(raw_words(text), lambda w: (F.length(w) > 2) & ~w.isin(*V.STOP)))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.translate(text, "'’", "")), F.lit("[a-z]+"), F.lit(0))
+
+
+def polarity(text: Column) -> Column:
+    """1 if the text holds an odd number of negators, else 0."""
+    return F.pmod(F.size(F.filter(_bare(text), lambda w: w.isin(*V.NEGATORS))), F.lit(2))
+
+
+def cue_gap(text: Column) -> Column:
+    """REFERENT, CUES or '' - why a fact would be hard to find again."""
+    words = _bare(F.trim(text))
+    head, second = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.get(words, F.lit(1))
+    pointing = head.isin(*V.DEMONSTRATIVES) & (second.isNull() | second.isin(*V.COPULAS))
+    return (
+        F.when(head.isin(*V.PRONOUNS) | pointing, F.lit("REFERENT"))
+        .when(F.size(tokens(text)) < V.CUE_MINIMUM, F.lit("CUES"))
+        .otherwise(F.lit(""))
+    )
+
+
+def cue_note(text: Column) -> Column:
+    """T4: one line for the writer of a fact with a gap, '' without one."""
+    gap = cue_gap(text)
+    return (
+        F.when(gap == "REFERENT", F.lit("Note: it never names its subject; name whom or what it is about."))
+        .when(gap == "CUES", F.lit("Note: it carries almost nothing to search on; add words a question would use."))
+        .otherwise(F.lit(""))
+    )
+
+
+def named_subject(text: Column) -> Column:
+    """T5: the leading capitalised word, lower-cased, unless it is a pronoun or determiner."""
+    name = F.lower(F.regexp_extract(text, r"^([A-Z][a-z]+)(?:['’]s)?\b", 1))
+    return F.when(name.isin(*V.PRONOUNS, *V.DEMONSTRATIVES, *V.DETERMINERS), F.lit("")).otherwise(name)
+
+
+def retrieval_cues(text: Column) -> Column:
+    """The first 32 tokens in order of the first 512 characters, joined by a space."""
+    return F.array_join(F.slice(F.array_sort(tokens(F.substring(text, 1, V.CUE_CHARS))), 1, V.CUE_TOKENS), " ")
+
+
+def digits(word: Column) -> Column:
+    """The digits of a word."""
+    return F.regexp_replace(word, "[^0-9]", "")
+
+
+def same_stem(a: Column, b: Column) -> Column:
+    """Equal words, or words with equal digits whose common beginning leaves short endings."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    need = F.greatest(F.lit(V.STEM_MIN), shorter - V.STEM_SUFFIX)
+    alike = (
+        (digits(a) == digits(b))
+        & (longer - shorter <= V.STEM_GROW)
+        & (shorter >= need)
+        & (F.left(a, need) == F.left(b, need))
+    )
+    return (a == b) | alike
+
+
+def numbers(text: Column) -> Column:
+    """The numbers of a text in order, with their signs, separators and parts."""
+    return F.regexp_extract_all(text, F.lit(r"(?<!\w)[+-]?\d+(?:[.,:/-]\d+)*(?!\w)"), F.lit(0))
+
+
+def auto_folder(text: Column, category: Column) -> Column:
+    """The category's folder and the first theme that the words touch."""
+    top = F.lit("Facts")
+    for name, folder in V.CATEGORY_FOLDERS:
+        top = F.when(category == name, F.lit(folder)).otherwise(top)
+    words = raw_words(text)
+    theme = F.coalesce(*[F.when(F.arrays_overlap(words, _in(keys)), F.lit(f"/{name}")) for name, keys in V.THEMES], F.lit(""))
+    return F.concat(top, theme)
+
+
+def sector_of(folder: Column) -> Column:
+    """The second part of a folder path, or ''."""
+    return F.coalesce(F.get(F.filter(F.split(folder, "/"), lambda p: p != ""), F.lit(1)), F.lit(""))
+
+
+def routing_words(name: str, keys: tuple[str, ...]) -> tuple[str, ...]:
+    """A theme's keywords and the words of its own name, in order, once each."""
+    import re
+
+    return tuple(dict.fromkeys((*keys, *re.findall("[a-z0-9]+", name.lower()))))
+
+
+def route_sectors(text: Column, limit: int = 2) -> Column:
+    """The themes that share most words with the text, at most ``limit``; ties by theme order."""
+    words = F.array_distinct(raw_words(text))
+    scored = F.array(
+        *[
+            F.struct(
+                (-F.size(F.array_intersect(words, _in(routing_words(name, keys))))).alias("n"),
+                F.lit(k).alias("k"),
+                F.lit(name).alias("name"),
+            )
+            for k, (name, keys) in enumerate(V.THEMES)
+        ]
+    )
+    best = F.slice(F.array_sort(F.filter(scored, lambda s: s["n"] < 0)), 1, limit)
+    return F.transform(best, lambda s: s["name"])
+
+
+def clean_folder(folder: Column) -> Column:
+    """Forward slashes, trimmed parts of at most 40 characters, at most three levels."""
+    parts = F.filter(F.transform(F.split(F.translate(folder, "\\", "/"), "/"), lambda p: F.substring(F.trim(p), 1, 40)), lambda p: p != "")
+    return F.array_join(F.slice(parts, 1, 3), "/")
+
+
+def trigger_display(text: Column) -> Column:
+    """A trigger with single spaces, without outer punctuation, at most 120 characters."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.substring(F.regexp_replace(flat, r"^[ .!?,;:]+|[ .!?,;:]+$", ""), 1, 120)
+
+
+def trigger_key(text: Column) -> Column:
+    """The sorted tokens of a trigger, joined by a space."""
+    return F.array_join(F.array_sort(tokens(text)), " ")
+
+
+def signature(line: Column) -> Column:
+    """The shape of a line: numbers and long hexadecimal words as #, single spaces."""
+    cut = F.regexp_replace(F.substring(line, 1, V.SIGNATURE_CHARS), r"\d+|\b[0-9a-fA-F]{8,}\b", "#")
+    return F.trim(F.regexp_replace(cut, r"\s+", " "))
+
+
+def clip(line: Column, most: int = 200) -> Column:
+    """A line cut to ``most`` characters, and how many are missing."""
+    more = F.concat(F.left(line, F.lit(most)), F.lit("... [+"), (F.length(line) - most).cast("string"), F.lit(" chars]"))
+    return F.when(F.length(line) > most, more).otherwise(line)
+
+
+def sanitize(text: Column) -> Column:
+    """Single spaces, and override phrases replaced by a marker."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.regexp_replace(flat, V.OVERRIDE, "[redacted-directive]")
+
+
+def is_handle(text: Column) -> Column:
+    """One capital letter and a number."""
+    return text.rlike("^[A-Z][0-9]+$")
+
+
+def number_text(value: Column) -> Column:
+    """An integer without decimals, else at most six decimals without trailing zeros."""
+    cut = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", value), "0+$", ""), r"\.$", "")
+    return (
+        F.when(F.isnan(value), F.lit("nan"))
+        .when(F.abs(value) == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .otherwise(cut)
+    )
+
+
+def number(cell: Column) -> Column:
+    """The number a cell holds, or null. Digits may be grouped by single underscores."""
+    bare = F.trim(cell)
+    grammar = r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+(?:_\d+)*)?$"
+    return F.when(bare.rlike(grammar), F.regexp_replace(bare, "_", "").try_cast("double"))
+
+
+def tree_of(lineage: Column) -> Column:
+    """The tree at the root of a lineage path; import where it is none of the known ones."""
+    head = F.get(F.split(F.coalesce(lineage, F.lit("")), "/"), F.lit(0))
+    return F.when(head.isin(*V.TREES), head).otherwise(F.lit("import"))
+
+
+def kin(new: Column, old: Column) -> Column:
+    """Stem, branch, tree or grove, where two lineage paths part; '' if either is no full path."""
+    a, b = F.split(F.coalesce(new, F.lit("")), "/"), F.split(F.coalesce(old, F.lit("")), "/")
+    full = (F.size(a) == 3) & (F.size(b) == 3) & ~F.array_contains(a, "") & ~F.array_contains(b, "")
+    same = [F.get(a, F.lit(k)) == F.get(b, F.lit(k)) for k in range(3)]
+    return (
+        F.when(~full, F.lit(""))
+        .when(same[0] & same[1] & same[2], F.lit("stem"))
+        .when(same[0] & same[1], F.lit("branch"))
+        .when(same[0], F.lit("tree"))
+        .otherwise(F.lit("grove"))
+    )
+
+
+def age_seconds(stamp: Column, as_of: Column) -> Column:
+    """Seconds from a stamp to ``as_of``; null where the stamp cannot be read."""
+    return F.unix_timestamp(as_of) - F.unix_timestamp(F.try_to_timestamp(stamp))
+
+
+def familiarity(uses: Column, wins: Column, last_used: Column, as_of: Column) -> Column:
+    """A boost below one half: the shrunk share of wins, halved every thirty days; 0 without wins or a stamp."""
+    days = F.greatest((F.unix_micros(as_of) - F.unix_micros(last_used)) / F.lit(86_400_000_000.0), F.lit(0.0))
+    value = F.lit(V.FAMILIARITY_WEIGHT) * wins / (uses + 2) * F.pow(F.lit(0.5), days / V.HALF_LIFE_DAYS)
+    return F.when((wins > 0) & last_used.isNotNull(), value).otherwise(F.lit(0.0))
+
+
+def confidence(uses: Column, wins: Column, taught: Column) -> Column:
+    """The shrunk share of wins, at least 0.9 for what the user taught."""
+    base = (wins + 1) / (uses + 2)
+    return F.when(taught, F.greatest(base, F.lit(0.9))).otherwise(base)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared over all tokens of two arrays of distinct tokens."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def lines_of(body: Column) -> Column:
+    """The lines of a body: broken at every Unicode line break, without an empty last line."""
+    cut = F.split(body, V.LINE_BREAK, -1)
+    return let(cut, lambda c: F.when(F.element_at(c, -1) == "", F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c))
