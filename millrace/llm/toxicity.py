@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import hidden, staged
 
 #: Insults known beforehand, for one of the voters.
 INSULTS = (
@@ -134,9 +134,11 @@ def fit_label_model(
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, n_terms: int, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of an L2-regularised logistic regression on presence of terms, with soft targets."""
+    if not rows:
+        return np.zeros(n_terms), 0.0
     sizes = np.array([len(r) for r in rows])
     at = np.repeat(np.arange(len(rows)), sizes)
-    term = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=int)
+    term = np.concatenate(rows)
     w, b = np.zeros(n_terms), 0.0
     g2, b2 = np.full(n_terms, 1e-6), 1e-6
     for _ in range(rounds):
@@ -176,7 +178,7 @@ def score_toxicity(
     label_col: str = "toxic",
     params: ToxicityParams = ToxicityParams(),
 ) -> DataFrame:
-    """All columns of ``docs`` and ``score`` double (0 to 1).
+    """All columns of ``docs`` and ``score`` double (0 to 1; ``score_`` and so on if the name is taken).
 
     ``labels`` has ids and 0/1 labels; ``learn_from`` is a SQL condition on the
     columns of ``docs`` and ``labels`` that have the id. Only texts are inputs of
@@ -195,7 +197,8 @@ def score_toxicity(
         .limit(params.max_labelled)
     )
     # at most max_labelled rows of an id and a label
-    sample = staged(docs.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col("_id")).select(text, "label"), "toxic-sample")
+    named = docs.select(F.col(f"`{id_col}`").alias("_own"), text)
+    sample = staged(named.join(F.broadcast(chosen), F.col("_own") == F.col("_id")).select("text", "label"), "toxic-sample")
     n1, n0 = (sample.where(F.col("label") == k).count() for k in (1, 0))
 
     toxic = _counted(sample.where("label = 1"), None).where(F.col("n") >= params.min_toxic)
@@ -249,7 +252,8 @@ def score_toxicity(
         target = np.array([posterior[r["mask"], r["label"]] for r in fitted])
         weights, intercept = fit_linear([np.array(r["terms"], dtype=int) for r in fitted], target, len(terms))
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "score"]
+    name = hidden(docs.columns, "score")
+    names = [*docs.columns, name]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TermIndex(terms)
@@ -259,4 +263,4 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{schema}, score double")
+    return docs.mapInArrow(score, f"{schema}, `{name}` double")
