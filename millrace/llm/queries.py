@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import oracles
 from millrace.llm.common import read_documents, read_table, shared_dir
 from millrace.llm.decontaminate import contaminated_spans
 from millrace.llm.licenses import scan_licenses
@@ -160,4 +161,9 @@ QUERIES: dict[str, Query] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: XXH64, CRC-32 and token ids are beyond SQL, and all 50-byte strings too slow; those queries are tested by brute force.
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op6_decontamination": oracles.DECONTAMINATION,
+    "op10_line_dedup": oracles.LINE_DEDUP,
+}
