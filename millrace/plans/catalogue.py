@@ -648,7 +648,12 @@ def episode_clusters(spark, sf_dir):
     return tasks.episode_clusters(_distinct_episodes(spark, sf_dir))
 
 
-@query()
+@query(
+    _CLUSTERS.replace("SELECT id, min(root) AS component FROM r GROUP BY 1", "")
+    + f", c AS (SELECT id, min(root) AS component FROM r GROUP BY 1), m AS (SELECT request, min(id) AS id, min(ts) AS ts FROM ({_EPISODES}) WHERE outcome = 'ok' GROUP BY 1), "
+    + f"g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest FROM m JOIN c USING (id) GROUP BY 1) "
+    + f"SELECT trigger, array_to_string(list_sort({_tok('trigger')}), ' ') AS key, uses, newest FROM g WHERE uses >= 3 AND days >= 2 ORDER BY component LIMIT 3"
+)
 def habit_promotion(spark, sf_dir):
     return tasks.promotions(_distinct_episodes(spark, sf_dir))
 
@@ -777,8 +782,8 @@ def stats_refusal(spark, sf_dir):
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as one log for each user: routine lines, and a rare one for large values."""
-    line = F.when(F.col("value") > 99, F.concat(F.lit("FATAL "), "event_type", F.lit(" overflow "), F.col("event_id").cast("string"))).otherwise(
+    """Events as one log for each user: routine lines, and a rare one now and then."""
+    line = F.when(F.col("event_id") % 499 == 0, F.concat(F.lit("FATAL "), "event_type", F.lit(" overflow "), F.col("event_id").cast("string"))).otherwise(
         F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" ok"))
     )
     rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("handle")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
@@ -786,7 +791,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH l AS (SELECT user_id % 20 AS handle, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line_no, CASE WHEN value > 99 THEN 'FATAL ' || event_type || ' overflow ' || event_id ELSE 'step ' || event_id || ' ok' END AS line FROM events), "
+    "WITH l AS (SELECT user_id % 20 AS handle, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line_no, CASE WHEN event_id % 499 = 0 THEN 'FATAL ' || event_type || ' overflow ' || event_id ELSE 'step ' || event_id || ' ok' END AS line FROM events), "
     "g AS (SELECT *, regexp_replace(line, '\\d+', '#', 'g') AS shape FROM l), c AS (SELECT handle, shape, count(*) AS n, min(line_no) AS f FROM g GROUP BY ALL), "
     "t AS (SELECT *, sum(n) OVER (PARTITION BY handle) AS total, count(*) FILTER (f <= 2000) OVER (PARTITION BY handle) AS probed FROM c), "
     "u AS (SELECT *, n <= greatest(1, total // 100) AS rare FROM t WHERE total BETWEEN 24 AND 250000 AND (total < 2000 OR probed <= 500)), "
@@ -797,7 +802,15 @@ def outlier_lines(spark, sf_dir):
     return fold.outlier_lines(_logs(spark, sf_dir))
 
 
-@query()
+_CLIPPED = "list_transform(ls, lambda line: " + _CLIP.format(n=200) + ")"
+
+
+@query(
+    "WITH b AS (SELECT doc_id AS seq, text, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS ls FROM documents), "
+    f"d AS (SELECT seq, text, '[read_file: ' || len(ls) || ' lines, ' || length(text) || ' chars]' || chr(10) || array_to_string(list_concat(list_concat(({_CLIPPED})[1:8], CASE WHEN len(ls) > 12 THEN ['...'] ELSE [] END), "
+    f"({_CLIPPED})[greatest(9, len(ls) - 3):len(ls)]), chr(10)) AS digest FROM b), f AS (SELECT *, length(text) >= 2000 AND NOT regexp_matches(text, '^\\s*(ERROR|DENIED|BLOCKED|SKIPPED)') AND length(digest) < length(text) AS folded FROM d) "
+    "SELECT seq, folded, CASE WHEN folded THEN length(text) - length(digest) ELSE 0 END AS removed, CASE WHEN folded THEN sha1('read_file' || chr(31) || text) END AS fingerprint, md5(CASE WHEN folded THEN digest ELSE text END) AS digest FROM f"
+)
 def fold_results(spark, sf_dir):
     results = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit("read_file").alias("tool"), F.col("text").alias("body"))
     return fold.fold(results).select("seq", "folded", "removed", "fingerprint", F.md5("text").alias("digest"))
