@@ -64,14 +64,14 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 LINE_DEDUP = f"""
 WITH l0 AS (SELECT doc_id, j, line, trim(line, {_BLANKS}) AS bare FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents)),
 l AS (SELECT *, {_count('bare')} AS n FROM l0),
-q AS (SELECT *, sum(CASE WHEN bare <> '' AND j > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j) AS at FROM l),
-s AS (SELECT doc_id, list(bare ORDER BY j) AS ls, list(n ORDER BY j) AS ws, min(at) AS base FROM q WHERE bare <> '' GROUP BY 1),
+q AS (SELECT *, sum(CASE WHEN bare <> '' AND j > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY j) AS pl FROM l),
+s AS (SELECT doc_id, list(bare ORDER BY j) AS ls, list(n ORDER BY j) AS ws, min(pl) AS base FROM q WHERE bare <> '' GROUP BY 1),
 w AS (SELECT doc_id, base, a, n, list_sum(ws[a:a + n - 1]) AS total, ws[a] AS head, ws[a + n - 1] AS tail, array_to_string(ls[a:a + n - 1], chr(10)) AS k
     FROM (SELECT *, unnest(range(1, least(6, len(ls) - a + 1) + 1)) AS n FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS a FROM s))),
 m AS (SELECT doc_id, base, a, n, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) AS seen FROM w WHERE total >= 6 AND (total - tail < 6 OR total - head < 6)),
-g AS (SELECT DISTINCT doc_id, (base + unnest(range(a - 1, a + n - 1)))::BIGINT AS at FROM m WHERE seen > 1),
-r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before <> at - 1) AS runs FROM (SELECT *, lag(at) OVER (PARTITION BY doc_id ORDER BY at) AS before FROM g) GROUP BY 1),
-k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY j) AS kept FROM q WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = q.doc_id AND g.at = q.at) GROUP BY 1)
+g AS (SELECT DISTINCT doc_id, (base + unnest(range(a - 1, a + n - 1)))::BIGINT AS pl FROM m WHERE seen > 1),
+r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (before IS NULL OR before <> pl - 1) AS runs FROM (SELECT *, lag(pl) OVER (PARTITION BY doc_id ORDER BY pl) AS before FROM g) GROUP BY 1),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY j) AS kept FROM q WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = q.doc_id AND g.pl = q.pl) GROUP BY 1)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_removed, coalesce(r.runs, 0)::BIGINT AS n_runs, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """
