@@ -27,6 +27,7 @@ one record in each chunk.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,7 +204,7 @@ class _Chunk:
 
     def keep(self, shared: np.ndarray) -> None:
         """Drop the samples whose hash is not in ``shared`` (sorted)."""
-        own = np.isin(self.hash, shared)
+        own = _member(self.hash, shared)
         self.place, self.hash, self.first, self.last, self.doc = (
             x[own] for x in (self.place, self.hash, self.first, self.last, self.doc)
         )
@@ -217,6 +218,13 @@ class _Chunk:
         return rows[at], self.hash[at], least, back
 
 
+def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``known`` (sorted)."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _deal(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
@@ -259,6 +267,7 @@ def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, byte
 
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -322,13 +331,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         good = s[new][often | np.logical_or.reduceat(flag[order].astype(bool), new)]
         for c, b in zip(chunk, blob):
             own = b | np.uint64(1)
-            own = own[np.isin(own, good)]
+            own = own[_member(own, good)]
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["chunk", "hashes"])
 
     dealt = chunks.select("chunk", "ids", "sizes", "data").mapInArrow(hashes, "part int, chunk long, hashes binary")
     found = dealt.repartition(hash_parts, "part").mapInArrow(shared, "chunk long, hashes binary")
     bits = staged(found.groupBy("chunk").agg(F.collect_list("hashes").alias("shared")), "repeats-shared")
+    del dealt, found
     _release(spark)
 
     def kept(batch: pa.RecordBatch, k: int) -> _Chunk:
@@ -350,7 +360,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [
                         pa.array(used, pa.int32()),
                         pa.array([batch.column(0)[k].as_py()] * len(used), pa.int64()),
-                        pa.array([r[o].tobytes() for o in own], pa.binary()),
+                        pa.array([pa.compress(r[o].tobytes(), codec="zstd", asbytes=True) for o in own], pa.binary()),
                         pa.array([least[o].tobytes() for o in own], pa.binary()),
                     ],
                     names=["part", "chunk", "rows", "least"],
@@ -363,9 +373,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         groups: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for part, chunk, r, least in zip(*(c.to_pylist() for c in batch.columns)):
-                groups.setdefault(part, []).append(
-                    (chunk, np.frombuffer(r, np.uint8).reshape(-1, row_bytes), np.frombuffer(least, "<i8"))
-                )
+                low = np.frombuffer(least, "<i8")
+                flat = pa.decompress(r, decompressed_size=len(low) * row_bytes, codec="zstd", asbytes=True)
+                groups.setdefault(part, []).append((chunk, np.frombuffer(flat, np.uint8).reshape(-1, row_bytes), low))
         for part, own in groups.items():
             every = np.concatenate([r for _, r, _ in own])
             docs_ = np.concatenate([d for _, _, d in own])
@@ -390,6 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     decided = staged(
         answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("answers")), "repeats-answers"
     )
+    del with_bits, sent, answers
     _release(spark)
     step = -(-length // 8)
 
