@@ -43,9 +43,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies are linked at a Jaccard similarity of 0.8 or more over shingles of five words.
 
-    Of each component the document with the least doc_id stays, once. Links are
-    exact and none is missed; operator 8's fingerprints (three words, 2 bits) find
-    fewer and are that query's contract only.
+    Of each component the row with the least doc_id stays, once; rows of other
+    components stay whatever their doc_id, null or repeated. Links are exact and
+    none is missed; operator 8's fingerprints (three words, 2 bits) find fewer and
+    are that query's contract only.
     """
     return drop_near_copies(docs)
 

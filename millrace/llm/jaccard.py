@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import hidden, staged
 from millrace.llm.components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -156,15 +156,20 @@ def _row_key(docs: DataFrame, seed: int) -> Column:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each component over links of Jaccard similarity 4/5 or more.
 
-    Texts without words (and null) have one and the same empty set.
+    The row with the least id stays (a null id only if there is no other; among
+    rows of one id the least row hash); identical rows are one. Ids need not be
+    unique: rows are told apart by a 128-bit hash of all their values. Texts
+    without words (and null) have one and the same empty set.
     """
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"), _row_key(docs, 1).alias("r1"), _row_key(docs, 2).alias("r2"), F.col(f"`{text_col}`").alias("text")
-    )
+    key = {hidden(docs.columns, f"_r{k}"): _row_key(docs, k) for k in (1, 2)}
+    keyed = docs.withColumns(key)
+    r1, r2 = key
+    rows = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(r1).alias("r1"), F.col(r2).alias("r2"), F.col(f"`{text_col}`").alias("text"))
     counts = _sketch(rows.select("text"), shingle)
     marked = staged(_marked(rows, counts, shingle), "jaccard")
     roots = connected_components(jaccard_links(marked, rows, shingle), "jaccard-components")
     classes = marked.select("id", "r1", "r2", "g").join(roots, F.col("g") == F.col("node"), "left")
-    kept = classes.groupBy(F.coalesce("root", "g").alias("c")).agg(F.min("id").alias("_kept"))
-    kept = staged(kept.select("_kept").distinct(), "jaccard-kept")
-    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "r1", "r2")
+    kept = classes.groupBy(F.coalesce("root", "g").alias("c")).agg(F.min(place).alias("least"))
+    kept = staged(kept.select(F.col("least.r1").alias(r1), F.col("least.r2").alias(r2)), "jaccard-kept")
+    return keyed.join(kept, [r1, r2], "left_semi").dropDuplicates([r1, r2]).select(*[f"`{c}`" for c in docs.columns])

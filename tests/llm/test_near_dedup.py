@@ -34,3 +34,11 @@ def test_near_dedup_finds_every_pair_of_similarity_four_fifths(spark):
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
     assert got == set(label.values())
     assert len(got) < len(rows) - 12
+
+
+def test_near_dedup_keeps_rows_of_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(30)) for name in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (2, texts[3]), (5, texts[2]), (None, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (2, texts[3])], key=str)
