@@ -42,6 +42,14 @@ def _reach(counts: Column, least: int) -> Column:
     return let(end, lambda e: F.when(e["s"] >= least, e["n"]))
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """``texts`` with one row for each (id, h); only texts that are repeated are shuffled."""
+    repeated = texts.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = staged(repeated.select(F.col("id").alias("r_id"), F.col("h").alias("r_h")), "lines-repeated")
+    same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))
+    return texts.join(repeated, same, "left_anti").unionByName(texts.join(repeated, same, "left_semi").dropDuplicates(["id", "h"]))
+
+
 def _line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(id, h, at, a, b, ahead, back): line ``at`` of text h with its 128-bit id and its two windows' lengths."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -66,9 +74,8 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
 
         return let(bare, lambda b: let(counts, lambda n: F.filter(each(b, n), lambda r: F.get(b, r["at"]) != "")))
 
-    return docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), F.inline(let(lines_of(text), rows))
-    )
+    texts = _once(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")))
+    return texts.select("id", "h", F.inline(let(lines_of(F.col("text")), rows)))
 
 
 def _ranked(places: DataFrame, keys: list[str], label: str) -> DataFrame:
