@@ -84,11 +84,17 @@ def similar_requests(episodes: DataFrame) -> DataFrame:
 
 
 def episode_clusters(episodes: DataFrame) -> DataFrame:
-    """(id, component) of single-link clusters of good episodes (id, request, outcome); singletons are their own."""
-    good = episodes.where("outcome = 'ok'")
-    usable = good.where(F.size(T.tokens(F.col("request"))) >= 2).select("id")
-    labels = component_labels(similar_requests(good))
-    return usable.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    """(id, component) of single-link clusters of good episodes (id, request, outcome); singletons are their own.
+
+    Episodes with one and the same token set are joined as one, named by the
+    least id, however many they are; every episode gets its set's component.
+    """
+    words = F.array_sort(T.tokens(F.col("request"))).alias("words")
+    usable = episodes.where("outcome = 'ok'").select("id", "request", words).where(F.size("words") >= 2)
+    sets = usable.groupBy("words").agg(F.min("id").alias("least"), F.min_by("request", "id").alias("request"))
+    labels = component_labels(similar_requests(sets.select(F.col("least").alias("id"), "request")))
+    classes = sets.join(labels, F.col("least") == F.col("id"), "left").select("words", F.coalesce("component", "least").alias("component"))
+    return usable.join(classes, "words").select("id", "component")
 
 
 def promotions(episodes: DataFrame, mined: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:

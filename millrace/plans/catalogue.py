@@ -629,12 +629,6 @@ def similar_episode(spark, sf_dir):
     return tasks.similar_episode(wanted, _episodes(spark, sf_dir))
 
 
-def _distinct_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One good episode for each request, the first, so the clusters have few members."""
-    rows = _episodes(spark, sf_dir).where("outcome = 'ok'")
-    return rows.groupBy("request").agg(F.min("id").alias("id"), F.min("ts").alias("ts")).withColumn("outcome", F.lit("ok"))
-
-
 _CLUSTERS = (
     f"WITH RECURSIVE e AS (SELECT request, min(id) AS id FROM ({_EPISODES}) WHERE outcome = 'ok' GROUP BY 1), s AS (SELECT id, {_tok('request')} AS w FROM e WHERE len({_tok('request')}) >= 2), "
     f"p AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.id <> b.id AND {_JACCARD} >= 0.5), "
@@ -645,7 +639,7 @@ _CLUSTERS = (
 
 @query(_CLUSTERS)
 def episode_clusters(spark, sf_dir):
-    return tasks.episode_clusters(_distinct_episodes(spark, sf_dir))
+    return tasks.episode_clusters(_episodes(spark, sf_dir))
 
 
 @query(
@@ -655,7 +649,7 @@ def episode_clusters(spark, sf_dir):
     + f"SELECT trigger, array_to_string(list_sort({_tok('trigger')}), ' ') AS key, uses, newest FROM g WHERE uses >= 3 AND days >= 2 ORDER BY component LIMIT 3"
 )
 def habit_promotion(spark, sf_dir):
-    return tasks.promotions(_distinct_episodes(spark, sf_dir))
+    return tasks.promotions(_episodes(spark, sf_dir))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rk FROM events) WHERE rk <= 20")
