@@ -13,6 +13,7 @@ from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.functions.regex import checked_pattern
 
+DELIMITER_NAMES = {"\t": "tab", "|": "pipe", ";": "semicolon", ",": "comma"}
 STATS = ("count", "sum", "mean", "min", "max", "median", "p90", "p95", "p99", "stdev", "distinct")
 
 
@@ -222,17 +223,34 @@ def foldable(tool: Column, body: Column, threshold: int) -> Column:
 def fold(results: DataFrame, threshold: int = 2000) -> DataFrame:
     """(seq, text, removed, fingerprint, folded) of tool results (seq, tool, body).
 
-    A foldable body becomes a digest of its shape, head and tail, unless that is
-    not shorter; the decision is made before anything is stored.
+    A foldable body becomes a digest, unless that is not shorter; the decision is
+    made before anything is stored. The digest holds the body's shape, the
+    ``summary`` (where results have that column), then a sample of a uniform JSON
+    table, or the columns of delimited text, the rare lines between the ends, head
+    and tail. ``seq`` is unique.
     """
+    if "summary" not in results.columns:
+        results = results.withColumn("summary", F.lit(None).cast("string"))
+    bodies = results.where(foldable(F.col("tool"), F.col("body"), threshold)).select(F.col("seq").alias("handle"), "body")
+    columns = sniff(bodies).select(F.col("handle").alias("seq"), F.col("delimiter").alias("_delimiter"), F.col("columns").alias("_columns"))
+    marks = outlier_notes(bodies).select(F.col("handle").alias("seq"), F.col("notes").alias("_notes"))
+    joined = results.join(columns, "seq", "left").join(marks, "seq", "left")
     body, tool = F.col("body"), F.col("tool")
     lines = T.lines_of(body)
     clipped = F.transform(lines, lambda x: T.clip(x))
-    parts = F.concat(F.slice(clipped, 1, 8), F.when(F.size(lines) > 12, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>")), F.slice(clipped, F.greatest(F.lit(9), F.size(lines) - 3), F.lit(4)))
+    none = F.array().cast("array<string>")
+    ends = F.concat(F.slice(clipped, 1, 8), F.when(F.size(lines) > 12, F.array(F.lit("..."))).otherwise(none), F.slice(clipped, F.greatest(F.lit(9), F.size(lines) - 3), F.lit(4)))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in DELIMITER_NAMES.items() for x in pair]), F.col("_delimiter"))
+    named = F.concat(F.lit("columns ("), kind, F.lit("-separated): "), F.array_join("_columns", ", "))
+    shown = F.concat(F.when(named.isNotNull(), F.array(named)).otherwise(none), F.coalesce("_notes", none), ends)
+    shown = F.when(uniform(body), table_sample(body)).otherwise(shown)
+    summary = F.when(F.col("summary") != "", F.array(F.concat(F.lit("summary: "), "summary"))).otherwise(none)
     header = F.concat(F.lit("["), tool, F.lit(": "), F.size(lines).cast("string"), F.lit(" lines, "), F.length(body).cast("string"), F.lit(" chars]"))
-    digest = F.when(F.size(lines) > 0, F.concat(header, F.lit("\n"), F.array_join(parts, "\n"))).otherwise(header)
+    digest = F.array_join(F.concat(F.array(header), summary, F.when(F.size(lines) > 0, shown).otherwise(none)), "\n")
+    held = joined.select("seq", "tool", "body", digest.alias("digest"))
+    digest = F.col("digest")
     shorter = foldable(tool, body, threshold) & (F.length(digest) < F.length(body))
-    return results.select(
+    return held.select(
         "seq",
         F.when(shorter, digest).otherwise(body).alias("text"),
         F.when(shorter, F.length(body) - F.length(digest)).otherwise(0).alias("removed"),
@@ -241,6 +259,68 @@ def fold(results: DataFrame, threshold: int = 2000) -> DataFrame:
     )
 
 
+def outlier_notes(bodies: DataFrame, head: int = 8, tail: int = 4, most: int = 6) -> DataFrame:
+    """F2, F8: (handle, notes): what a digest says of the rare lines between its ends, one for each shape, rarest first chosen."""
+    total = bodies.select("handle", F.size(T.lines_of(F.col("body"))).alias("total"))
+    rare = outlier_lines(bodies).withColumn("n_rare", F.count(F.lit(1)).over(Window.partitionBy("handle"))).join(total, "handle")
+    end = F.when(F.col("total") > head + tail, tail).otherwise(0)
+    hidden = rare.where((F.col("line_no") > head) & (F.col("line_no") <= F.col("total") - end))
+    shapes = hidden.groupBy("handle", T.signature(F.col("line")).alias("shape")).agg(
+        F.min(F.struct("n", "line_no", "line")).alias("r"), F.first("total").alias("total"), F.first("n_rare").alias("n_rare")
+    )
+    order = Window.partitionBy("handle").orderBy("r")
+    picked = shapes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    lists = picked.groupBy("handle", "total", "n_rare").agg(F.array_sort(F.collect_list(F.struct("r.line_no", "r.n", "r.line"))).alias("show"))
+
+    def note(r: Column) -> Column:
+        like = F.when(r["n"] > 1, F.concat(F.lit("  ["), r["n"].cast("string"), F.lit(" lines like this]"))).otherwise("")
+        return F.concat(F.lit("  "), r["line_no"].cast("string"), F.lit(": "), T.clip(r["line"]), like)
+
+    routine, more = F.col("total") - F.col("n_rare"), F.col("n_rare") - F.size("show")
+    heading = F.concat(F.lit("pattern: "), routine.cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" lines look like other lines in this body. These do not:"))
+    rest = F.when(more > 0, F.array(F.concat(F.lit("  ... and "), more.cast("string"), F.lit(" more unlike the rest.")))).otherwise(F.array().cast("array<string>"))
+    return lists.select("handle", F.concat(F.array(heading), F.transform("show", note), rest).alias("notes"))
+
+
+def table_sample(body: Column, most: int = 8) -> Column:
+    """the lines that stand for a uniform JSON body: its size and columns, and its first rows in the cheapest format."""
+    maps, raw = F.from_json(body, "array<map<string,string>>"), F.from_json(body, "array<string>")
+    names = F.map_keys(F.get(maps, F.lit(0)))
+    first = F.slice(maps, 1, most)
+    cells_of = F.transform(first, lambda r: F.transform(names, lambda n: F.coalesce(F.element_at(r, n), F.lit(""))))
+    json = F.concat(F.lit("["), F.array_join(F.slice(raw, 1, most), ","), F.lit("]"))
+    title = F.concat(F.lit("table: "), F.size(maps).cast("string"), F.lit(" rows x "), F.size(names).cast("string"), F.lit(" cols ["), F.array_join(names, ", "), F.lit("]"))
+    return T.let(_cheapest(_formats(names, cells_of, json)), lambda c: F.array(title, F.concat(F.lit("first "), F.size(first).cast("string"), F.lit(" rows ("), c["format"], F.lit("):")), c["text"]))
+
+
+def _formats(names: Column, rows: Column, json: Column) -> Column:
+    """The texts of a table (names, rows of cells, compact JSON) in five formats, as an array of (cost, order, format, text)."""
+
+    def joined(separator: str) -> Column:
+        return F.array_join(F.transform(F.concat(F.array(names), rows), lambda r: F.array_join(r, separator)), "\n")
+
+    def carries(separator: str) -> Column:
+        return F.forall(rows, lambda r: ~F.array_join(r, "").rlike(f"[{separator}\\n\\r]"))
+
+    def quoted(text: Column) -> Column:
+        return F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    csv = F.array_join(F.concat(F.array(F.array_join(names, ",")), F.transform(rows, lambda r: F.array_join(F.transform(r, quoted), ","))), "\n")
+    literal = F.regexp_replace(F.regexp_replace(json, "\"(\\w+)\":", "'$1': "), ",", ", ")
+    made = [("json", json, F.lit(True)), ("tabular", joined(" | "), carries("|")), ("tsv", joined("\t"), carries("\\t")), ("csv", csv, F.lit(True)), ("python", literal, F.lit(True))]
+    every = F.array(*[F.struct(F.length(t).alias("cost"), F.lit(k).alias("k"), F.lit(n).alias("format"), t.alias("text"), ok.alias("ok")) for k, (n, t, ok) in enumerate(made)])
+    return F.filter(every, lambda e: e["ok"])
+
+
+def _cheapest(every: Column) -> Column:
+    def chosen(e: Column) -> Column:
+        json = F.get(F.filter(e, lambda x: x["format"] == "json"), F.lit(0))
+        best = F.array_min(e)
+        return F.when(best["cost"] <= json["cost"] * (1 - V.FORMAT_GAIN), best).otherwise(json)
+
+    return T.let(every, chosen)
+
+
 def encodings(rows: Column, names: list[str]) -> Column:
     """The texts of an array of structs in five formats, as an array of (cost, order, format, text).
 
