@@ -78,8 +78,11 @@ def samples(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     h ^= h >> np.uint64(32)
     h |= np.uint64(1)  # the lowest bit is free for a flag
     width = length - _GRAM + 1
-    # position in the low bits: a minimum is the leftmost of the least hashes, and says where it is
-    bits = np.uint64(max(1, int(n).bit_length()))
+    # position in the low bits: a minimum is the leftmost of the least hashes, and says where it is;
+    # their number is fixed, so the choice in a string does not depend on the size of the data
+    if n >> 32:
+        raise ValueError("data of 4 GB or more")
+    bits = np.uint64(32)
     marked = h >> bits << bits | np.arange(m, dtype=np.uint64)
     low = _slide(marked, width, np.minimum)  # one for each string start
     valid = np.zeros(len(low), dtype=bool)
