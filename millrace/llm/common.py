@@ -27,13 +27,20 @@ def read_documents(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of this machine's where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a session in one process gets a folder of this machine; on
+    a cluster that is an error, since no executor could read it.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
+        found = context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -50,6 +57,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this.
+_HOT = 1024
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """``rows`` joined (left or inner) with ``table``, which has one row for each of its keys.
+
+    ``weight`` is a column of the table: how many rows have the key. The keys that
+    hold over 1/1024 of all those rows, fewer than 1024, are broadcast, so that the
+    rows of a hot key stay in their tasks; all others are joined by shuffle. Key
+    columns must not be null. ``table`` is read several times, so it should be staged.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) * _HOT > total
+    often = F.broadcast(table.where(hot).drop(weight))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti").join(table.where(~hot).drop(weight), keys, how)
+    return rows.join(often, keys).unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` applied to ``value``, which is evaluated once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

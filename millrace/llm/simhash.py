@@ -2,40 +2,42 @@
 
 1. Each text gives a 64-bit fingerprint; equal fingerprints are merged first,
    so a group of copies of any size is one row from then on.
-2. Two fingerprints within 2 bits agree in at least two of four 16-bit blocks.
-   Each fingerprint therefore enters six tries, one for each pair of blocks,
-   with those 32 bits on top; a pair within the budget meets below one depth-32
-   node of at least one trie. These nodes are dealt to tasks.
-3. A task descends from each such node in pairs of nodes, adds up differing
-   bits and drops a pair when the budget is exceeded. All node pairs of one
-   depth are handled at once as arrays, in blocks of bounded size.
-4. A task reports its links as a forest, so the output is linear in the
-   fingerprints; the forests are joined by connected components.
-
-How many distinct fingerprints meet below one node: near copies differ from
-each other in few bits, so a group of any number of documents fills only a
-small ball of the 2^32 values below its nodes.
+2. The trie of all fingerprints is joined with itself from the root down. A node
+   pair is two prefixes of one depth; a fingerprint is dealt to every pair of its
+   own prefix and one within the budget. Four levels are descended at a time:
+   differing bits add up, and a pair beyond the budget is never made.
+3. Pairs without fingerprints on both sides are dropped. Pairs of more than
+   ``_NODE_ROWS`` fingerprints go down further; so a dense part of the trie is
+   split until it fits, however many documents are in it.
+4. A task walks the two subtries of each pair dealt to it in the same manner, all
+   node pairs of one depth at once as arrays, in blocks of bounded size.
+5. Links go out as a forest, linear in the rows of a task; the forests are
+   joined by connected components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.common import hidden, staged
+from millrace.llm.common import hidden, lookup, staged
 from millrace.llm.components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SEED = 42
-_BLOCKS = tuple(combinations(range(4), 2))
-#: Node pairs handled at once, and shingle hashes unpacked at once.
+#: Levels of the trie descended at a time, fingerprints of a node pair that one task takes, and of a whole trie for one task.
+_STEP = 4
+_NODE_ROWS = 1 << 15
+_ONE_TASK = 1 << 12
+#: Rows gathered before a task walks them, node pairs handled at once, and shingle hashes unpacked at once.
+_GATHER = 1 << 19
 _FRONTIER = 1 << 17
 _HASHES = 1 << 15
 
@@ -82,31 +84,24 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
     return docs.select(*[f"`{c}`" for c in keep], f"`{text_col}`").mapInArrow(work, schema)
 
 
-def _below(fps: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """The 32 bits of each fingerprint outside the two blocks that its trie has on top."""
-    out = np.zeros(len(fps), dtype=np.uint64)
-    for k, top in enumerate(_BLOCKS):
-        own = pair == k
-        i, j = (b for b in range(4) if b not in top)
-        high, low = ((fps[own] >> np.uint64(48 - 16 * b)) & np.uint64(0xFFFF) for b in (i, j))
-        out[own] = high << np.uint64(16) | low
-    return out
+def _halves(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+    """The first place of each sorted range [lo, hi) whose value has ``bit`` set; the bits above are equal in a range."""
+    a, b = lo.copy(), hi.copy()
+    while (open_ := a < b).any():
+        middle = (a + b) >> 1
+        one = (values[np.minimum(middle, len(values) - 1)] >> np.uint64(bit) & np.uint64(1)).astype(bool)
+        b = np.where(open_ & one, middle, b)
+        a = np.where(open_ & ~one, middle + 1, a)
+    return a
 
 
-def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of index pairs of fingerprints with one key and at most ``budget`` differing bits.
+def trie_links(values: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of index pairs of ``values`` that differ in at most ``budget`` bits, from the subtries at ``depth``.
 
-    ``keys`` (pair of blocks and their 32 bits) and ``fps`` are sorted by key and
-    by what lies below it. A node is a range of rows with one prefix; node pairs
-    are (a_lo, a_hi, b_lo, b_hi, errors), self-pairs have a = b.
+    ``roots`` has columns a_lo, a_hi, b_lo, b_hi and the errors so far: a node is a
+    range of sorted values with one prefix; a pair of a node with itself has a = b.
     """
-    _, group = np.unique(keys, return_inverse=True)
-    path = group.astype(np.uint64) << np.uint64(32) | _below(fps, keys >> 32)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    ends = np.r_[starts[1:], len(keys)]
-    many = ends - starts > 1
-    lo, hi = starts[many].astype(np.int64), ends[many].astype(np.int64)
-    stack = [(31, np.stack([lo, hi, lo, hi, np.zeros_like(lo)]))]
+    stack = [(63 - depth, roots)]
     while stack:
         bit, pairs = stack.pop()
         if pairs.shape[1] > _FRONTIER:
@@ -116,16 +111,13 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> Iterator[tuple
         single = (a_hi - a_lo == 1) & (b_hi - b_lo == 1)
         if single.any():
             a, b = a_lo[single], b_lo[single]
-            near = np.bitwise_count(fps[a] ^ fps[b]) <= budget
+            near = np.bitwise_count(values[a] ^ values[b]) <= budget
             if (found := near & (a != b)).any():
                 yield a[found], b[found]
         if bit < 0 or single.all():
             continue
         a_lo, a_hi, b_lo, b_hi, errors = pairs[:, ~single]
-        half, below = np.uint64(1 << bit), np.uint64(~((1 << bit) - 1) & (2**64 - 1))
-        a_mid = np.searchsorted(path, path[a_lo] & below | half)
-        b_mid = np.searchsorted(path, path[b_lo] & below | half)
-        a_mid, b_mid = np.clip(a_mid, a_lo, a_hi), np.clip(b_mid, b_lo, b_hi)
+        a_mid, b_mid = _halves(values, a_lo, a_hi, bit), _halves(values, b_lo, b_hi, bit)
         own = (a_lo == b_lo) & (a_hi == b_hi)
         next_pairs = np.concatenate(
             [
@@ -156,35 +148,98 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def link_forest(fps: DataFrame, budget: int = 2) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect all that differ in ``budget`` (at most 2) bits."""
-    if not 0 <= budget <= 2:
-        raise ValueError("four blocks are enough for at most 2 bits")
-    fp = F.col(fps.columns[0])
-    block = [F.shiftrightunsigned(fp, 48 - 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    tops = [
-        F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for n, (i, j) in enumerate(_BLOCKS)
-    ]
-    dealt = fps.select(F.explode(F.array(*tops)).alias("node"), fp.alias("fp")).repartition("node")
+def _own(depth: int) -> Column:
+    """The prefix of ``fp`` at a depth; a number of its own for each prefix."""
+    return F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        keys, values = (np.concatenate(x) for x in zip(*got))
-        values = values.view(np.uint64)
-        order = np.lexsort((_below(values, keys >> 32), keys))
-        keys, values = keys[order], values[order]
-        label = np.arange(len(keys))
-        for a, b in trie_links(keys, values, budget):
-            _forest(label, a, b)
+
+def _descended(entries: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(lo, hi, fp) of node pairs at ``depth``, dealt to the pairs ``_STEP`` levels below that the budget allows."""
+    own = _own(depth)
+    bits = F.shiftrightunsigned("fp", 64 - depth - _STEP).bitwiseAND(F.lit(2**_STEP - 1))
+    other = F.shiftleft(F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(own), _STEP)
+    errors = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi")))
+    flips = F.filter(F.array(*[F.lit(m).cast("long") for m in range(2**_STEP)]), lambda m: F.bit_count(m) + errors <= budget)
+    below = entries.select("fp", _own(depth + _STEP).alias("own"), other.alias("other"), bits.alias("bits"), F.explode(flips).alias("m"))
+    mate = F.col("other").bitwiseOR(F.col("bits").bitwiseXOR(F.col("m")))
+    return below.select(F.least("own", mate).alias("lo"), F.greatest("own", mate).alias("hi"), "fp")
+
+
+def _walked(entries: DataFrame, depth: int, budget: int) -> DataFrame:
+    """(a, b): a forest of the links within the node pairs (lo, hi, fp) of one depth."""
+
+    def links(lo: np.ndarray, hi: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        # the side of a fingerprint in its pair; the two sides of a node with itself are one
+        side = (lo != hi) & ((fp >> np.uint64(64 - depth)).astype(np.int64) != lo) if 0 < depth < 64 else (lo != hi) & (fp.view(np.int64) != lo)
+        order = np.lexsort((fp, side, hi, lo))
+        lo, hi, fp, side = lo[order], hi[order], fp[order], side[order]
+        pair = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        end = np.r_[pair[1:], len(lo)]
+        cut = pair + (np.add.reduceat((~side).astype(np.int64), pair))
+        twin = lo[pair] == hi[pair]
+        roots = np.stack([pair, cut, np.where(twin, pair, cut), end, np.bitwise_count(lo[pair] ^ hi[pair]).astype(np.int64)])
+        useful = (roots[1] > roots[0]) & (roots[3] > roots[2]) & ~(twin & (end - pair < 2))
+        distinct, back = np.unique(fp, return_inverse=True)
+        label = np.arange(len(distinct))
+        for a, b in trie_links(fp, roots[:, useful], depth, budget):
+            _forest(label, back[a], back[b])
         linked = np.flatnonzero(label != np.arange(len(label)))
-        signed = values.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(signed[label[linked]])], names=["a", "b"])
+        signed = distinct.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(signed[label[linked]])], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            kept = [np.concatenate([k, c.to_numpy()]) for k, c in zip(kept, batch.columns)]
+            if len(kept[0]) < _GATHER:
+                continue
+            lo, hi, _ = kept
+            # rows are sorted by pair: the last pair may go on in the next batch
+            done = int(np.flatnonzero((lo != lo[-1]) | (hi != hi[-1]))[-1]) + 1 if (lo[0], hi[0]) != (lo[-1], hi[-1]) else 0
+            if done:
+                yield links(lo[:done], hi[:done], kept[2][:done].view(np.uint64))
+                kept = [k[done:] for k in kept]
+        if len(kept[0]):
+            yield links(kept[0], kept[1], kept[2].view(np.uint64))
 
+    dealt = entries.select("lo", "hi", "fp").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def link_forest(fps: DataFrame, budget: int = 2) -> DataFrame:
+    """(a, b): links between distinct fingerprints that connect all that differ in at most ``budget`` bits.
+
+    The descent begins at the depth where a node of evenly spread fingerprints
+    fits a task, and goes on wherever one does not. Fingerprints that equal each
+    other in all 64 bits are one row, so every node pair fits in the end.
+    """
+    if not 0 <= budget < 64:
+        raise ValueError("a budget is 0 to 63 bits")
+    zero = F.lit(0).cast("long")
+    entries = fps.select(zero.alias("lo"), zero.alias("hi"), F.col(fps.columns[0]).alias("fp"))
+    n, depth, forests = fps.count(), 0, []
+    while depth < 64 and (2 * n >> depth > _NODE_ROWS or (depth < _STEP and n > _ONE_TASK)):
+        entries = _descended(entries, depth, budget)
+        depth += _STEP
+    while True:
+        entries = staged(entries, "simhash-nodes")
+        first = F.count_if(_own(depth) == F.col("lo")).alias("first")
+        pairs = entries.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), first)
+        pairs = pairs.where("CASE WHEN lo = hi THEN n > 1 ELSE first > 0 AND first < n END")
+        pairs = staged(pairs.select("lo", "hi", "n", (F.col("n") > _NODE_ROWS).alias("deep")), "simhash-pairs")
+        used = staged(lookup(entries, pairs, ["lo", "hi"], "n", "inner"), "simhash-dealt")
+        deep = used.where("deep") if depth < 64 else used.where("false")
+        forests.append(_walked(used.where("NOT deep") if depth < 64 else used, depth, budget))
+        if deep.isEmpty():
+            break
+        entries = _descended(deep, depth, budget)
+        depth += _STEP
+    every = forests[0]
+    for f in forests[1:]:
+        every = every.unionByName(f)
+    return every
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2
 ) -> DataFrame:
@@ -195,12 +250,12 @@ def simhash_components(
     repeated rows stay. An empty table gives an empty one.
     """
     marked = staged(fingerprints(docs.select(f"`{id_col}`", f"`{text_col}`"), text_col, shingle).toDF("id", "fp"), "simhash")
-    least = staged(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    least = staged(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     roots = connected_components(link_forest(least.select("fp"), budget), "simhash-links")
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    # one row for each fingerprint, so that no hot key meets in these joins
     lowest = members.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("low"))
     linked = members.join(lowest, "root").select(F.col("node").alias("fp"), "low")
-    classes = least.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
-    return marked.join(classes, "fp", "left").select(
-        F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id"
-    )
+    classes = least.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id"), "n")
+    classes = staged(classes, "simhash-classes")
+    return lookup(marked, classes, ["fp"], "n").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
