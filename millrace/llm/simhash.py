@@ -6,9 +6,9 @@
    pair is two prefixes of one depth; a fingerprint is dealt to every pair of its
    own prefix and one within the budget. Four levels are descended at a time:
    differing bits add up, and a pair beyond the budget is never made.
-3. Pairs without fingerprints on both sides are dropped. Pairs of more than
-   ``_NODE_ROWS`` fingerprints go down further; so a dense part of the trie is
-   split until it fits, however many documents are in it.
+3. Pairs of more than ``_NODE_ROWS`` fingerprints go down further if there are
+   some on both sides; so a dense part of the trie is split until it fits,
+   however many documents are in it.
 4. A task walks the two subtries of each pair dealt to it in the same manner, all
    node pairs of one depth at once as arrays, in blocks of bounded size.
 5. Links go out as a forest, linear in the rows of a task; the forests are
@@ -223,16 +223,18 @@ def link_forest(fps: DataFrame, budget: int = 2) -> DataFrame:
         depth += _STEP
     while True:
         entries = staged(entries, "simhash-nodes")
+        if depth == 64 or 2 * n <= _NODE_ROWS:
+            forests.append(_walked(entries, depth, budget))
+            break
         first = F.count_if(_own(depth) == F.col("lo")).alias("first")
-        pairs = entries.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), first)
-        pairs = pairs.where("CASE WHEN lo = hi THEN n > 1 ELSE first > 0 AND first < n END")
-        pairs = staged(pairs.select("lo", "hi", "n", (F.col("n") > _NODE_ROWS).alias("deep")), "simhash-pairs")
-        used = staged(lookup(entries, pairs, ["lo", "hi"], "n", "inner"), "simhash-dealt")
-        deep = used.where("deep") if depth < 64 else used.where("false")
-        forests.append(_walked(used.where("NOT deep") if depth < 64 else used, depth, budget))
+        pairs = entries.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), first).where(F.col("n") > _NODE_ROWS)
+        deep = staged(pairs.select("lo", "hi", "n", F.expr("lo = hi OR (first > 0 AND first < n)").alias("both")), "simhash-pairs")
         if deep.isEmpty():
+            forests.append(_walked(entries, depth, budget))
             break
-        entries = _descended(deep, depth, budget)
+        # one row for each pair of over _NODE_ROWS entries
+        forests.append(_walked(entries.join(deep, ["lo", "hi"], "left_anti"), depth, budget))
+        entries = _descended(lookup(entries, deep.where("both").drop("both"), ["lo", "hi"], "n", "inner"), depth, budget)
         depth += _STEP
     every = forests[0]
     for f in forests[1:]:
