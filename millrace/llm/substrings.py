@@ -1,23 +1,22 @@
 """Suffix-array dedup (operator 5): byte strings that also start in an earlier document, removed.
 
-The suffixes are sorted to a depth of ``length`` bytes by a difference-cover
-algorithm, dealt to tasks so that equal strings meet:
+All suffixes that can matter are sorted by a difference-cover algorithm to a
+depth of ``length`` bytes, dealt to tasks so that equal strings meet:
 
 1. Exact copies of a text are set apart by 128-bit hashes (all of it is removed).
    The other texts form chunks.
 2. A content-defined sample of positions (the least of the 24-byte hashes in
-   each ``length``-byte string) plays the cover's first part: equal strings have
-   their sample at the same place. Sample hashes that lie in one text only are
-   discarded: no string around them can repeat. Chunks exchange sorted arrays
+   each ``length``-byte string) decides which task sorts a string: equal strings
+   have their sample at the same place. Sample hashes that lie in one text only
+   are discarded: no string around them can repeat. Chunks exchange sorted arrays
    of hashes and get back a bit for each.
 3. Around every remaining sample a chunk cuts the record that holds all strings
    with that sample (equal records of a chunk once, with their least document),
    and sends it to the task of its hash.
-4. That task sorts the suffixes of its records that start strings: for those at
-   two of three places (mod 3) triples of 8-byte words are sorted and named, the
-   names are sorted again at the next depth, the remaining suffixes are merged
-   by their first byte and the name that follows, and adjacent suffixes are
-   compared to depth ``length``. A class's least document decides.
+4. That task sorts the suffixes of its records (``suffix_array``): triples at two
+   of three places are sorted and named, the names are sorted by recursion, the
+   remaining suffixes are merged. Adjacent suffixes are compared to ``length``
+   bytes; the least document of those that agree decides.
 5. The chunks turn the answers into removed spans.
 
 Only hashes, records around shared samples and bits are shuffled by string;
@@ -136,49 +135,85 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], back
 
 
-def _named(*columns: np.ndarray) -> np.ndarray:
-    """The rank of each row among the distinct rows."""
-    order = np.lexsort(columns[::-1])
-    step = np.zeros(len(order), dtype=bool)
-    for c in columns:
-        s = c[order]
-        step[1:] |= s[1:] != s[:-1]
-    name = np.empty(len(order), dtype=np.int64)
-    name[order] = np.cumsum(step)
-    return name
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct keys, from 1."""
+    return np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+
+
+def _paired(first: np.ndarray, second: np.ndarray, top: int) -> np.ndarray:
+    """One number for each pair, in the order of the pairs; ``top`` is above every second number."""
+    if (int(first.max(initial=0)) + 1) * top >= 1 << 62:
+        first = _ranks(first)
+    return first * top + second
+
+
+def suffix_array(text: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
+    """The starts of all suffixes of ``text`` (numbers from 0), sorted to ``depth`` by the difference cover {1, 2} mod 3.
+
+    Triples at the sampled places are sorted and named; while names repeat and do
+    not cover ``depth`` yet, the names are sorted as a text of their own. The other
+    suffixes are sorted by their first number and the name that follows, and merged
+    with either sampled class. A number stands for ``covered`` places; suffixes
+    that agree to ``depth`` come next to each other, in any order. The text must
+    end in zeros for ``2 * depth`` places.
+    """
+    n = len(text)
+    t = np.concatenate([text, np.zeros(3, np.uint8)]).astype(np.int64)
+    top = int(t.max()) + 1
+    one, two, rest = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
+    sampled = np.concatenate([one, two])
+    name = _ranks(_paired(_paired(t[sampled], t[sampled + 1], top), t[sampled + 2], top))
+    if 3 * covered < depth and int(name.max(initial=0)) < len(name):
+        zero = np.zeros(1, np.int64)  # closes either class
+        order = suffix_array(np.concatenate([name[: len(one)], zero, name[len(one) :], zero]), depth, 3 * covered)
+        order = order[(order != len(one)) & (order != len(name) + 1)]
+        order -= order > len(one)
+    else:
+        order = np.argsort(name)
+    rank = np.zeros(n + 3, dtype=np.int64)
+    rank[sampled[order]] = np.arange(1, len(order) + 1)
+    top_rank = len(order) + 1
+    # a suffix of the rest against class one: a number and a rank; against class two: two numbers and a rank
+    k = len(rest)
+    near = _paired(t[rest], rank[rest + 1], top_rank)
+    ones = t[one] * top_rank + rank[one + 1]
+    both = np.concatenate([rest, two])
+    far = _paired(_paired(t[both], t[both + 1], top), rank[both + 2], top_rank)
+    far, twos = far[:k], far[k:]
+    by = np.argsort(near)
+    near = near[by]
+    place = np.empty(n, dtype=np.int64)
+    place[rest[by]] = np.arange(k) + np.searchsorted(np.sort(ones), near) + np.searchsorted(np.sort(twos), far[by])
+    place[one] = rank[one] - 1 + np.searchsorted(near, ones, side="right")
+    place[two] = rank[two] - 1 + np.searchsorted(np.sort(far), twos, side="right")
+    return np.argsort(place)
 
 
 def least_documents(rows: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, least): for each string that starts in a record, the least document with an equal string."""
-    reach = length - _GRAM
-    width = reach + length
+    """(row, start, least): for each string that starts in a record, the least document with an equal string.
+
+    The records are one text, whose suffixes are sorted; strings are the prefixes
+    of neighbours that agree in ``length`` bytes.
+    """
+    width = 2 * length - _GRAM
     lo, hi = rows[:, width].astype(np.int64), rows[:, width + 1].astype(np.int64)
     count = hi - lo + 1
     row = np.repeat(np.arange(len(rows)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[row]
-    flat = np.concatenate([rows.reshape(-1), np.zeros(64, np.uint8)])
-    word = np.ndarray((len(flat) - 7,), dtype=">u8", buffer=flat, strides=(1,))
-    base = row * (width + 2) + start
-
-    def suffix_names(at: np.ndarray, depth: int) -> np.ndarray:
-        """Names of the suffixes at ``at`` to ``depth`` bytes: triples of words, then triples of names."""
-        spots, back = np.unique(np.concatenate([at + 24 * k for k in range(depth // 24)]), return_inverse=True)
-        triple = _named(word[spots], word[spots + 8], word[spots + 16])[back].reshape(depth // 24, -1)
-        rest = depth % 24
-        tail = [word[at + depth - rest + 8 * k] >> np.uint64(8 * max(0, 8 - (rest - 8 * k))) for k in range(-(-rest // 8))]
-        return _named(*triple, *tail)
-
-    sampled = start % 3 != 0
-    key = np.zeros((3, len(base)), dtype=np.int64)
-    key[0] = start
-    names = suffix_names(np.concatenate([base[sampled], base[~sampled] + 1]), length - 1)
-    k = int(sampled.sum())
-    key[1, sampled], key[2, sampled] = names[:k], flat[base[sampled] + length - 1]
-    key[1, ~sampled], key[2, ~sampled] = names[k:], flat[base[~sampled]]
-    order = np.lexsort(key[::-1])
-    s = key[:, order]
-    new = np.r_[True, (s[:, 1:] != s[:, :-1]).any(axis=0)] if len(order) else np.zeros(0, bool)
-    least = np.minimum.reduceat(docs[row[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+    if not len(row):
+        return row, start, np.zeros(0, np.int64)
+    text = np.concatenate([rows[:, :width].reshape(-1), np.zeros(2 * length, np.uint8)])
+    string = np.full(len(text), -1)
+    string[row * width + start] = np.arange(len(row))
+    order = string[suffix_array(text, length)]
+    order = order[order >= 0]
+    at, word = (row * width + start)[order], _words(text)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for k in (*range(0, length - 7, 8), length - 8):
+        own = word[at + k]
+        new[1:] |= own[1:] != own[:-1]
+    least = np.minimum.reduceat(docs[row[order]], np.flatnonzero(new))
     out = np.empty(len(order), dtype=np.int64)
     out[order] = least[np.cumsum(new) - 1]
     return row, start, out
