@@ -10,9 +10,9 @@
 3. Survivors are verified exactly, word by word, over the window.
 
 The benchmark is the stated query set. Its windows are sent to every task only
-while their measured size is within ``broadcast_bytes``; beyond it they are
-dealt into slices of that size by prefix word, and the documents are probed
-slice by slice.
+while their measured size is within ``broadcast_bytes``; beyond it they are dealt
+into slices by a hash of the whole window, so that no word gathers many in one,
+and the documents are probed slice by slice.
 """
 
 from __future__ import annotations
@@ -87,6 +87,26 @@ def _word_counts(docs: DataFrame, text_col: str, vocabulary: set[bytes]) -> dict
     return {order[r["k"]]: r["n"] for r in sums.collect()}  # one row for each word of the items at most
 
 
+def _slices(windows: DataFrame, most: int) -> list[tuple[int, int, int]]:
+    """(buckets, first, last) of each slice: ranges of hash buckets whose measured size is at most ``most`` bytes.
+
+    Only a bucket that is too large by itself, with one window of very many items, is a slice beyond that.
+    """
+    size = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 48) + 48
+    total = windows.select(F.sum(size)).first()[0] or 0
+    if total <= most:
+        return [(1, 0, 0)]
+    buckets = 64 * (-(-total // most))
+    sums = windows.groupBy(F.pmod(F.xxhash64("words"), F.lit(buckets)).alias("k")).agg(F.sum(size).alias("n"))
+    out, first, used = [], 0, 0
+    for k, n in sorted((r["k"], r["n"]) for r in sums.collect()):  # 64 rows for each slice
+        if used and used + n > most:
+            out.append((buckets, first, k - 1))
+            first, used = k, 0
+        used += n
+    return [*out, (buckets, first, buckets - 1)]
+
+
 class WindowIndex:
     """Windows under their rarest word, as word numbers."""
 
@@ -137,9 +157,7 @@ def contaminated_spans(
     """
     spark = docs.sparkSession
     windows = staged(_items(benchmark, item_id_col, item_text_col, window), "windows")
-    words = F.explode("words").alias("w")
-    size = windows.select(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w) + 48))).first()[0] or 0
-    slices = max(1, -(-size // broadcast_bytes))
+    slices = _slices(windows, broadcast_bytes)
     names = [hidden(docs.columns, c) for c in ("n_words", "spans", "item_ids")]
     item_type = windows.schema["item_id"].dataType
     span_type = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
@@ -154,8 +172,8 @@ def contaminated_spans(
     at = docs.columns.index(text_col)
     n_columns = len(docs.columns)
     probed = docs
-    for k in range(slices):
-        part = windows.where(F.pmod(F.xxhash64(F.array_min("words")), F.lit(slices)) == k)  # within broadcast_bytes
+    for k, (buckets, low, high) in enumerate(slices):
+        part = windows.where(F.pmod(F.xxhash64("words"), F.lit(buckets)).between(low, high))
         table: dict[tuple[bytes, ...], list] = defaultdict(list)
         for row in part.collect():
             table[tuple(map(bytes, row["words"]))].append(row["item_id"])
