@@ -37,8 +37,12 @@ def write_token_files(
     Returns (file, bytes, ordinal, id), a row for each document. A file is named
     after its task attempt, so a repeated task writes another one, and only files
     of this table count. ``folder`` is a URI of a store that pyarrow can write
-    (file, hdfs, s3, gs). Null texts have no ids before their end.
+    (file, hdfs, s3, gs). Null texts have no ids before their end; repeated rows and
+    null ids are documents like any other; an empty table writes nothing of use. An
+    id that does not fit in ``item_bytes`` (2 or 4) is an error, never another id.
     """
+    if item_bytes not in (2, 4) or not 0 <= end_id < 1 << 8 * item_bytes:
+        raise ValueError("ids have 2 or 4 bytes, and the end id fits in them")
     id_type = docs.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +57,10 @@ def write_token_files(
                 for at in range(0, batch.num_rows, 256):
                     texts = [t.as_py() for t in batch.column(1).slice(at, 256)]
                     for raw in coder.ids_of(texts):
-                        flat = np.append(np.frombuffer(raw, dtype="<u4"), end_id).astype(kind).tobytes()
+                        every = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id))
+                        if int(every.max()) >= 1 << 8 * item_bytes:
+                            raise ValueError(f"id {int(every.max())} does not fit in {item_bytes} bytes")
+                        flat = every.astype(kind).tobytes()
                         out.write(flat)
                         written += len(flat)
                 ids.append(batch.column(0))
