@@ -83,7 +83,7 @@ def pack_documents(
     window: int = 4096,
     separator: int = 2,
     open_windows: int = 64,
-    merge_partitions: int = 64,
+    merge_partitions: int = 8,
 ) -> DataFrame:
     """(id, start, length, ids, doc_tokens, sequence_id, offset): one row for each piece of a document.
 
