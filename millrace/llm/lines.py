@@ -8,9 +8,15 @@ prefix has at least 2^k lines. Suffixes alone in their interval are discarded
 before the next round, which keeps the rounds small.
 
 A run of ``min_words`` words or more that starts at an earlier place too is a
-later copy, and its lines are deleted. All such runs are covered by windows that
-just reach ``min_words``, going forward from a line or back from it; two ranks
-of one level, overlapping, name a window of any length.
+later copy, and its lines are deleted. What decides is the interval of suffixes
+whose longest common prefix reaches ``min_words``: two ranks of one level,
+overlapping, name such a prefix, and all places of an interval but the first are
+later copies. Every maximal repeated run is the union of the prefixes that just
+reach ``min_words``, going forward from a line or back from it, so doubling stops
+at that length; runs of removed lines that touch are one maximal run.
+
+Keys that hold a large share of all rows (a very common line) are joined without
+a shuffle of their rows (``lookup``).
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hidden, let, staged
+from millrace.llm.common import hidden, let, lookup, staged
 from millrace.llm.quality import n_words
 
 #: Splits a text before each line with a word: blank lines stay with the line before them.
@@ -79,12 +85,12 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
 
 
 def _ranked(places: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """(keys, name): a name for each key that occurs twice or more, in the order of the keys.
+    """(keys, name, n): a name for each key that occurs n times, twice or more, in the order of the keys.
 
     Counts are combined before the shuffle; the sort is range-partitioned, and
     written down because its boundaries come from a sample.
     """
-    twice = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    twice = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = twice.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return staged(ordered.withColumn("name", F.monotonically_increasing_id()), label)
 
@@ -100,14 +106,14 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     """(id, h, gone): for each text (id and hash) with later copies, the numbers of their lines."""
     lines = staged(_line_table(docs, id_col, text_col, min_words), "lines")
     first = lines.select("id", "h", "at", "a", "b")
-    names = first.join(_ranked(first, ["a", "b"], "line-ranks"), ["a", "b"]).select("id", "h", "at", "name")
+    names = lookup(first, _ranked(first, ["a", "b"], "line-ranks"), ["a", "b"], "n", "inner").select("id", "h", "at", "name")
     levels = [staged(names, "line-names")]
     while 2 ** len(levels) <= min_words:
         step = 2 ** (len(levels) - 1)
         later = Window.partitionBy("id", "h").orderBy("at").rangeBetween(step, step)
         halves = levels[-1].withColumn("next", F.first("name").over(later)).where("next IS NOT NULL")
-        halves = halves.withColumnRenamed("name", "own")
-        names = halves.join(_ranked(halves, ["own", "next"], "line-ranks"), ["own", "next"])
+        halves = staged(halves.withColumnRenamed("name", "own"), "line-halves")
+        names = lookup(halves, _ranked(halves, ["own", "next"], "line-ranks"), ["own", "next"], "n", "inner")
         levels.append(staged(names.select("id", "h", "at", "name"), "line-names"))
 
     ahead = lines.where("ahead IS NOT NULL").select("id", "h", F.col("at").alias("start"), F.col("ahead").alias("size"))
@@ -123,8 +129,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
         named = got if named is None else named.unionByName(got)
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "start").alias("place")
     named = staged(named.select("size", "n1", "n2", place), "line-windows")
-    classes = named.groupBy("size", "n1", "n2").agg(F.min("place").alias("origin"), F.max("place").alias("end"))
-    copies = named.join(classes.where("end > origin"), ["size", "n1", "n2"]).where("place > origin")
+    # each class is an interval of the suffix array whose common prefix reaches min_words
+    classes = named.groupBy("size", "n1", "n2").agg(
+        F.min("place").alias("origin"), F.max("place").alias("end"), F.count(F.lit(1)).alias("n")
+    )
+    classes = staged(classes.where("end > origin").drop("end"), "line-classes")
+    copies = lookup(named, classes, ["size", "n1", "n2"], "n", "inner").where("place > origin")
     gone = F.explode(F.sequence(F.col("place.start"), F.col("place.start") + F.col("size") - 1)).alias("at")
     return (
         copies.select("place.id", "place.h", gone)
