@@ -17,7 +17,7 @@ from millrace.llm.simhash import fingerprint, simhash_components
 from millrace.llm.substrings import remove_repeats
 from millrace.llm.token_counts import count_tokens, write_token_files
 from millrace.llm.tokens import WordTokenizer
-from millrace.llm.toxicity import ToxicityParams, fit_label_model, score_toxicity
+from millrace.llm.toxicity import ToxicityParams, fit_label_model, score_toxicity, vote_sums
 
 PROSE = "The quiet river bends past old mills, and every spring the water climbs the stone steps again. "
 LONG = " ".join(f"word{k} follows word{k * 7 % 101}." for k in range(90))
@@ -265,10 +265,29 @@ def test_toxicity_learns_and_scores_everything(spark, docs):
     assert len(mixed) == len(TEXTS) and all(0 <= r["score_"] <= 1 for r in mixed)
 
 
-def test_label_model_discounts_voters_that_repeat_each_other():
-    masks = np.array([0b0111000, 0b1000000, 0b0, 0b1111000])
-    p = fit_label_model(masks, np.array([-1, -1, -1, -1]), np.array([30.0, 30.0, 900.0, 40.0]), 7, 0.95, 60)
-    assert p[2] < 0.2 and p[3] > 0.8
+def test_label_model_finds_rates_and_dependences():
+    """Votes drawn from a known model, voters 0 and 1 one and the same: EM from few labels recovers the classes."""
+    rng = np.random.default_rng(4)
+    toxic = rng.random(20_000) < 0.2
+    hit = np.where(toxic[:, None], rng.random((20_000, 6)) < 0.7, rng.random((20_000, 6)) < 0.1)
+    hit[:, 1] = hit[:, 0]
+    masks = (hit << np.arange(6)).sum(axis=1)
+    few = slice(0, 300)
+    known = vote_sums(masks[few], np.ones(300), np.where(toxic[few], 0.95, 0.05), 6)
+
+    def rest(model):
+        p = 1 / (1 + np.exp(-model.logit(masks[300:])))
+        return vote_sums(masks[300:], np.ones(len(masks) - 300), p, 6)
+
+    model = fit_label_model(known, rest, 0.2, 20)
+    assert abs(model.prior - 0.2) < 0.03
+    assert 0 in (model.parent[1], *([1] if model.parent[0] == 1 else [])) or model.parent[0] == 1
+    child = 1 if model.parent[1] == 0 else 0
+    assert (model.rate[:, child, 1] > 0.95).all() and (model.rate[:, child, 0] < 0.05).all()
+    assert abs(model.rate[1, 4].mean() - 0.7) < 0.2
+    right = ((model.logit(masks) > 0) == toxic).mean()
+    votes = np.where(hit, np.log(7.0), np.log(0.3 / 0.9))[:, [0, 2, 3, 4, 5]].sum(axis=1) + np.log(0.25)
+    assert right > ((votes > 0) == toxic).mean() - 0.01  # the best rule that knows the model
     assert ToxicityParams().max_labelled == 16_000
 
 
