@@ -60,12 +60,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
         n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(_SEED)), dtype=">u8", count=n).view(np.uint8)
+    return majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(_SEED)), dtype=np.uint64, count=n))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The number whose bits are set where over half of the 64-bit hashes have them set."""
+    flat = hashes.astype(">u8").view(np.uint8)
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n * 8, _HASHES * 8):
-        bits = np.unpackbits(hashes[at : at + _HASHES * 8]).reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    for at in range(0, len(flat), _HASHES * 8):
+        ones += np.unpackbits(flat[at : at + _HASHES * 8]).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
