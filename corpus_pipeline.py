@@ -21,44 +21,71 @@ from millrace.llm.quality import apply_quality_rules
 from millrace.llm.queries import vocabulary
 
 
-def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """``docs`` with another text, its length in n_chars, and only the given columns."""
-    new = {"text": F.col(text)} | ({"n_chars": F.char_length(F.col(text)).cast("long")} if "n_chars" in columns else {})
-    return docs.withColumns(new).select(*[f"`{c}`" for c in columns])
+def _added(found: DataFrame, docs: DataFrame) -> list[str]:
+    """The columns that an operator added, quoted: their names depend on those of ``docs``."""
+    return [f"`{c}`" for c in found.columns[len(docs.columns) :]]
+
+
+def _with_text(rows: DataFrame, text: str, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with another text, and its length in n_chars."""
+    new = {"text": F.col(text), "n_chars": F.char_length(F.col(text)).cast("long")}
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: failing lines go, and rejected documents go."""
-    judged = apply_quality_rules(docs).where("quality.kept").withColumn("_clean", F.col("quality.clean_text"))
-    return _with_text(judged, "_clean", docs.columns)
+    """Operator 1: failing lines go, and rejected documents go.
+
+    Rows are judged one by one, so repeated rows and null ids stay or go alike; a
+    null or empty text is rejected; an empty table gives an empty one. Other
+    columns pass, whatever their names.
+    """
+    judged = apply_quality_rules(docs)
+    (verdict,) = _added(judged, docs)
+    return _with_text(judged.where(F.col(f"{verdict}.kept")), f"{verdict}.clean_text", docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: later copies of runs of lines go; a document that consisted of them alone goes too."""
+    """Operator 10: later copies of runs of lines go; a document that consisted of them alone goes too.
+
+    The first copy is that of the least doc_id, null ones last; rows of one id and
+    text are one document and keep the same lines. A null text stays null and its
+    row stays; an empty table gives an empty one.
+    """
     found = drop_repeated_lines(docs)
-    left = found.where((F.size("removed_lines") == 0) | F.col("clean_text").rlike(r"[^ \t\n\x0B\f\r]"))
-    return _with_text(left, "clean_text", docs.columns)
+    clean, removed = _added(found, docs)
+    left = found.where((F.size(removed) == 0) | F.col(clean).rlike(r"[^ \t\n\x0B\f\r]"))
+    return _with_text(left, clean, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies are linked at a Jaccard similarity of 0.8 or more over shingles of five words.
+    """Operator 8: of each group of near copies one row stays, that of the least doc_id.
 
-    Of each component the row with the least doc_id stays, once; rows of other
-    components stay whatever their doc_id, null or repeated. Links are exact and
-    none is missed; operator 8's fingerprints (three words, 2 bits) find fewer and
-    are that query's contract only.
+    SimHashes of five-word shingles are joined by the trie; links count if the sets'
+    Jaccard similarity is 0.8 or more, and an exact prefix join adds the links that
+    SimHashes miss, so none is missed. Rows of other groups stay whatever their
+    doc_id, null or repeated; identical rows and texts without words are one group
+    each; an empty table gives an empty one.
     """
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that hold a benchmark window go."""
-    spans = contaminated_spans(docs, read_table(spark, sf_dir, "benchmark"))
-    return spans.where(F.size("spans") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """Operator 6: documents that hold a benchmark window go.
+
+    A null or empty text holds none; an empty benchmark removes nothing; repeated
+    rows stay or go alike.
+    """
+    found = contaminated_spans(docs, read_table(spark, sf_dir, "benchmark"))
+    _, spans, _ = _added(found, docs)
+    return found.where(F.size(spans) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token ids in sequences of 4096, one row for each piece of a document."""
+    """Operator 4: token ids in sequences of 4096, one row for each piece of a document.
+
+    A null text is its end id alone; every row is packed, repeated ones too; an
+    empty table gives an empty one; other columns are left out.
+    """
     return pack_documents(docs, vocabulary())
 
 
