@@ -135,9 +135,25 @@ def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], back
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The places of the keys (not negative) in stable order; where key and place fit in one word, as one plain sort."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << bits | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """The rank of each key among the distinct keys, from 1."""
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+    top = int(keys.max(initial=0)) + 1
+    if top <= 1 << 24 and len(keys) > 1 << 16:
+        known = np.zeros(top, dtype=bool)
+        known[keys] = True
+        return np.cumsum(known, dtype=np.int32)[keys].astype(np.int64)
+    order = _order(keys)
+    out, s = np.empty(len(keys), dtype=np.int64), keys[order]
+    out[order] = np.cumsum(np.r_[True, s[1:] != s[:-1]]) if len(keys) else 0
+    return out
 
 
 def _paired(first: np.ndarray, second: np.ndarray, top: int) -> np.ndarray:
@@ -169,24 +185,30 @@ def suffix_array(text: np.ndarray, depth: int, covered: int = 1) -> np.ndarray:
         order = order[(order != len(one)) & (order != len(name) + 1)]
         order -= order > len(one)
     else:
-        order = np.argsort(name)
+        order = _order(name)
     rank = np.zeros(n + 3, dtype=np.int64)
     rank[sampled[order]] = np.arange(1, len(order) + 1)
     top_rank = len(order) + 1
     # a suffix of the rest against class one: a number and a rank; against class two: two numbers and a rank
+    # either class in the order of its ranks, so that the searches go through memory in order
+    ordered = sampled[order]
+    one, two = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     k = len(rest)
     near = _paired(t[rest], rank[rest + 1], top_rank)
     ones = t[one] * top_rank + rank[one + 1]
     both = np.concatenate([rest, two])
     far = _paired(_paired(t[both], t[both + 1], top), rank[both + 2], top_rank)
     far, twos = far[:k], far[k:]
-    by = np.argsort(near)
-    near = near[by]
+    by = _order(near)
+    near, rest, far = near[by], rest[by], far[by]
     place = np.empty(n, dtype=np.int64)
-    place[rest[by]] = np.arange(k) + np.searchsorted(np.sort(ones), near) + np.searchsorted(np.sort(twos), far[by])
+    place[rest] = np.arange(k) + np.searchsorted(np.sort(ones), near) + np.searchsorted(np.sort(twos), far)
     place[one] = rank[one] - 1 + np.searchsorted(near, ones, side="right")
     place[two] = rank[two] - 1 + np.searchsorted(np.sort(far), twos, side="right")
-    return np.argsort(place)
+    out = np.full(n, -1)
+    out[place] = np.arange(n)
+    # suffixes that agree to the depth may share a place
+    return out if (out >= 0).all() else _order(place)
 
 
 def least_documents(rows: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,12 +224,17 @@ def least_documents(rows: np.ndarray, docs: np.ndarray, length: int) -> tuple[np
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + lo[row]
     if not len(row):
         return row, start, np.zeros(0, np.int64)
-    text = np.concatenate([rows[:, :width].reshape(-1), np.zeros(2 * length, np.uint8)])
+    # of a record only the bytes of its strings: count + length - 1 of them, from lo
+    column = np.arange(width)
+    used = (column >= lo[:, None]) & (column < (hi + length)[:, None])
+    text = np.concatenate([rows[:, :width][used], np.zeros(2 * length, np.uint8)])
+    begin = np.cumsum(count + length - 1) - (count + length - 1)
+    at = begin[row] + start - lo[row]
     string = np.full(len(text), -1)
-    string[row * width + start] = np.arange(len(row))
+    string[at] = np.arange(len(row))
     order = string[suffix_array(text, length)]
     order = order[order >= 0]
-    at, word = (row * width + start)[order], _words(text)
+    at, word = at[order], _words(text)
     new = np.ones(len(order), dtype=bool)
     new[1:] = False
     for k in (*range(0, length - 7, 8), length - 8):
