@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.functions.regex import checked_pattern
+from millrace.sources.staging import staged
 
 DELIMITER_NAMES = {"\t": "tab", "|": "pipe", ";": "semicolon", ",": "comma"}
 STATS = ("count", "sum", "mean", "min", "max", "median", "p90", "p95", "p99", "stdev", "distinct")
@@ -92,35 +93,46 @@ def table_rows(bodies: DataFrame) -> DataFrame:
     return rows.select("handle", "columns", "width", "delimiter", "row_no", cells(F.col("line"), F.col("delimiter")).alias("cells"))
 
 
-def column_stats(bodies: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row for each request (handle, column, pattern or null) with every aggregate and its coverage.
+def requested_cells(bodies: DataFrame, requests: DataFrame) -> DataFrame:
+    """(handle, column, pattern, ragged, matched, cell, v) of every row of each request (handle, column, pattern or null).
 
     A column is named exactly, without regard to case, or by its place from 1.
     ``pattern`` filters rows (joined by their delimiter again), without regard to
-    case. Rows of another width are counted as ragged and not read; cells that are
-    no finite number are skipped. Numeric aggregates of no numbers are null, never 0.
+    case. A row that passes and has no such cell is ragged, otherwise it matches; a
+    cell that is no finite number has no ``v``. Rows of another width are read like
+    any other as far as they go.
     """
-    rows = table_rows(bodies).join(requests, "handle")
+    rows = table_rows(bodies).join(requests.select("handle", "column", "pattern"), "handle")
     place = F.coalesce(
         F.nullif(F.array_position("columns", F.col("column")), F.lit(0)),
         F.nullif(F.array_position(F.transform("columns", lambda c: F.lower(c)), F.lower("column")), F.lit(0)),
         F.when(F.col("column").rlike("^[0-9]{1,6}$"), F.col("column").try_cast("int")).cast("long"),
     )
-    ragged = F.size("cells") != F.col("width")
-    matched = F.col("pattern").isNull() | F.expr("rlike(array_join(cells, delimiter), concat('(?i)', pattern))")
-    cell = F.trim(F.get("cells", (place - 1).cast("int")))
+    rows = rows.withColumn("place", place).where("place BETWEEN 1 AND width")
+    passed = F.col("pattern").isNull() | F.expr("rlike(array_join(cells, delimiter), concat('(?i)', pattern))")
+    ragged = F.size("cells") < F.col("place")
+    cell = F.trim(F.get("cells", (F.col("place") - 1).cast("int")))
     value = T.number(cell)
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-    used = rows.select(
-        "handle", "column", "pattern", ragged.alias("ragged"), (matched & ~ragged).alias("matched"), cell.alias("cell"), F.when(finite, value).alias("v")
-    )
-    ok = F.col("matched")
-    v = F.when(ok, F.col("v"))
-    return used.groupBy("handle", "column", "pattern").agg(
+    return rows.select(
+        "handle", "column", "pattern", (passed & ragged).alias("ragged"), (passed & ~ragged).alias("matched"),
+        cell.alias("cell"), F.when(passed & ~ragged & finite, value).alias("v"),
+    )
+
+
+def column_stats(bodies: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row for each request (handle, column, pattern or null) with every aggregate and its coverage.
+
+    Rows are chosen by ``requested_cells``; columns that a body does not have give
+    no row. Matched cells that are no finite number are skipped. Numeric aggregates
+    of no numbers are null, never 0.
+    """
+    ok, v = F.col("matched"), F.col("v")
+    return requested_cells(bodies, requests).groupBy("handle", "column", "pattern").agg(
         F.count(F.lit(1)).alias("scanned"),
         F.count_if(ok).alias("matched"),
         F.count(v).alias("numeric"),
-        F.count_if(ok & F.col("v").isNull()).alias("skipped"),
+        F.count_if(ok & v.isNull()).alias("skipped"),
         F.count_if("ragged").alias("ragged"),
         F.round(F.sum(v), 6).alias("sum"),
         F.round(F.avg(v), 6).alias("mean"),
@@ -134,11 +146,10 @@ def column_stats(bodies: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def column_top(bodies: DataFrame, requests: DataFrame, most: int = 8) -> DataFrame:
-    """(handle, column, rank, value, n): the most frequent cells, ties by value."""
-    rows = table_rows(bodies).join(requests.select("handle", "column"), "handle").where(F.size("cells") == F.col("width"))
-    cell = F.trim(F.get("cells", (F.array_position("columns", F.col("column")) - 1).cast("int")))
-    counted = rows.groupBy("handle", "column", cell.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("handle", "column").orderBy(F.desc("n"), F.asc("value"))
+    """(handle, column, pattern, rank, value, n): the most frequent cells of the rows that match, ties by value."""
+    cells_ = requested_cells(bodies, requests).where("matched")
+    counted = cells_.groupBy("handle", "column", "pattern", F.col("cell").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("handle", "column", "pattern").orderBy(F.desc("n"), F.asc("value"))
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
@@ -206,6 +217,14 @@ def outlier_lines(bodies: DataFrame, rare_at_most: int = 40) -> DataFrame:
     return shaped.join(counts.select("handle", "shape", "n"), ["handle", "shape"]).select("handle", "line_no", "n", "line")
 
 
+def outlier_shapes(bodies: DataFrame, most: int = 6) -> DataFrame:
+    """W-11: (handle, rank, line_no, n, line): the first line of each rare shape, the rarest shapes first."""
+    rare = outlier_lines(bodies).withColumn("shape", T.signature(F.col("line")))
+    first = rare.withColumn("k", F.row_number().over(Window.partitionBy("handle", "shape").orderBy("line_no"))).where("k = 1")
+    rank = F.row_number().over(Window.partitionBy("handle").orderBy("n", "line_no"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= most).select("handle", "rank", "line_no", "n", "line")
+
+
 def digest_lines(bodies: DataFrame, head: int = 8, tail: int = 4) -> DataFrame:
     """(handle, line_no, part, line): the first and last lines of each body, clipped; none twice."""
     lines = T.lines_of(F.col("body"))
@@ -259,6 +278,25 @@ def fold(results: DataFrame, threshold: int = 2000) -> DataFrame:
     )
 
 
+def fold_and_hold(
+    results: DataFrame, blobs: DataFrame | None = None, tombs: DataFrame | None = None, threshold: int = 2000
+) -> DataFrame:
+    """(seq, text, removed, handle, body): folded results with the handle that their bodies are held under.
+
+    What is folded is decided first, so a body that is sent as it is gets no handle
+    and nothing to store (``body`` null). Equal bodies share a handle; ``blobs`` and
+    ``tombs`` are the ones held before.
+    """
+    from millrace.operators import ledger
+
+    done = staged(fold(results, threshold), "folded")
+    held = results.join(done.where("folded").select("seq"), "seq", "left_semi").select("seq", "tool", "body")
+    handles = ledger.put_blobs(held, blobs, tombs).select("seq", "handle")
+    marked = done.join(handles, "seq", "left").join(held.select("seq", "body"), "seq", "left")
+    text = F.when(F.col("handle").isNotNull(), F.concat("handle", F.lit(" "), "text")).otherwise(F.col("text"))
+    return marked.select("seq", text.alias("text"), "removed", "handle", "body")
+
+
 def outlier_notes(bodies: DataFrame, head: int = 8, tail: int = 4, most: int = 6) -> DataFrame:
     """F2, F8: (handle, notes): what a digest says of the rare lines between its ends, one for each shape, rarest first chosen."""
     total = bodies.select("handle", F.size(T.lines_of(F.col("body"))).alias("total"))
@@ -282,32 +320,64 @@ def outlier_notes(bodies: DataFrame, head: int = 8, tail: int = 4, most: int = 6
     return lists.select("handle", F.concat(F.array(heading), F.transform("show", note), rest).alias("notes"))
 
 
+def _repr(text: Column) -> Column:
+    """The Python literal of a text; null for one with characters that Python would write as escapes of their own."""
+    slashed = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    single = F.concat(F.lit("'"), slashed, F.lit("'"))
+    double = F.concat(F.lit('"'), slashed, F.lit('"'))
+    escaped = F.concat(F.lit("'"), F.replace(slashed, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    quoted = F.when(~F.contains(text, F.lit("'")), single).when(~F.contains(text, F.lit('"')), double).otherwise(escaped)
+    return F.when(~text.rlike(r"[\p{C}\p{Zl}\p{Zp}\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"), quoted)
+
+
 def table_sample(body: Column, most: int = 8) -> Column:
     """the lines that stand for a uniform JSON body: its size and columns, and its first rows in the cheapest format."""
     maps, raw = F.from_json(body, "array<map<string,string>>"), F.from_json(body, "array<string>")
+    typed = F.from_json(body, "array<map<string,variant>>")
     names = F.map_keys(F.get(maps, F.lit(0)))
     first = F.slice(maps, 1, most)
+
+    def literal(r: Column, n: Column) -> Column:
+        value = F.element_at(r, n)
+        kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+        return (
+            F.when(value.isNull() | (kind == "VOID"), F.lit("None"))
+            .when(kind == "STRING", _repr(text))
+            .when(kind == "BOOLEAN", F.initcap(text))
+            .when(kind.rlike("^(BIGINT|DECIMAL)"), text)
+        )
+
     cells_of = F.transform(first, lambda r: F.transform(names, lambda n: F.coalesce(F.element_at(r, n), F.lit(""))))
+    literals = F.transform(F.slice(typed, 1, most), lambda r: F.transform(names, lambda n: literal(r, n)))
     json = F.concat(F.lit("["), F.array_join(F.slice(raw, 1, most), ","), F.lit("]"))
     title = F.concat(F.lit("table: "), F.size(maps).cast("string"), F.lit(" rows x "), F.size(names).cast("string"), F.lit(" cols ["), F.array_join(names, ", "), F.lit("]"))
-    return T.let(_cheapest(_formats(names, cells_of, json)), lambda c: F.array(title, F.concat(F.lit("first "), F.size(first).cast("string"), F.lit(" rows ("), c["format"], F.lit("):")), c["text"]))
+    return T.let(_cheapest(_formats(names, cells_of, literals, json)), lambda c: F.array(title, F.concat(F.lit("first "), F.size(first).cast("string"), F.lit(" rows ("), c["format"], F.lit("):")), c["text"]))
+
 
+def _formats(names: Column, rows: Column, literals: Column, json: Column) -> Column:
+    """The texts of a table in the formats that carry it unaltered, as an array of (cost, order, format, text).
 
-def _formats(names: Column, rows: Column, json: Column) -> Column:
-    """The texts of a table (names, rows of cells, compact JSON) in five formats, as an array of (cost, order, format, text)."""
+    ``rows`` are arrays of cells as text, ``literals`` the same as Python literals
+    (null where there is none), ``json`` the compact JSON. A format with a
+    separator or a line break in a cell is left out, never rewritten.
+    """
 
     def joined(separator: str) -> Column:
         return F.array_join(F.transform(F.concat(F.array(names), rows), lambda r: F.array_join(r, separator)), "\n")
 
-    def carries(separator: str) -> Column:
-        return F.forall(rows, lambda r: ~F.array_join(r, "").rlike(f"[{separator}\\n\\r]"))
+    def carries(characters: str) -> Column:
+        return F.forall(rows, lambda r: ~F.array_join(r, "").rlike(f"[{characters}\\n\\r]"))
 
     def quoted(text: Column) -> Column:
-        return F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
-
-    csv = F.array_join(F.concat(F.array(F.array_join(names, ",")), F.transform(rows, lambda r: F.array_join(F.transform(r, quoted), ","))), "\n")
-    literal = F.regexp_replace(F.regexp_replace(json, "\"(\\w+)\":", "'$1': "), ",", ", ")
-    made = [("json", json, F.lit(True)), ("tabular", joined(" | "), carries("|")), ("tsv", joined("\t"), carries("\\t")), ("csv", csv, F.lit(True)), ("python", literal, F.lit(True))]
+        return F.when(text.rlike('[",]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    csv = F.array_join(F.transform(F.concat(F.array(names), rows), lambda r: F.array_join(F.transform(r, quoted), ",")), "\n")
+    tail = F.when(F.size(names) == 1, F.lit(",")).otherwise("")
+    tuples = F.array_join(F.transform(literals, lambda r: F.concat(F.lit("("), F.array_join(r, ","), tail, F.lit(")"))), ",")
+    title = F.transform(names, _repr)
+    literal = F.concat(F.lit("cols=["), F.array_join(title, ", "), F.lit("]\nrows=["), tuples, F.lit("]"))
+    whole = F.forall(literals, lambda r: ~F.exists(r, lambda x: x.isNull())) & ~F.exists(title, lambda x: x.isNull())
+    made = [("json", json, F.lit(True)), ("tabular", joined(" | "), carries("|")), ("tsv", joined("\t"), carries("\\t")), ("csv", csv, carries("")), ("python", literal, whole)]
     every = F.array(*[F.struct(F.length(t).alias("cost"), F.lit(k).alias("k"), F.lit(n).alias("format"), t.alias("text"), ok.alias("ok")) for k, (n, t, ok) in enumerate(made)])
     return F.filter(every, lambda e: e["ok"])
 
@@ -322,44 +392,37 @@ def _cheapest(every: Column) -> Column:
 
 
 def encodings(rows: Column, names: list[str]) -> Column:
-    """The texts of an array of structs in five formats, as an array of (cost, order, format, text).
+    """The texts of an array of structs in five formats, as in ``_formats``.
 
-    A format that cannot carry a value (a cell with its separator or a line
-    break) is left out. The cost is the length in characters.
+    Strings, booleans and whole numbers have Python literals; other types leave
+    that format out. The cost is the length in characters.
     """
-    def cell(r: Column, n: str) -> Column:
-        return F.coalesce(r[n].cast("string"), F.lit(""))
-
-    def joined(separator: str) -> Column:
-        head = F.lit(separator.join(names))
-        body = F.transform(rows, lambda r: F.concat_ws(separator, *[cell(r, n) for n in names]))
-        return F.array_join(F.concat(F.array(head), body), "\n")
 
-    def carries(separator: str) -> Column:
-        return F.forall(rows, lambda r: ~F.concat_ws("", *[cell(r, n) for n in names]).rlike(f"[{separator}\\n\\r]"))
+    def literal(r: Column, n: str) -> Column:
+        text, kind = r[n].cast("string"), F.typeof(r[n])
+        return (
+            F.when(r[n].isNull(), F.lit("None"))
+            .when(kind == "string", _repr(text))
+            .when(kind == "boolean", F.initcap(text))
+            .when(kind.isin("bigint", "int", "smallint", "tinyint"), text)
+        )
 
-    def quoted(r: Column, n: str) -> Column:
-        text = cell(r, n)
-        return F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
-
-    csv = F.array_join(F.concat(F.array(F.lit(",".join(names))), F.transform(rows, lambda r: F.concat_ws(",", *[quoted(r, n) for n in names]))), "\n")
-    json = F.to_json(rows)
-    literal = F.regexp_replace(F.regexp_replace(json, "\"(\\w+)\":", "'$1': "), ",", ", ")
-    made = [("json", json, F.lit(True)), ("tabular", joined(" | "), carries("|")), ("tsv", joined("\t"), carries("\\t")), ("csv", csv, F.lit(True)), ("python", literal, F.lit(True))]
-    every = F.array(*[F.struct(F.length(t).alias("cost"), F.lit(k).alias("k"), F.lit(n).alias("format"), t.alias("text"), ok.alias("ok")) for k, (n, t, ok) in enumerate(made)])
-    return F.filter(every, lambda e: e["ok"])
+    columns = F.array(*[F.lit(n) for n in names])
+    cells_of = F.transform(rows, lambda r: F.array(*[F.coalesce(r[n].cast("string"), F.lit("")) for n in names]))
+    literals = F.transform(rows, lambda r: F.array(*[literal(r, n) for n in names]))
+    return _formats(columns, cells_of, literals, F.to_json(rows, {"ignoreNullFields": "false"}))
 
 
 def choose_format(rows: Column, names: list[str]) -> Column:
     """the cheapest format's (cost, k, format, text), or compact JSON where it saves less than 8 percent."""
-    every = encodings(rows, names)
+    return _cheapest(encodings(rows, names))
 
-    def chosen(e: Column) -> Column:
-        json = F.get(F.filter(e, lambda x: x["format"] == "json"), F.lit(0))
-        best = F.array_min(e)
-        return F.when(best["cost"] <= json["cost"] * (1 - V.FORMAT_GAIN), best).otherwise(json)
 
-    return T.let(every, chosen)
+def parse_rows(bodies: DataFrame) -> DataFrame:
+    """(handle, row_no, row map<string,string>) of bodies that are uniform JSON tables."""
+    found = bodies.where(uniform(F.col("body")))
+    rows = F.posexplode(F.from_json("body", "array<map<string,string>>")).alias("n", "row")
+    return found.select("handle", rows).select("handle", (F.col("n") + 1).alias("row_no"), "row")
 
 
 def uniform(body: Column) -> Column:

@@ -43,6 +43,39 @@ def bond_weights(events: DataFrame, cap: int = V.BOND_CAP) -> DataFrame:
     return counted.orderBy(F.desc("weight"), F.desc("last"), F.asc("term"), F.asc("id")).limit(cap)
 
 
+def bond_pairs(queries: DataFrame, served: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, term, id): the tokens of a query (query_id, text) that a fact it was served (query_id, id) lacks."""
+    asked = queries.select("query_id", T.tokens(F.col("text")).alias("own"))
+    held = facts.select("id", T.tokens(F.col("fact")).alias("words"))
+    both = served.select("query_id", "id").distinct().join(asked, "query_id").join(held, "id")
+    return both.select("query_id", F.explode(F.array_except("own", "words")).alias("term"), "id")
+
+
+def drop_bonds(bonds: DataFrame, gone: DataFrame) -> DataFrame:
+    """Bonds (term, id, ...) less those of facts (id) that are gone or were reset."""
+    return bonds.join(gone.select("id"), "id", "left_anti")
+
+
+def turn_marks(hits: DataFrame, queries: DataFrame, facts: DataFrame, run_id: str) -> DataFrame:
+    """R1.10, G3: the marks of a recall (run_id, kind, fact_id, term): each fact served, and each bond it may earn."""
+    served = hits.select("query_id", F.col("key").try_cast("long").alias("id")).where("id IS NOT NULL")
+    run = F.lit(run_id).alias("run_id")
+    marks = served.select(run, F.lit("served").alias("kind"), F.col("id").alias("fact_id"), F.lit(None).cast("string").alias("term")).distinct()
+    bonds = bond_pairs(queries, served, facts).select(run, F.lit("bond").alias("kind"), F.col("id").alias("fact_id"), "term").distinct()
+    return marks.unionByName(bonds)
+
+
+def graded(marks: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turn events, bond events) of marks (run_id, kind, fact_id, term) and outcomes (run_id, outcome, seq, ts).
+
+    Stopped runs and runs without an outcome give nothing; bonds come of good runs alone.
+    """
+    ended = marks.join(outcomes.where("outcome <> 'stopped'"), "run_id")
+    turns = ended.where("kind <> 'bond'").select("seq", "run_id", "fact_id", "kind", "outcome", "ts").distinct()
+    bonds = ended.where("kind = 'bond' AND outcome = 'ok'").select("term", "fact_id", "ts").distinct()
+    return turns, bonds
+
+
 def grafts(record: Column) -> Column:
     """The graft log ``tree:uses:wins;...`` as an array of structs; parts that cannot be read are left out."""
     parts = F.filter(F.split(F.coalesce(record, F.lit("")), ";"), lambda p: p.rlike(rf"^({'|'.join(V.TREES)}):-?\d+:-?\d+$"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vocab as V
-from millrace.operators.merge import checkpointed
+from millrace.sources.staging import staged
 
 
 def fingerprint(tool: Column, body: Column) -> Column:
@@ -37,7 +37,7 @@ def allocate(rows: DataFrame, kind: Column, order: list[Column], top: DataFrame
     sortable = rows.withColumn("_kind", letter)
     keys = [F.col("_kind"), *order]
     ranged = sortable.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    ranged = checkpointed(ranged)  # the boundaries come from a sample
+    ranged = staged(ranged, "handles")  # the boundaries come from a sample
     ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
     counts = ranged.groupBy("_kind", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     before = Window.partitionBy("_kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +83,7 @@ def sweep(blobs: DataFrame, as_of: Column, days: int = V.TTL_DAYS) -> tuple[Data
     """
     old = F.col("touched_at") < as_of - F.expr(f"INTERVAL {int(days)} DAYS")
     gone = blobs.where(old)
-    tombs = gone.drop("body").orderBy(F.desc("touched_at"), F.desc(handle_number(F.col("handle")))).limit(V.TOMBS)
+    tombs = gone.withColumn("chars", F.length("body")).drop("body").orderBy(F.desc("touched_at"), F.desc(handle_number(F.col("handle")))).limit(V.TOMBS)
     swept = gone.groupBy(F.left("handle", F.lit(1)).alias("kind")).agg(F.max(handle_number(F.col("handle"))).alias("mark"))
     return blobs.where(~old), tombs, swept
 
@@ -127,5 +127,49 @@ def decay(entities: DataFrame, factor: float = 0.9) -> DataFrame:
 
 
 def hot_entities(entities: DataFrame, limit: int = 12) -> DataFrame:
-    """K9: the hottest entities, then the last seen, then by name."""
-    return entities.orderBy(F.desc("hot"), F.desc("last_seen"), F.asc("kind"), F.asc("ident")).limit(limit)
+    """K9: the hottest entities, then the last seen, then by name; with a ``handle`` they come in its order.
+
+    What is hot decides which are shown, the handle in what order, so that a list
+    shown again changes as little as it can. The limit is the report's own.
+    """
+    best = entities.orderBy(F.desc("hot"), F.desc("last_seen"), F.asc("kind"), F.asc("ident")).limit(limit)
+    if "handle" in entities.columns:
+        best = best.orderBy(F.left("handle", F.lit(1)), handle_number(F.col("handle")))
+    return best
+
+
+def blob_meta(blobs: DataFrame) -> DataFrame:
+    """(handle, tool, chars, touched_at) without the bodies: of a stored table only their lengths are computed."""
+    return blobs.select("handle", "tool", F.length("body").alias("chars"), "touched_at")
+
+
+def tomb_meta(asked: DataFrame, tombs: DataFrame) -> DataFrame:
+    """Asked (handle) with what a tomb still says of it: tool, chars, touched_at; no row for other handles."""
+    wanted = asked.where(F.col("handle").rlike("^[A-Z][0-9]+$")).select("handle").distinct()
+    return tombs.join(wanted, "handle", "left_semi").select("handle", "tool", "chars", "touched_at")
+
+
+def live_handles(blobs: DataFrame, limit: int = 12) -> DataFrame:
+    """The newest held bodies (handle, tool, chars), for an answer to a handle that does not exist."""
+    newest = blobs.orderBy(F.desc("touched_at"), F.desc(handle_number(F.col("handle")))).limit(max(1, limit))
+    return newest.select("handle", "tool", F.length("body").alias("chars"))
+
+
+def touch(blobs: DataFrame, reads: DataFrame) -> DataFrame:
+    """Blobs with ``touched_at`` at their last read (handle, ts), if that is later."""
+    last = reads.groupBy("handle").agg(F.max("ts").alias("_read"))
+    return blobs.join(last, "handle", "left").withColumn("touched_at", F.greatest("touched_at", "_read")).drop("_read")
+
+
+def without(blobs: DataFrame, drops: DataFrame) -> DataFrame:
+    """Blobs less those that were dropped (handle, or null for all). Numbers given before stay used."""
+    rows = blobs.join(drops.where("handle IS NOT NULL"), "handle", "left_anti")
+    cleared = drops.where("handle IS NULL").agg((F.count(F.lit(1)) > 0).alias("_all"))
+    return rows.crossJoin(F.broadcast(cleared)).where("NOT _all").drop("_all")  # one row
+
+
+def ledger_stats(blobs: DataFrame, entities: DataFrame, since: Column | None = None) -> DataFrame:
+    """One row (entities, blobs, held_chars); ``since`` bounds the blobs alone."""
+    counted = blobs if since is None else blobs.where(F.col("touched_at") >= since)
+    held = counted.agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("held_chars"))
+    return entities.agg(F.count(F.lit(1)).alias("entities")).crossJoin(F.broadcast(held))  # two single rows

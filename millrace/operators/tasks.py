@@ -49,6 +49,30 @@ def associated(seeds: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
     return top(fresh, "query_id", [F.desc("weight"), F.asc("id")], limit)
 
 
+def predict_with_related(requests: DataFrame, patterns: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
+    """(query_id, id, related, rank): the best patterns, then those tied to them that are not among them."""
+    hits = predict(requests, patterns, limit).select("query_id", "id", "rank")
+    more = associated(hits.select("query_id", "id"), edges).join(patterns.select("id"), "id", "left_semi")
+    base = hits.groupBy("query_id").agg(F.max("rank").alias("base"))
+    after = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    more = more.join(base, "query_id").select("query_id", "id", F.lit(True).alias("related"), (F.col("base") + after).alias("rank"))
+    return hits.select("query_id", "id", F.lit(False).alias("related"), "rank").unionByName(more)
+
+
+def reinforce_patterns(requests: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tallies (id, uses, wins, last_used), edges (a, b, weight)) of requests (query_id, text, outcome, ts).
+
+    Every pattern that a request covers is used, and wins if it ended well; every
+    pair that one request covers gains one. Stopped requests count for nothing.
+    """
+    ended = requests.where("outcome <> 'stopped'")
+    fired = coverage(ended, patterns).select("query_id", "id")
+    tallied = fired.join(ended.select("query_id", "outcome", "ts"), "query_id").groupBy("id").agg(
+        F.count(F.lit(1)).alias("uses"), F.count_if(F.col("outcome") == "ok").alias("wins"), F.max("ts").alias("last_used")
+    )
+    return tallied, cofire_edges(fired.withColumnRenamed("query_id", "turn"))
+
+
 def similar_episode(requests: DataFrame, episodes: DataFrame) -> DataFrame:
     """(query_id, id, overlap): of the newest 300 good episodes the one that shares most tokens, two at least; ties go to the newest."""
     recent = episodes.where("outcome = 'ok'").orderBy(F.desc("id")).limit(V.RECENT_EPISODES)
@@ -123,6 +147,31 @@ def promotions(episodes: DataFrame, mined: DataFrame | None = None, patterns: Da
     return named.orderBy("component").limit(V.PROMOTIONS).select("trigger", "key", "uses", "newest")
 
 
+def pattern_list(patterns: DataFrame, limit: int = 200) -> DataFrame:
+    """Patterns with their confidence to two places, strongest first: taught, confidence, last use, then the id."""
+    shown = patterns.withColumn("confidence", F.round(T.confidence(F.col("uses"), F.col("wins"), F.col("taught")), 2))
+    order = [F.desc("taught"), F.desc("confidence"), F.desc_nulls_last("last_used"), F.desc("id")]
+    return shown.orderBy(*order).limit(limit)
+
+
+def episode_list(episodes: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest episodes."""
+    return episodes.orderBy(F.desc("id")).limit(limit)
+
+
+def episode_rows(turns: DataFrame) -> DataFrame:
+    """Turns (id, ts, request, summary, tools, outcome) as episodes, their texts cut to 500, 400 and 200 characters."""
+    cut = {c: F.left(F.coalesce(c, F.lit("")), F.lit(n)) for c, n in (("request", 500), ("summary", 400), ("tools", 200))}
+    return turns.withColumns(cut)
+
+
+def forget_patterns(patterns: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns, edges) less the forgotten ones (id) and every edge that touches one."""
+    ids = gone.select("id").distinct()
+    left = edges.join(ids.withColumnRenamed("id", "a"), "a", "left_anti").join(ids.withColumnRenamed("id", "b"), "b", "left_anti")
+    return patterns.join(ids, "id", "left_anti"), left.select("a", "b", "weight")
+
+
 def learn(writes: DataFrame) -> DataFrame:
     """(key, trigger, resolution, taught, uses, wins) from writes (seq, trigger, resolution, taught).
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType
 
@@ -88,8 +88,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("folder", T.auto_folder(F.col("fact"), F.col("category")))
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ASKED), "query_id long, text string")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few questions that the notes can answer, and everything said in conversations."""
+    fixed = spark.createDataFrame(list(ASKED), "query_id long, text string")
+    said = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return fixed.unionByName(said)
 
 
 def _list(words) -> str:
@@ -137,7 +140,8 @@ _NOTES = (
     f"({_list(_CATEGORIES)})[p_size % 4 + 1] AS category FROM part"
 )
 _FILED = f"SELECT *, {_folder('fact', 'category')} AS folder FROM ({_NOTES})"
-_ASKED = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in ASKED) + ") a(query_id, text)"
+_FIXED = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, t in ASKED) + ") v(query_id, text)"
+_ASKED = f"(SELECT query_id::BIGINT, text FROM {_FIXED} UNION ALL SELECT 1000 + conv_id * 1000 + turn, text FROM conversations) a(query_id, text)"
 _DOC_TOKENS = f"SELECT doc_id AS id, unnest({_tok('text')}) AS token FROM documents"
 _Q_TOKENS = f"SELECT item_id AS query_id, unnest({_tok('text')}) AS token FROM benchmark"
 
@@ -182,7 +186,7 @@ _SECTOR_RANK = (
 
 @query(_SECTOR_RANK + "SELECT query_id, rank, id, overlap, bonus FROM k WHERE rank <= 8")
 def recall_sector_bonus(spark, sf_dir):
-    ranked = recall.keyword_rank(asked(spark), notes(spark, sf_dir), V.RECALL_LIMIT)
+    ranked = recall.keyword_rank(asked(spark, sf_dir), notes(spark, sf_dir), V.RECALL_LIMIT)
     return ranked.select("query_id", "rank", "id", "overlap", "bonus")
 
 
@@ -264,7 +268,7 @@ _PELLETS = (
 
 @query(_PELLETS + "SELECT query_id, term, weight FROM s")
 def scatter_pellets(spark, sf_dir):
-    return recall.pellets(asked(spark), notes(spark, sf_dir))
+    return recall.pellets(asked(spark, sf_dir), notes(spark, sf_dir))
 
 
 @query(
@@ -275,18 +279,52 @@ def scatter_pellets(spark, sf_dir):
     + "SELECT query_id, id, score, rank FROM k WHERE rank <= 3 AND score >= 0.5 * best"
 )
 def scatter_fill(spark, sf_dir):
-    return recall.scatter(asked(spark), notes(spark, sf_dir)).select("query_id", "id", "score", "rank")
+    return recall.scatter(asked(spark, sf_dir), notes(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
-@query()
+_RECALL = (
+    _PELLETS
+    + ", kw AS (SELECT query_id, id, count(*) AS overlap FROM t JOIN q USING (token) GROUP BY ALL), "
+    + f"kb AS (SELECT kw.*, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.query_id = kw.query_id AND r.name = {_sector('n.folder')}) THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM kw JOIN n USING (id)), "
+    + "kr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, bonus DESC, id DESC) AS rk FROM kb UNION ALL "
+    + "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) FROM (SELECT query_id FROM a WHERE query_id NOT IN (SELECT query_id FROM q)), (SELECT id FROM n ORDER BY id DESC LIMIT 24)), "
+    + "fu AS (SELECT query_id, id, round(1.0::DOUBLE / (60 + rk), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rank FROM kr WHERE rk <= 24), "
+    + "fk AS (SELECT * FROM fu WHERE rank <= 8), base AS (SELECT query_id, max(rank) AS base FROM fk GROUP BY 1), "
+    + "sh AS (SELECT query_id, id, sum(weight) AS hit FROM t JOIN s ON t.token = s.term WHERE NOT EXISTS (SELECT 1 FROM fk WHERE fk.query_id = s.query_id AND fk.id = t.id) GROUP BY ALL), "
+    + f"so AS (SELECT query_id, id, round(hit + CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.query_id = sh.query_id AND r.name = {_sector('n.folder')}) THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END, 9) AS score FROM sh JOIN n USING (id)), "
+    + "sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rk, max(score) OVER (PARTITION BY query_id) AS best FROM so), "
+    + "sk AS (SELECT sr.query_id, id, score, rk + coalesce(base, 0) AS rank FROM sr LEFT JOIN base USING (query_id) WHERE rk <= 3 AND score >= 0.5 * best AND rk + coalesce(base, 0) <= 8), "
+    + "hit AS (SELECT query_id, rank, id::VARCHAR AS key, 'fused' AS source, score FROM fk UNION ALL SELECT query_id, rank, id::VARCHAR, 'scatter', score FROM sk), "
+    + f"le AS (SELECT r.query_id, n.id, row_number() OVER (PARTITION BY r.query_id ORDER BY n.id DESC) AS rank FROM r JOIN n ON r.name = {_sector('n.folder')} WHERE r.query_id NOT IN (SELECT query_id FROM hit)) "
+    + "SELECT * FROM hit UNION ALL SELECT query_id, rank, id::VARCHAR, 'sector', 0.0::DOUBLE FROM le WHERE rank <= 8"
+)
+
+
+@query(_RECALL)
 def recall_full(spark, sf_dir):
-    return recall.recall(asked(spark), notes(spark, sf_dir))
+    return recall.recall(asked(spark, sf_dir), notes(spark, sf_dir))
 
 
-@query()
+_PRIME = (
+    f"WITH n AS (SELECT *, category AS cues FROM ({_FILED}) WHERE id % 7 <> 0), a AS (SELECT * FROM {_ASKED.replace(' a(', ' x(')}), q AS (SELECT query_id, unnest({_tok('text')}) AS token FROM a WHERE len({_tok('text')}) >= 2), "
+    f"t AS (SELECT id, unnest({_tok('fact')}) AS token, 0 AS hint FROM n UNION ALL SELECT id, unnest({_tok('cues')}), 1 FROM n), "
+    "h AS (SELECT query_id, id, count(*) FILTER (hint = 0) AS l, least(count(*) FILTER (hint = 1), 3) AS c, count(DISTINCT token) AS k FROM t JOIN q USING (token) GROUP BY ALL), "
+    "o AS (SELECT query_id, id, length('#' || id || ' [' || category || '] ' || fact) AS cost, row_number() OVER (PARTITION BY query_id ORDER BY l DESC, c DESC, id DESC) AS rk FROM h JOIN n USING (id) WHERE k >= 2) "
+)
+
+
+@query(
+    _PRIME.replace("WITH n AS", "WITH RECURSIVE n AS")
+    + ", f AS (SELECT query_id, id, cost, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rk FROM o WHERE cost <= 120), "
+    + "g(query_id, rk, used, taken, id) AS (SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM f UNION ALL "
+    + "SELECT g.query_id, f.rk, CASE WHEN taken < 3 AND used + cost + CASE WHEN taken > 0 THEN 1 ELSE 0 END <= 120 THEN used + cost + CASE WHEN taken > 0 THEN 1 ELSE 0 END ELSE used END, "
+    + "CASE WHEN taken < 3 AND used + cost + CASE WHEN taken > 0 THEN 1 ELSE 0 END <= 120 THEN taken + 1 ELSE taken END, "
+    + "CASE WHEN taken < 3 AND used + cost + CASE WHEN taken > 0 THEN 1 ELSE 0 END <= 120 THEN f.id END FROM g JOIN f ON f.query_id = g.query_id AND f.rk = g.rk + 1 WHERE g.taken < 3) "
+    + "SELECT query_id, taken AS pos, id FROM g WHERE id IS NOT NULL"
+)
 def prime_budget(spark, sf_dir):
-    known = notes(spark, sf_dir).withColumns({"cues": T.retrieval_cues(F.col("category")), "unproven": F.col("id") % 7 == 0})
-    return recall.prime(asked(spark).withColumn("known", F.lit("")), known, 3, 120)
+    known = notes(spark, sf_dir).withColumns({"cues": F.col("category"), "unproven": F.col("id") % 7 == 0})
+    return recall.prime(asked(spark, sf_dir).withColumn("known", F.lit("")), known, 3, 120)
 
 
 @query(f"SELECT id, folder FROM ({_FILED}) WHERE folder NOT LIKE '%/%' AND id % 7 <> 0 ORDER BY id DESC LIMIT 8")
@@ -428,6 +466,88 @@ def claim_change(spark, sf_dir):
     return merge.claim_changes(pairs).select("id_new", "id_old", "polarity_flip")
 
 
+@query(
+    "WITH o AS (SELECT o_orderkey AS id, 'paid ' || o_totalprice::DECIMAL(18, 2)::VARCHAR || ' on ' || strftime(o_orderdate, '%Y-%m-%d') || ' for ' || o_orderkey || ', ref x' || o_custkey AS t, o_totalprice, o_orderdate FROM orders) "
+    "SELECT id, o_totalprice::DECIMAL(18, 2)::VARCHAR || '|' || strftime(o_orderdate, '%Y-%m-%d') || '|' || id AS numbers FROM o"
+)
+def number_sequence(spark, sf_dir):
+    """T9 over one sentence for each order."""
+    price, day = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    said = F.concat(F.lit("paid "), price, F.lit(" on "), day, F.lit(" for "), F.col("o_orderkey").cast("string"), F.lit(", ref x"), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(T.numbers(said), "|").alias("numbers"))
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as short claims of a few users, some with a cue gap, with the time they were made."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    vague = F.concat(F.lit("This is "), kind, F.lit(" user"), user)
+    fact = F.when(F.col("event_id") % 3 == 0, vague).otherwise(F.concat(F.lit("The "), kind, F.lit(" came from user"), user, F.lit(" at site"), (F.col("event_id") % 7).cast("string")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), fact.alias("fact"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+_CLAIMS = (
+    "SELECT event_id AS id, ts, event_id % 3 = 0 AS vague, event_type AS kind, user_id FROM events"
+)
+
+
+@query(
+    f"WITH c AS ({_CLAIMS}) SELECT a.id AS id_new, b.id AS id_old FROM c a JOIN c b ON a.kind = b.kind AND a.user_id = b.user_id AND a.id > b.id AND NOT a.vague AND b.vague "
+    "AND b.ts >= a.ts - INTERVAL 3600 SECONDS AND b.ts <= a.ts"
+)
+def elaborated_pairs(spark, sf_dir):
+    return merge.elaborated_pairs(_claims(spark, sf_dir))
+
+
+@query(
+    f"WITH q AS ({_Q_TOKENS}), d AS ({_DOC_TOKENS}), h AS (SELECT query_id, id, count(*) AS o FROM d JOIN q USING (token) GROUP BY ALL), "
+    "s AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, id DESC) AS rk FROM h) WHERE rk <= 8) "
+    "SELECT s.query_id, q.token AS term, s.id FROM s JOIN q USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = s.id AND d.token = q.token)"
+)
+def bond_pairs(spark, sf_dir):
+    known, wanted = facts(spark, sf_dir), questions(spark, sf_dir)
+    served = recall.keyword_rank(wanted, known, V.RECALL_LIMIT).select("query_id", "id")
+    return grading.bond_pairs(wanted, served, known)
+
+
+@query(
+    f"WITH q AS ({_Q_TOKENS}), b AS (SELECT c_custkey AS id, t.token AS term, c_custkey % 4 + 1 AS weight FROM customer JOIN (SELECT token, row_number() OVER (ORDER BY token) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT token FROM q)) t ON t.k = c_custkey % t.n) "
+    "SELECT query_id, id, sum(weight)::DOUBLE AS bond FROM b JOIN q ON q.token = b.term GROUP BY ALL"
+)
+def bond_hits(spark, sf_dir):
+    wanted = questions(spark, sf_dir)
+    terms = recall.query_tokens(wanted).select("token").distinct()
+    ranked = terms.withColumns({"k": F.row_number().over(Window.orderBy("token")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})  # words of the questions
+    rows = table(spark, sf_dir, "customer").join(ranked, F.col("k") == F.col("c_custkey") % F.col("n"))
+    bonds = rows.select(F.col("token").alias("term"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 4 + 1).alias("weight"))
+    return recall.bond_hits(wanted, bonds)
+
+
+_MIXED = (
+    "WITH h AS (SELECT vec_id % 40 AS query_id, row_number() OVER (PARTITION BY vec_id % 40 ORDER BY vec_id) AS pos, CASE vec_id % 4 WHEN 0 THEN vec_id WHEN 1 THEN vec_id + 100000000 END AS mem_id, "
+    "CASE vec_id % 4 WHEN 3 THEN 'loose ' || vec_id % 5 WHEN 2 THEN '  ' || text ELSE 'hit' || vec_id END AS snippet FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id // 3), "
+)
+
+
+@query(
+    _MIXED
+    + "f AS (SELECT lower(trim(text)) AS low, min(doc_id) AS text_id FROM documents GROUP BY 1), "
+    + "k AS (SELECT h.query_id, h.pos, coalesce(h.mem_id::VARCHAR, f.text_id::VARCHAR, 'txt:' || lower(trim(snippet))) AS key FROM h LEFT JOIN f ON f.low = lower(trim(snippet)) LEFT JOIN documents d ON d.doc_id = h.mem_id "
+    + "WHERE length(trim(snippet)) > 3 AND (h.mem_id IS NULL OR d.doc_id IS NOT NULL)), g AS (SELECT query_id, key, min(pos) AS pos FROM k GROUP BY ALL) "
+    + "SELECT query_id, key, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, key) AS rank FROM g) WHERE rank <= 24"
+)
+def semantic_lookup(spark, sf_dir):
+    """Hits by id, by unknown id, by text and loose ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 3").alias("doc_id")).join(docs, "doc_id", "left")
+    k = F.col("vec_id") % 4
+    mem = F.when(k == 0, F.col("vec_id")).when(k == 1, F.col("vec_id") + 100000000)
+    number = F.col("vec_id").cast("string")
+    snippet = F.when(k == 3, F.concat(F.lit("loose "), (F.col("vec_id") % 5).cast("string"))).when(k == 2, F.concat(F.lit("  "), F.col("text"))).otherwise(F.concat(F.lit("hit"), number))
+    pos = F.row_number().over(Window.partitionBy(F.col("vec_id") % 40).orderBy("vec_id"))
+    hits = rows.select((F.col("vec_id") % 40).alias("query_id"), pos.alias("pos"), mem.alias("mem_id"), snippet.alias("snippet"))
+    return recall.semantic_rank(hits, facts(spark, sf_dir), 24)
+
+
 @query()
 def ordered_ingest(spark, sf_dir):
     return merge.ordered_ingest(facts(spark, sf_dir)).select("seq", "target", "action")
@@ -520,12 +640,12 @@ def orchard(spark, sf_dir):
 
 
 @query(
-    f"WITH t AS (SELECT unnest({_tok('c.text')}) AS term, event_id % 97 AS fact_id, ts FROM events e JOIN conversations c ON c.conv_id = e.user_id AND c.turn = 0 WHERE event_type = 'click') "
+    f"WITH t AS (SELECT unnest({_tok('c.text')}) AS term, event_id % 97 AS fact_id, ts FROM events e JOIN conversations c ON c.conv_id = e.user_id WHERE event_type = 'click') "
     "SELECT term, fact_id AS id, count(*) AS weight FROM t GROUP BY ALL ORDER BY weight DESC, max(ts) DESC, term, id LIMIT 4000"
 )
 def bond_weights(spark, sf_dir):
     clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
-    said = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("user_id"), "text")
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("user_id"), "text")
     rows = clicks.join(said, "user_id").select(F.explode(T.tokens(F.col("text"))).alias("term"), (F.col("event_id") % 97).alias("fact_id"), "ts")
     return grading.bond_weights(rows).select("term", "id", "weight")
 
@@ -553,13 +673,13 @@ _COVERED = (
 )
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    return asked(spark).withColumn("text", F.concat("text", F.lit(" needs audio mixing deploy git music track linux")))
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" needs audio mixing deploy git music track linux")))
 
 
 @query(_COVERED + "SELECT query_id, id, round(covered, 6) AS covered FROM c WHERE covered >= 0.6")
 def pattern_coverage(spark, sf_dir):
-    return tasks.coverage(_requests(spark), _patterns(spark, sf_dir)).select("query_id", "id", F.round("covered", 6).alias("covered"))
+    return tasks.coverage(_requests(spark, sf_dir), _patterns(spark, sf_dir)).select("query_id", "id", F.round("covered", 6).alias("covered"))
 
 
 @query(
@@ -570,7 +690,7 @@ def pattern_coverage(spark, sf_dir):
     + "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM k) WHERE rank <= 3"
 )
 def pattern_rank(spark, sf_dir):
-    return tasks.predict(_requests(spark), _patterns(spark, sf_dir))
+    return tasks.predict(_requests(spark, sf_dir), _patterns(spark, sf_dir))
 
 
 _FIRED = "SELECT DISTINCT user_id * 100 + day(ts) AS turn, event_id % 23 AS id FROM events"
@@ -625,33 +745,103 @@ _EPISODES = (
     "SELECT query_id, id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, id DESC) AS rk FROM h WHERE overlap >= 2) WHERE rk = 1"
 )
 def similar_episode(spark, sf_dir):
-    wanted = asked(spark).withColumn("text", F.concat("text", F.lit(" invoice backup photos")))
+    wanted = asked(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" invoice backup photos")))
     return tasks.similar_episode(wanted, _episodes(spark, sf_dir))
 
 
 _CLUSTERS = (
-    f"WITH RECURSIVE e AS (SELECT request, min(id) AS id FROM ({_EPISODES}) WHERE outcome = 'ok' GROUP BY 1), s AS (SELECT id, {_tok('request')} AS w FROM e WHERE len({_tok('request')}) >= 2), "
+    f"WITH RECURSIVE e AS (SELECT id, ts, request, list_sort({_tok('request')}) AS w FROM ({_EPISODES}) WHERE outcome = 'ok' AND len({_tok('request')}) >= 2), s AS (SELECT w, min(id) AS id FROM e GROUP BY 1), "
     f"p AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.id <> b.id AND {_JACCARD} >= 0.5), "
-    "r(id, root) AS (SELECT id, id FROM s UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.id WHERE r.root < p.y) "
-    "SELECT id, min(root) AS component FROM r GROUP BY 1"
+    "r(id, root) AS (SELECT id, id FROM s UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.id WHERE r.root < p.y), "
+    "l AS (SELECT id, min(root) AS component FROM r GROUP BY 1), c AS (SELECT e.id, e.ts, e.request, l.component FROM e JOIN s USING (w) JOIN l ON l.id = s.id) "
 )
 
 
-@query(_CLUSTERS)
+@query(_CLUSTERS + "SELECT id, component FROM c")
 def episode_clusters(spark, sf_dir):
     return tasks.episode_clusters(_episodes(spark, sf_dir))
 
 
 @query(
-    _CLUSTERS.replace("SELECT id, min(root) AS component FROM r GROUP BY 1", "")
-    + f", c AS (SELECT id, min(root) AS component FROM r GROUP BY 1), m AS (SELECT request, min(id) AS id, min(ts) AS ts FROM ({_EPISODES}) WHERE outcome = 'ok' GROUP BY 1), "
-    + f"g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest FROM m JOIN c USING (id) GROUP BY 1) "
+    _CLUSTERS
+    + f", g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest FROM c GROUP BY 1) "
     + f"SELECT trigger, array_to_string(list_sort({_tok('trigger')}), ' ') AS key, uses, newest FROM g WHERE uses >= 3 AND days >= 2 ORDER BY component LIMIT 3"
 )
 def habit_promotion(spark, sf_dir):
     return tasks.promotions(_episodes(spark, sf_dir))
 
 
+@query(
+    _CLUSTERS
+    + f", g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest FROM c GROUP BY 1), "
+    + f"k AS (SELECT *, array_to_string(list_sort({_tok('trigger')}), ' ') AS key FROM g WHERE uses >= 3 AND days >= 2) "
+    + "SELECT trigger, key, uses, newest FROM k WHERE key NOT LIKE 'archive%' AND key NOT LIKE '%invoice%' ORDER BY component LIMIT 3"
+)
+def habit_exclusion(spark, sf_dir):
+    """Keys mined before and triggers that a pattern covers are left out."""
+    done = _episodes(spark, sf_dir)
+    mined = done.select(T.trigger_key(F.col("request")).alias("key")).where("key LIKE 'archive%'").distinct()
+    patterns = spark.createDataFrame([(1, "invoice")], "id long, key string")
+    return tasks.promotions(done, mined, patterns)
+
+
+@query(
+    _COVERED
+    + f", r AS ({_routed('a', 'query_id', 'text')}), k AS (SELECT c.query_id, c.id, round(CASE WHEN taught THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END "
+    + "+ (CASE WHEN taught THEN greatest((wins + 1)::DOUBLE / (uses + 2), 0.9::DOUBLE) ELSE (wins + 1)::DOUBLE / (uses + 2) END) * covered + least(uses, 20) / 100.0::DOUBLE "
+    + "+ CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.query_id = c.query_id AND r.name = c.sector) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END, 9) AS score FROM c WHERE covered >= 0.6), "
+    + "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rank FROM k) WHERE rank <= 3), "
+    + "e AS (SELECT id AS a, id + 1 AS b, id % 9 + 1 AS weight FROM p WHERE id + 1 IN (SELECT id FROM p)), d AS (SELECT a AS x, b AS y, weight FROM e UNION ALL SELECT b, a, weight FROM e), "
+    + "o AS (SELECT query_id, y AS id, sum(weight) AS weight FROM h JOIN d ON h.id = d.x WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.query_id = h.query_id AND z.id = d.y) GROUP BY ALL), "
+    + "m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, id) AS rk FROM o) "
+    + "SELECT query_id, id, false AS related, rank FROM h UNION ALL SELECT m.query_id, m.id, true, n + rk FROM m JOIN (SELECT query_id, max(rank) AS n FROM h GROUP BY 1) USING (query_id) WHERE rk <= 3"
+)
+def predict_related(spark, sf_dir):
+    patterns = _patterns(spark, sf_dir)
+    ids = patterns.select("id")
+    edges = ids.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") % 9 + 1).alias("weight")).join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    return tasks.predict_with_related(_requests(spark, sf_dir), patterns, edges.select("a", "b", "weight"))
+
+
+@query(
+    _COVERED
+    + "SELECT id, count(*) AS uses, count(*) FILTER (query_id % 4 = 1) AS wins FROM c WHERE covered >= 0.6 AND query_id % 4 <> 3 GROUP BY 1"
+)
+def pattern_tally(spark, sf_dir):
+    wanted = _requests(spark, sf_dir)
+    outcome = F.when(F.col("query_id") % 4 == 3, "stopped").when(F.col("query_id") % 4 == 1, "ok").otherwise("failed")
+    tallies, _ = tasks.reinforce_patterns(wanted.withColumns({"outcome": outcome, "ts": F.col("query_id")}), _patterns(spark, sf_dir))
+    return tallies.select("id", "uses", "wins")
+
+
+@query(
+    "SELECT * FROM (SELECT id, round(CASE WHEN taught THEN greatest((wins + 1)::DOUBLE / (uses + 2), 0.9::DOUBLE) ELSE (wins + 1)::DOUBLE / (uses + 2) END, 2) AS confidence, "
+    f"row_number() OVER (ORDER BY taught DESC, round(CASE WHEN taught THEN greatest((wins + 1)::DOUBLE / (uses + 2), 0.9::DOUBLE) ELSE (wins + 1)::DOUBLE / (uses + 2) END, 2) DESC, id % 100 DESC, id DESC) AS rank FROM ({_PATTERNS})) WHERE rank <= 200"
+)
+def pattern_list(spark, sf_dir):
+    known = _patterns(spark, sf_dir).withColumn("last_used", F.col("id") % 100)
+    order = Window.orderBy(F.desc("taught"), F.desc("confidence"), F.desc("last_used"), F.desc("id"))  # of two hundred rows
+    return tasks.pattern_list(known).select("id", "confidence", F.row_number().over(order).alias("rank"))
+
+
+@query(
+    f"WITH s AS (SELECT id, round(CASE WHEN taught THEN 2.0::DOUBLE + greatest((wins + 1)::DOUBLE / (uses + 2), 0.9::DOUBLE) ELSE (wins + 1)::DOUBLE / (uses + 2) END, 9) AS strength FROM ({_PATTERNS})) "
+    "SELECT id, strength FROM s ORDER BY strength DESC, id % 100 DESC, id DESC LIMIT 8"
+)
+def brain_preload(spark, sf_dir):
+    return tasks.preload(_patterns(spark, sf_dir).withColumn("last_used", F.col("id") % 100)).select("id", "strength")
+
+
+@query(
+    "WITH e AS (SELECT a, b, weight FROM (SELECT DISTINCT p_size AS a, p_size + p_partkey % 5 + 1 AS b, 1 AS weight FROM part)) SELECT a, b, weight FROM e WHERE a % 3 <> 0 AND b % 3 <> 0"
+)
+def pattern_forget(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    edges = parts.select(F.col("p_size").alias("a"), (F.col("p_size") + F.col("p_partkey") % 5 + 1).alias("b"), F.lit(1).alias("weight")).distinct()
+    gone = parts.select((F.col("p_size") * 3).alias("id")).unionByName(parts.select((F.col("p_size") - F.col("p_size") % 3).alias("id"))).distinct()
+    return tasks.forget_patterns(parts.select(F.col("p_size").alias("id")), edges, gone)[1]
+
+
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rk FROM events) WHERE rk <= 20")
 def ring_buffer(spark, sf_dir):
     return tasks.ring_buffer(table(spark, sf_dir, "events"), "user_id", "event_id", 20).select("user_id", "event_id")
@@ -725,27 +915,27 @@ def ungutter(spark, sf_dir):
 def csv_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as one table body for each return flag and order bucket, with a header and a ragged last line."""
     row = F.concat_ws(";", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int"), "l_linestatus", F.when(F.col("l_tax") == 0, "n/a").otherwise(F.col("l_suppkey").cast("string")))
-    items = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("handle")).agg(
+    items = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 375").alias("handle")).agg(
         F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", row.alias("row")))).alias("rows")
     )
     lines = F.concat(F.array(F.lit("order;line;quantity;status;supplier")), F.transform("rows", lambda r: r["row"]))
     return items.select("handle", F.array_join(lines, "\n").alias("body"))
 
 
-@query("SELECT DISTINCT l_orderkey % 40 AS handle, ';' AS delimiter, 5 AS width, 'order,line,quantity,status,supplier' AS columns, true AS has_header FROM lineitem")
+@query("SELECT DISTINCT l_orderkey // 375 AS handle, ';' AS delimiter, 5 AS width, 'order,line,quantity,status,supplier' AS columns, true AS has_header FROM lineitem")
 def sniff_delimited(spark, sf_dir):
     return fold.sniff(csv_bodies(spark, sf_dir)).select("handle", "delimiter", "width", F.array_join("columns", ",").alias("columns"), "has_header")
 
 
 _ASKS = "(VALUES ('quantity'), ('supplier'), ('status')) c(col)"
 _STATS = (
-    "WITH r AS (SELECT l_orderkey % 40 AS handle, col, CASE col WHEN 'quantity' THEN l_quantity::INT::VARCHAR WHEN 'status' THEN l_linestatus ELSE CASE WHEN l_tax = 0 THEN 'n/a' ELSE l_suppkey::VARCHAR END END AS cell, "
+    "WITH r AS (SELECT l_orderkey // 375 AS handle, col, CASE col WHEN 'quantity' THEN l_quantity::INT::VARCHAR WHEN 'status' THEN l_linestatus ELSE CASE WHEN l_tax = 0 THEN 'n/a' ELSE l_suppkey::VARCHAR END END AS cell, "
     f"l_linestatus = 'F' AS ok FROM lineitem, {_ASKS}), v AS (SELECT *, CASE WHEN ok THEN try_cast(cell AS DOUBLE) END AS x FROM r) "
 )
 
 
 def _stats_requests(spark: SparkSession, sf_dir: str, pattern: str | None) -> DataFrame:
-    handles = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("handle")).distinct()
+    handles = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 375").alias("handle")).distinct()
     columns = F.explode(F.array(*[F.lit(c) for c in ("quantity", "supplier", "status")])).alias("column")
     return handles.select("handle", columns, F.lit(pattern).cast("string").alias("pattern"))
 
@@ -769,23 +959,23 @@ def stats_top(spark, sf_dir):
     return fold.column_top(csv_bodies(spark, sf_dir), _stats_requests(spark, sf_dir, None)).select("handle", "column", "rank", "value", "n")
 
 
-@query("SELECT l_orderkey % 40 AS handle, count(*) AS scanned, 0 AS numeric, count(*) AS skipped, NULL::DOUBLE AS mean FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey // 375 AS handle, count(*) AS scanned, 0 AS numeric, count(*) AS skipped, NULL::DOUBLE AS mean FROM lineitem GROUP BY 1")
 def stats_refusal(spark, sf_dir):
     wanted = _stats_requests(spark, sf_dir, None).where("column = 'status'")
     return fold.column_stats(csv_bodies(spark, sf_dir), wanted).select("handle", "scanned", "numeric", "skipped", "mean")
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as one log for each user: routine lines, and a rare one now and then."""
+    """Events as logs of five hundred lines: routine lines, and a rare one now and then."""
     line = F.when(F.col("event_id") % 499 == 0, F.concat(F.lit("FATAL "), "event_type", F.lit(" overflow "), F.col("event_id").cast("string"))).otherwise(
         F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" ok"))
     )
-    rows = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("handle")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
+    rows = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 500").alias("handle")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
     return rows.select("handle", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("body"))
 
 
 @query(
-    "WITH l AS (SELECT user_id % 20 AS handle, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line_no, CASE WHEN event_id % 499 = 0 THEN 'FATAL ' || event_type || ' overflow ' || event_id ELSE 'step ' || event_id || ' ok' END AS line FROM events), "
+    "WITH l AS (SELECT event_id // 500 AS handle, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS line_no, CASE WHEN event_id % 499 = 0 THEN 'FATAL ' || event_type || ' overflow ' || event_id ELSE 'step ' || event_id || ' ok' END AS line FROM events), "
     "g AS (SELECT *, regexp_replace(line, '\\d+', '#', 'g') AS shape FROM l), c AS (SELECT handle, shape, count(*) AS n, min(line_no) AS f FROM g GROUP BY ALL), "
     "t AS (SELECT *, sum(n) OVER (PARTITION BY handle) AS total, count(*) FILTER (f <= 2000) OVER (PARTITION BY handle) AS probed FROM c), "
     "u AS (SELECT *, n <= greatest(1, total // 100) AS rare FROM t WHERE total BETWEEN 24 AND 250000 AND (total < 2000 OR probed <= 500)), "
@@ -810,13 +1000,6 @@ def fold_results(spark, sf_dir):
     return fold.fold(results).select("seq", "folded", "removed", "fingerprint", F.md5("text").alias("digest"))
 
 
-@query()
-def format_choice(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("handle")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("rows"))
-    best = fold.choose_format(F.col("rows"), ["p_partkey", "p_name", "p_size"])
-    return rows.withColumn("best", best).select("handle", "best.format", F.col("best.cost").alias("cost"))
-
-
 # ---------------------------------------------------------------- ledger
 
 
@@ -896,7 +1079,7 @@ def redact_counts(spark, sf_dir):
 
 @query()
 def redact_pii(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 64).alias("scope"), F.col("doc_id").alias("seq"), "text")
+    texts = table(spark, sf_dir, "documents").select(F.expr("doc_id div 16").alias("scope"), F.col("doc_id").alias("seq"), "text")
     return guard.redact(texts).select("scope", "seq", "hits", F.md5("text").alias("digest"))
 
 
@@ -917,7 +1100,7 @@ def alias_candidates(spark, sf_dir):
 )
 def alias_codebook(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat_ws(" ", "url", "url").alias("text"))
-    return guard.codebook(urls)
+    return guard.codebook(urls, [f"P{k}" for k in range(1, V.ALIAS_ENTRIES + 1)]).select("raw", "alias", "second_id", "second_pos")
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The store: append-only Parquet tables under one folder.
+"""The store: append-only Parquet tables under one folder.
 
 A write appends events; the current state is an aggregate over them, so nothing
 is updated in place and a lost executor costs a recomputation only.
@@ -10,7 +10,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -18,14 +18,18 @@ from millrace.functions import text as T
 SCHEMAS = {
     "fact_events": (
         "event long, run_id string, op string, id long, fact string, category string, context string, cues string, "
-        "folder string, lineage string, created_at timestamp"
+        "folder string, lineage string, created_at timestamp, reset boolean, grafted string"
     ),
+    "marks": "run_id string, kind string, fact_id long, term string",
+    "outcomes": "run_id string, outcome string, seq long, ts timestamp",
     "turn_events": "seq long, run_id string, fact_id long, kind string, outcome string, ts timestamp",
     "bond_events": "term string, fact_id long, ts timestamp",
-    "patterns": "seq long, trigger string, resolution string, taught boolean",
+    "patterns": "seq long, op string, trigger string, resolution string, taught boolean",
+    "pattern_uses": "key string, outcome string, ts timestamp",
     "episodes": "id long, ts timestamp, request string, summary string, tools string, outcome string",
     "blobs": "handle string, fingerprint string, tool string, body string, touched_at timestamp",
-    "tombs": "handle string, fingerprint string, tool string, touched_at timestamp",
+    "tombs": "handle string, fingerprint string, tool string, touched_at timestamp, chars long",
+    "drops": "handle string, ts timestamp",
     "sightings": "seq long, kind string, uri string, display string, summary string, ts timestamp",
 }
 
@@ -41,6 +45,7 @@ class Settings:
     hold_unproven: bool = True
     proactive: bool = True
     core_limit: int = 8
+    read_seconds: float = 60.0
 
 
 class Store:
@@ -53,10 +58,12 @@ class Store:
         return f"{self.path}/{table}"
 
     def table(self, table: str) -> DataFrame:
-        """A table's rows; columns added later are null in older files."""
+        """A table's rows; columns added later are null in older files. Only a folder that is not there is an empty table."""
         try:
             return self.spark.read.schema(SCHEMAS[table]).parquet(self._place(table))
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], SCHEMAS[table])
 
     def append(self, table: str, rows: DataFrame) -> None:
@@ -65,7 +72,7 @@ class Store:
         columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
         rows.select(*columns).write.mode("append").parquet(self._place(table))
 
-    def quarantine(self, table: str) -> str:
+    def set_aside(self, table: str) -> str:
         """Move an unreadable table aside, under its name and the time; the next read finds it empty."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         old = hadoop.Path(self._place(table))
@@ -73,7 +80,7 @@ class Store:
         old.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(old, new)
         return new.toString()
 
-    def open_or_quarantine(self, table: str) -> DataFrame:
+    def readable(self, table: str) -> DataFrame:
         """The table, or an empty one after its unreadable files were moved aside."""
         df = self.table(table)
         try:
@@ -82,42 +89,73 @@ class Store:
         except Exception as broken:
             if not any(x in str(broken) for x in ("Parquet", "CORRUPT", "FAILED_READ_FILE", "not a Parquet")):
                 raise
-            self.quarantine(table)
+            self.set_aside(table)
             return self.table(table)
 
     def facts(self) -> DataFrame:
-        """The current facts: the last write of each id, without forgotten ones, with folder and tallies."""
+        """The current facts of the store's events."""
+        return current_facts(self.table("fact_events"), self.table("turn_events"))
+
+    def bonds(self) -> DataFrame:
+        """D3: (term, id, weight, last): bonds of facts that are there, from their last reset on."""
         from millrace.operators import grading
 
-        events = self.table("fact_events")
-        last = events.groupBy("id").agg(
-            F.max_by(F.struct("op", "fact", "category", "context", "cues", "lineage", "created_at"), "event").alias("e"),
-            F.max_by("folder", F.when(F.col("folder").isNotNull(), F.col("event"))).alias("moved"),
-            F.min_by(F.struct("fact", "category"), F.when(F.col("op") == "insert", F.col("event"))).alias("filed"),
+        state = self.table("fact_events").groupBy(F.col("id").alias("fact_id")).agg(
+            F.max_by("op", "event").alias("op"), F.max(F.when(F.col("reset"), F.col("created_at"))).alias("reset_at")
         )
-        rows = last.where("e.op <> 'forget'").select(
-            "id", "e.*", F.coalesce("moved", T.auto_folder(F.col("filed.fact"), F.col("filed.category"))).alias("folder")
+        kept = self.table("bond_events").join(state.where("op <> 'forget'"), "fact_id").where("reset_at IS NULL OR ts >= reset_at")
+        return grading.bond_weights(kept.select("term", "fact_id", "ts"))
+
+    def patterns(self) -> DataFrame:
+        """The shortcuts: one row for each order-free key, with tallies of first writes and of uses; forgotten ones are gone."""
+        from millrace.operators import tasks
+
+        writes = self.table("patterns").withColumn("key", T.trigger_key(F.col("trigger")))
+        gone = writes.where("op = 'forget'").groupBy("key").agg(F.max("seq").alias("gone"))
+        known = tasks.learn(writes.where("op IS NULL OR op <> 'forget'").join(gone, "key", "left").where("gone IS NULL OR seq > gone").drop("key"))
+        used = self.table("pattern_uses").where("outcome <> 'stopped'").groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "ok").alias("won"), F.max("ts").alias("last_used")
         )
-        turns = self.table("turn_events")
-        rows = rows.join(grading.tallies(turns), "id", "left").join(grading.held_flags(turns), "id", "left")
-        trusted = F.col("op") == "trust"
-        return rows.select(
-            "id", "fact", "category", "context", F.coalesce("cues", F.lit("")).alias("cues"), "folder", "lineage", "created_at",
-            F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("wins", F.lit(0)).alias("wins"), "last_used",
-            (F.coalesce("unproven", F.lit(False)) & ~trusted).alias("unproven"),
-        )
+        tallied = known.join(used, "key", "left").withColumns(
+            {"uses": F.col("uses") + F.coalesce("n", F.lit(0)), "wins": F.col("wins") + F.coalesce("won", F.lit(0))}
+        )
+        sector = T.sector_of(T.auto_folder(F.concat_ws(" ", "trigger", "resolution"), F.lit("fact")))
+        return tallied.withColumns({"id": F.xxhash64("key"), "sector": sector}).drop("n", "won")
+
+    def changes(self, after: int = 0) -> DataFrame:
+        """(event, op, id, category, fact): what a mirror of the facts has to take over, in order of ``event``.
+
+        ``op`` is put or remove; trust and moves do not change what is mirrored.
+        """
+        rows = self.table("fact_events").where(F.col("event") > after).where("op IN ('insert', 'update', 'forget')")
+        op = F.when(F.col("op") == "forget", F.lit("remove")).otherwise(F.lit("put"))
+        return rows.select("event", op.alias("op"), "id", "category", "fact")
+
+    def mirror(self, put, checkpoint: str):
+        """A stream of new fact events to ``put(batch, batch_id)``; its checkpoint remembers how far it got."""
+        stream = self.spark.readStream.schema(SCHEMAS["fact_events"]).parquet(self._place("fact_events"))
+        changed = stream.where("op IN ('insert', 'update', 'forget')")
+        return changed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def dump(self, limit: int = 500) -> DataFrame:
+        """The newest facts with the tree that they hang on and what they lack to be found by."""
+        shown = self.facts().withColumns({"tree": T.tree_of(F.col("lineage")), "cue_gap": T.cue_gap(F.col("fact"))})
+        return shown.orderBy(F.desc("id")).limit(limit)
 
     def revisions(self) -> DataFrame:
-        """(id, event, fact, stored_at) of every write."""
-        return self.table("fact_events").where("op <> 'forget'").select("id", "event", "fact", F.col("created_at").alias("stored_at"))
+        """(id, event, fact, stored_at) of every text that a fact that is still there had."""
+        events = self.table("fact_events")
+        there = events.groupBy("id").agg(F.max_by("op", "event").alias("op")).where("op <> 'forget'")
+        texts = events.where("op IN ('insert', 'update')").join(there.select("id"), "id", "left_semi")
+        return texts.select("id", "event", "fact", F.col("created_at").alias("stored_at"))
 
     def counts(self) -> DataFrame:
         """One row: facts, unproven, bonds, patterns, episodes, blobs, held_chars, tombs."""
         facts = self.facts().agg(F.count(F.lit(1)).alias("facts"), F.count_if("unproven").alias("unproven"))
         blobs = self.table("blobs").agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("held_chars"))
         rest = [
-            self.table("bond_events").agg(F.count_distinct("term", "fact_id").alias("bonds")),
-            self.table("patterns").agg(F.count_distinct(T.trigger_key(F.col("trigger"))).alias("patterns")),
+            self.bonds().agg(F.count(F.lit(1)).alias("bonds")),
+            self.patterns().agg(F.count(F.lit(1)).alias("patterns")),
             self.table("episodes").agg(F.count(F.lit(1)).alias("episodes")),
             self.table("tombs").agg(F.count(F.lit(1)).alias("tombs")),
             blobs,
@@ -127,13 +165,56 @@ class Store:
         return facts
 
 
-def cosine_backend(vectors: DataFrame, asked: DataFrame, limit: int = 24) -> DataFrame:
+def current_facts(events: DataFrame, turns: DataFrame) -> DataFrame:
+    """The current facts: the last text of each id, without forgotten ones, with folder, marks and tallies.
+
+    Trust and moves are events without a text and leave it alone. A context or
+    cues that an event does not give stay; a reset clears the cues, and tallies
+    count from it on. A trusted fact is not held and hangs on the user's tree.
+    """
+    from millrace.operators import grading
+
+    def last(value, condition):
+        """The value at the last event with the condition."""
+        return F.max_by(value, F.when(condition, F.col("event")))
+
+    written = F.col("op").isin("insert", "update")
+    trust = F.col("op") == "trust"
+    cleared = F.when(F.coalesce("reset", F.lit(False)), F.coalesce("cues", F.lit(""))).otherwise(F.col("cues"))
+    state = events.groupBy("id").agg(
+        F.max_by("op", "event").alias("op"),
+        last(F.struct("fact", "category", "created_at"), written).alias("e"),
+        last(F.col("context"), F.col("context").isNotNull()).alias("context"),
+        last(cleared, cleared.isNotNull()).alias("cues"),
+        last(F.col("folder"), F.col("folder").isNotNull()).alias("moved"),
+        last(F.col("grafted"), F.col("grafted").isNotNull()).alias("grafted"),
+        last(F.when(trust, F.lit("user/hand/hand")).otherwise(F.col("lineage")), written | trust).alias("lineage"),
+        F.max(F.when(trust, F.col("created_at"))).alias("trusted_at"),
+        F.max(F.when(F.col("reset"), F.col("created_at"))).alias("reset_at"),
+        F.min_by(F.struct("fact", "category"), F.when(F.col("op") == "insert", F.col("event"))).alias("filed"),
+    )
+    rows = state.where("op <> 'forget' AND e IS NOT NULL")
+    since = rows.select(F.col("id").alias("fact_id"), "reset_at", "trusted_at")
+    turns = turns.join(since, "fact_id")
+    tallies = grading.tallies(turns.where("reset_at IS NULL OR ts >= reset_at"))
+    held = grading.held_flags(turns.where("trusted_at IS NULL OR ts > trusted_at"))
+    rows = rows.join(tallies, "id", "left").join(held, "id", "left")
+    return rows.select(
+        "id", "e.*", "context", F.coalesce("cues", F.lit("")).alias("cues"),
+        F.coalesce("moved", T.auto_folder(F.col("filed.fact"), F.col("filed.category"))).alias("folder"), "lineage",
+        F.coalesce("grafted", F.lit("")).alias("grafted"),
+        F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("wins", F.lit(0)).alias("wins"), "last_used",
+        F.coalesce("unproven", F.lit(False)).alias("unproven"),
+    )
+
+
+def cosine_backend(vectors: DataFrame, asked: DataFrame, limit: int = 24, block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, pos, mem_id, sim): for each asked vector (query_id, v) the nearest stored ones (id, v).
 
-    The asked vectors are the stated query set: they are normalised and sent to
-    the stored vectors, each task keeps its best, and a merge ranks those.
+    The asked vectors are the stated query set. They are counted and dealt into
+    blocks of at most ``block_bytes``, each of which is sent to the stored vectors;
+    a task keeps its best of each query before anything is shuffled.
     """
-    from pyspark.sql import Window
 
     def unit(v):
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
@@ -141,7 +222,14 @@ def cosine_backend(vectors: DataFrame, asked: DataFrame, limit: int = 24) -> Dat
 
     left = asked.select("query_id", unit(F.col("v").cast("array<double>")).alias("q"))
     right = vectors.select(F.col("id").alias("mem_id"), unit(F.col("v").cast("array<double>")).alias("v"))
+    size = left.select(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
+    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)  # a hash deals unevenly
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = right.crossJoin(left).select("query_id", "mem_id", F.round(dot, 6).alias("sim"))
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("mem_id"))
-    return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit).select("query_id", "pos", "mem_id", "sim")
+    every = None
+    for k in range(blocks):
+        block = left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        scored = right.crossJoin(F.broadcast(block)).select("query_id", "mem_id", F.round(dot, 6).alias("sim"))
+        best = scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+        every = best if every is None else every.unionByName(best)
+    return every.select("query_id", "pos", "mem_id", "sim")

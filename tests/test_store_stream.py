@@ -7,7 +7,7 @@ from millrace.sources.store import Store, cosine_backend
 from millrace.streaming import runs
 
 
-def test_store_round_trip_and_quarantine(spark, tmp_path):
+def test_store_round_trip_and_unreadable_files(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     rows = [(1, "insert", 1, "uses git daily"), (2, "update", 1, "uses git hourly"), (3, "insert", 2, "likes tea"), (4, "forget", 2, None)]
     events = spark.createDataFrame(rows, "event long, op string, id long, fact string").withColumn("category", F.lit("fact"))
@@ -18,7 +18,7 @@ def test_store_round_trip_and_quarantine(spark, tmp_path):
     broken = tmp_path / "store" / "blobs"
     broken.mkdir(parents=True)
     (broken / "x.parquet").write_bytes(b"no parquet at all")
-    assert store.open_or_quarantine("blobs").count() == 0
+    assert store.readable("blobs").count() == 0
     assert [p.name for p in (tmp_path / "store").iterdir() if "corrupt" in p.name]
 
 
