@@ -19,27 +19,30 @@ depth of ``length`` bytes, dealt to tasks so that equal strings meet:
    bytes; the least document of those that agree decides.
 5. The chunks turn the answers into removed spans.
 
-Only hashes, records around shared samples and bits are shuffled by string;
-texts are shuffled by chunk. A passage that a third of all documents share is
-one record in each chunk.
+Only hashes, records around shared samples and bits are shuffled; texts are
+written to the shared folder once and read from there by place. A passage that a
+third of all documents share is one record in each chunk.
 """
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import shared_dir, staged
 
 _GRAM = 24
 _CHUNK = 2 << 20
 _LAST = np.iinfo(np.int64).max
+_PLACE = ("chunk", "ids", "sizes", "file", "at", "length")
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 
 
@@ -294,46 +297,63 @@ def _deal(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, sizes, data): rows of (id, text, copy_of) without copies, some MB in each."""
+def _chunks(docs: DataFrame, folder: str) -> DataFrame:
+    """(chunk, ids, sizes, file, at, length): rows of (id, text) in chunks of some MB, whose bytes lie in files of ``folder``.
+
+    A file is named after its task attempt, so a repeated task writes another one
+    and only files of this table count. Texts are written once and read from there
+    by place: no later step shuffles them.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        task = TaskContext.get()
+        number, at, size = task.partitionId() << 32, 0, 0
         ids: list[int] = []
         texts: list[bytes] = []
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())],
-                names=["chunk", "ids", "sizes", "data"],
-            )
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = (batch.column(1)[k].as_py() or "").encode()
-                if size + len(text) > _CHUNK and texts:
-                    yield row()
-                    number, ids, texts, size = number + 1, [], [], 0
-                doc = batch.column(0)[k].as_py()
-                ids.append(_LAST if doc is None else doc)
-                texts.append(text)
-                size += len(text)
-        if texts:
-            yield row()
-
-    return docs.select("id", "text").mapInArrow(work, "chunk long, ids array<long>, sizes array<long>, data binary")
-
-
-def _arrays(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    ids, sizes, data = (batch.column(batch.schema.get_field_index(c))[k] for c in ("ids", "sizes", "data"))
-    return ids.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False), data.as_py()
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        store, path = pa.fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
+        rows: list[tuple] = []
+        out = None
+        for batch in chain(batches, (None,)):
+            for k in range(batch.num_rows if batch is not None else 1):
+                text = (batch.column(1)[k].as_py() or "").encode() if batch is not None else b""
+                if texts and (batch is None or size + len(text) > _CHUNK):
+                    blob = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+                    out = out or store.open_output_stream(f"{path}/{name}")
+                    out.write(blob)
+                    rows.append((number, ids, [len(t) for t in texts], name, at, len(blob)))
+                    number, at, ids, texts, size = number + 1, at + len(blob), [], [], 0
+                if batch is not None:
+                    doc = batch.column(0)[k].as_py()
+                    ids.append(_LAST if doc is None else doc)
+                    texts.append(text)
+                    size += len(text)
+        if out:
+            out.close()
+        if rows:
+            columns = list(zip(*rows))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["chunk", "ids", "sizes", "file", "at", "length"])
+
+    schema = "chunk long, ids array<long>, sizes array<long>, file string, at long, length long"
+    return docs.select("id", "text").mapInArrow(work, schema)
+
+
+def _reader(folder: str) -> Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray, bytes]]:
+    """A function that gives (ids, sizes, bytes) of row k of a batch of chunks."""
+    store, path = pa.fs.FileSystem.from_uri(folder)
+
+    def read(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+        ids, sizes, file, at, length = (batch.column(batch.schema.get_field_index(c))[k] for c in ("ids", "sizes", "file", "at", "length"))
+        own = sizes.values.to_numpy(zero_copy_only=False)
+        with store.open_input_file(f"{path}/{file.as_py()}") as source:
+            blob = source.read_at(length.as_py(), at.as_py())
+        size = int(own.sum())
+        data = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+        return ids.values.to_numpy(zero_copy_only=False), own, data
+
+    return read
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -361,12 +381,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = staged(groups.select("h1", "h2", "low"), "repeats-copies")
     marked = rows.join(copies, ["h1", "h2"], "left")
     alone = marked.where("low IS NULL OR low = id")
-    chunks = staged(_chunks(alone), "repeats-chunks")
+    folder = f"{shared_dir(spark)}/millrace/repeats-texts-{uuid.uuid4().hex}"
+    chunks = staged(_chunks(alone, folder), "repeats-chunks")
+    # rows of chunks are small, the work on one is not: spread them evenly
+    tasks = max(1, min(chunks.count(), record_parts))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(folder)
         for batch in batches:
             for k in range(batch.num_rows):
-                h, more = _Chunk(*_arrays(batch, k), length).distinct()
+                h, more = _Chunk(*read(batch, k), length).distinct()
                 part = _deal(h, hash_parts)
                 h = h ^ (~more).astype(np.uint64)  # the lowest bit stays set where one chunk has it in more texts
                 order = np.argsort(part, kind="stable")
@@ -400,22 +424,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["chunk", "hashes"])
 
-    dealt = chunks.select("chunk", "ids", "sizes", "data").mapInArrow(hashes, "part int, chunk long, hashes binary")
+    dealt = chunks.repartition(tasks).mapInArrow(hashes, "part int, chunk long, hashes binary")
     found = dealt.repartition(hash_parts, "part").mapInArrow(shared, "chunk long, hashes binary")
     bits = staged(found.groupBy("chunk").agg(F.collect_list("hashes").alias("shared")), "repeats-shared")
-    del dealt, found
-    _release(spark)
 
-    def kept(batch: pa.RecordBatch, k: int) -> _Chunk:
-        chunk = _Chunk(*_arrays(batch, k), length)
+    def kept(batch: pa.RecordBatch, k: int, read: Callable) -> _Chunk:
+        chunk = _Chunk(*read(batch, k), length)
         lists = batch.column(batch.schema.get_field_index("shared"))[k].as_py() or []
         chunk.keep(np.sort(np.frombuffer(b"".join(lists), dtype="<u8")))
         return chunk
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(folder)
         for batch in batches:
             for k in range(batch.num_rows):
-                r, h, least, _ = kept(batch, k).unique_records()
+                r, h, least, _ = kept(batch, k, read).unique_records()
                 part = _deal(h, record_parts)
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.arange(record_parts + 1))
@@ -459,20 +482,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
                 done += len(r)
 
-    with_bits = chunks.join(bits, "chunk").select("chunk", "ids", "sizes", "data", "shared")
-    sent = with_bits.mapInArrow(cut, "part int, chunk long, rows binary, least binary").repartition(record_parts, "part")
+    with_bits = chunks.join(bits, "chunk").select(*_PLACE, "shared")
+    sent = with_bits.repartition(tasks).mapInArrow(cut, "part int, chunk long, rows binary, least binary").repartition(record_parts, "part")
     answers = sent.mapInArrow(decide, "chunk long, part int, bits binary")
     decided = staged(
         answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("answers")), "repeats-answers"
     )
-    del with_bits, sent, answers
-    _release(spark)
     step = -(-length // 8)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(folder)
         for batch in batches:
             for k in range(batch.num_rows):
-                chunk = kept(batch, k)
+                chunk = kept(batch, k, read)
                 gone = np.zeros(len(chunk.data) + 1, dtype=np.int32)
                 answer = batch.column(batch.schema.get_field_index("answers"))[k].as_py()
                 if len(chunk.place) and answer:
@@ -502,7 +524,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = [pa.int64(), pa.int64(), span, pa.binary()]
     schema = "id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary"
     last = chunks.join(bits, "chunk", "left").join(decided, "chunk", "left")
-    cleaned = last.select("chunk", "ids", "sizes", "data", "shared", "answers").mapInArrow(finish, schema)
+    cleaned = last.select(*_PLACE, "shared", "answers").repartition(tasks).mapInArrow(finish, schema)
     size = F.octet_length("text").cast("long")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("length")))
     copied = marked.where("low < id").select(
