@@ -93,16 +93,20 @@ def cofire_edges(firings: DataFrame) -> DataFrame:
 
 
 def similar_requests(episodes: DataFrame) -> DataFrame:
-    """(a, b): good episodes with Jaccard similarity of 1/2 or more, a < b, by prefix filter and size bound."""
+    """(a, b): good episodes with Jaccard similarity of 1/2 or more, a < b, by prefix filter, size and place bounds."""
     usable = episodes.select("id", T.tokens(F.col("request")).alias("words")).where(F.size("words") >= 2)
     index = usable.select("id", F.explode("words").alias("w"))
     frequency = index.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     sets = index.join(frequency, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     sets = sets.select("id", F.transform("r", lambda x: x["w"]).alias("words"), F.size("r").alias("n"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1)
-    keyed = sets.select("id", "words", "n", F.explode(prefix).alias("w"))
+    keyed = sets.select("id", "words", "n", F.posexplode(prefix).alias("p", "w"))
+    # the first common word must leave enough for an overlap of a third of both sizes, so frequent words are seldom joined
+    keyed = keyed.where((F.col("n") - F.col("p")) * 2 >= F.col("n"))
     a, b = keyed.alias("a"), keyed.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
     near = (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") * 2 >= F.greatest("a.n", "b.n"))
+    near = near & (left * 3 >= F.col("a.n") + F.col("b.n"))
     pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.words").alias("wa"), F.col("b.words").alias("wb")).distinct()
     return pairs.where(T.jaccard(F.col("wa"), F.col("wb")) >= V.SIMILARITY).select("a", "b")
 
