@@ -30,6 +30,7 @@ SCHEMAS = {
     "blobs": "handle string, fingerprint string, tool string, body string, touched_at timestamp",
     "tombs": "handle string, fingerprint string, tool string, touched_at timestamp, chars long",
     "drops": "handle string, ts timestamp",
+    "sweeps": "mark long",
     "sightings": "seq long, kind string, uri string, display string, summary string, ts timestamp",
 }
 

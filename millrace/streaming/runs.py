@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.functions import text as T
+from millrace.functions import vocab as V
+from millrace.operators.merge import names_differ
+
 
 class RunMarks(StatefulProcessor):
     """Marks of a run are buffered until it ends; then one row for each marked fact goes out with the outcome.
@@ -79,14 +83,38 @@ def distinct_bodies(bodies: DataFrame, delay: str = "3 days") -> DataFrame:
     return marked.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def consolidate_every(new_episodes: int, run):
-    """A foreachBatch function that calls ``run(spark)`` whenever so many new episodes have come since the last call."""
-    state = {"seen": 0, "done": 0}
+def recent_elaborations(facts: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(id_new, id_old) over a stream of facts (id, fact, created_at): a fact that says in full one of the hour before.
+
+    A stream-stream join with a time range: the watermark and the hour bound what
+    is kept. The older fact goes in under one of its tokens, so a pair comes once.
+    """
+    rows = facts.withWatermark("created_at", delay).withColumn("words", T.tokens(F.col("fact")))
+    old = rows.where((T.cue_gap(F.col("fact")) != "") & (F.size("words") > 0)).select(
+        F.col("id").alias("id_old"), F.col("fact").alias("old_fact"), F.col("created_at").alias("old_at"), F.col("words").alias("old_words"), F.array_min("words").alias("old_token")
+    )
+    new = rows.select(F.col("id").alias("id_new"), F.col("fact").alias("new_fact"), F.col("created_at").alias("new_at"), F.col("words").alias("new_words"), F.explode("words").alias("new_token"))
+    within = F.expr(f"new_token = old_token AND old_at >= new_at - INTERVAL {V.ELABORATE_SECONDS} SECONDS AND old_at <= new_at AND id_new > id_old")
+    pairs = new.join(old, within)
+    fuller = (F.size("old_words") < F.size("new_words")) & (F.size(F.array_except("old_words", "new_words")) == 0)
+    return pairs.where(fuller & ~names_differ(F.col("new_fact"), F.col("old_fact"))).select("id_new", "id_old")
+
+
+def consolidate_every(store, new_episodes: int, run):
+    """A foreachBatch function that stores episodes and calls ``run(store)`` once so many are newer than the last sweep.
+
+    The mark of the last sweep is a row of the store, and an episode is stored once
+    whatever its id comes with, so neither a restart nor a replayed batch is counted twice.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        state["seen"] += df.count()
-        if state["seen"] - state["done"] >= new_episodes:
-            state["done"] = state["seen"]
-            run(df.sparkSession)
+        known = store.table("episodes").select("id")
+        store.append("episodes", df.dropDuplicates(["id"]).join(known, "id", "left_anti"))
+        mark = store.table("sweeps").agg(F.max("mark")).first()[0]
+        since = store.table("episodes") if mark is None else store.table("episodes").where(F.col("id") > mark)
+        n, newest = since.agg(F.count(F.lit(1)), F.max("id")).first()
+        if n >= new_episodes:
+            run(store)
+            store.append("sweeps", df.sparkSession.createDataFrame([(newest,)], "mark long"))
 
     return batch

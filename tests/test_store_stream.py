@@ -50,3 +50,34 @@ def test_windowed_activity_is_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT sum(n) FROM act").first()[0] == 3
+
+
+def test_sweeps_survive_restarts_and_replays(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/sweeps")
+    episodes = lambda a, b: spark.range(a, b).select("id", F.lit("asked").alias("request"), F.lit("ok").alias("outcome"))
+    calls = []
+    for rows in (episodes(0, 3), episodes(0, 3), episodes(3, 6), episodes(6, 8)):
+        runs.consolidate_every(store, 5, lambda s: calls.append(s.table("episodes").count()))(rows, 0)  # a new function each time: a restart
+    assert calls == [6] and store.table("episodes").count() == 8
+
+
+def test_streams_of_tallies_bodies_and_elaborations(spark, tmp_path):
+    stamp = F.timestamp_seconds(F.col("t"))
+    marks = spark.createDataFrame([("r1", "served", 1, "ok"), ("r2", "served", 1, "failed"), ("r2", "planted", 2, "failed")], "run_id string, kind string, fact_id long, outcome string")
+    marks.write.parquet(f"{tmp_path}/marks")
+    bodies = spark.createDataFrame([("t", "a", 10), ("t", "a", 20), ("t", "b", 30)], "tool string, body string, t long").withColumn("ts", stamp)
+    bodies.drop("t").write.parquet(f"{tmp_path}/bodies")
+    facts = [(1, "This is deploys", 100), (2, "The nightly deploys use docker images", 1000), (3, "The weekly deploys use docker images", 9000)]
+    said = spark.createDataFrame(facts, "id long, fact string, t long").withColumn("created_at", stamp).drop("t")
+    said.write.parquet(f"{tmp_path}/facts")
+
+    def collected(name, made, mode):
+        stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{name}").schema).parquet(f"{tmp_path}/{name}")
+        query = made(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp-{name}").start()
+        query.processAllAvailable()
+        query.stop()
+        return [tuple(r) for r in spark.table(name).collect()]
+
+    assert collected("marks", runs.running_tallies, "complete") == [(1, 2, 1)]
+    assert sorted(r[1] for r in collected("bodies", runs.distinct_bodies, "append")) == ["a", "b"]
+    assert collected("facts", runs.recent_elaborations, "append") == [(2, 1)]
