@@ -77,7 +77,7 @@ class Store:
         """Move an unreadable table aside, under its name and the time; the next read finds it empty."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         old = hadoop.Path(self._place(table))
-        new = hadoop.Path(f"{self._place(table)}.corrupt-{time.strftime('%Y%m%d-%H%M%S')}")
+        new = hadoop.Path(f"{self._place(table)}.unreadable-{time.strftime('%Y%m%d-%H%M%S')}")
         old.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(old, new)
         return new.toString()
 
@@ -209,11 +209,11 @@ def current_facts(events: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def cosine_backend(vectors: DataFrame, asked: DataFrame, limit: int = 24, block_bytes: int = 32 << 20) -> DataFrame:
-    """(query_id, pos, mem_id, sim): for each asked vector (query_id, v) the nearest stored ones (id, v).
+def cosine_backend(stored: DataFrame, asked: DataFrame, limit: int = 24, block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, pos, mem_id, sim): for each asked embedding (query_id, v) the nearest stored ones (id, v).
 
-    The asked vectors are the stated query set. They are counted and dealt into
-    blocks of at most ``block_bytes``, each of which is sent to the stored vectors;
+    The asked ones are the stated query set. They are counted and dealt into
+    blocks of at most ``block_bytes``, each of which is sent to the stored ones;
     a task keeps its best of each query before anything is shuffled.
     """
 
@@ -222,7 +222,7 @@ def cosine_backend(vectors: DataFrame, asked: DataFrame, limit: int = 24, block_
         return F.transform(v, lambda x: x / norm)
 
     left = asked.select("query_id", unit(F.col("v").cast("array<double>")).alias("q"))
-    right = vectors.select(F.col("id").alias("mem_id"), unit(F.col("v").cast("array<double>")).alias("v"))
+    right = stored.select(F.col("id").alias("mem_id"), unit(F.col("v").cast("array<double>")).alias("v"))
     size = left.select(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
     blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)  # a hash deals unevenly
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

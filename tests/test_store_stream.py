@@ -19,7 +19,7 @@ def test_store_round_trip_and_unreadable_files(spark, tmp_path):
     broken.mkdir(parents=True)
     (broken / "x.parquet").write_bytes(b"no parquet at all")
     assert store.readable("blobs").count() == 0
-    assert [p.name for p in (tmp_path / "store").iterdir() if "corrupt" in p.name]
+    assert [p.name for p in (tmp_path / "store").iterdir() if "unreadable" in p.name]
 
 
 def test_cosine_backend(spark):
