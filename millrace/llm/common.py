@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words in texts: space, \t, \n, \v, \f, \r (as a Java and RE2 class).
@@ -87,3 +87,42 @@ def hidden(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def totals_before(
+    rows: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], label: str, xor: bool = False
+) -> DataFrame:
+    """``rows`` and, for each of ``values``, its sum (or exclusive or) over the group's rows before this one.
+
+    No task holds a whole group: rows are sorted over all partitions (a row number
+    ends the order, so even equal rows are split), totals run within a partition's
+    part of a group, and the parts' totals are added up. Only groups that a
+    partition boundary cuts have such totals to add, at most two rows for each
+    partition; these are broadcast. Null keys are a group. Values are longs.
+    """
+    block, row = hidden([*rows.columns, *values], "_block"), hidden([*rows.columns, *values], "_row")
+    total = F.bit_xor if xor else F.sum
+    laid = rows.withColumns({row: F.monotonically_increasing_id(), **values})
+    keys = [F.col(f"`{c}`") for c in group]
+    # written down because the boundaries come from a sample
+    laid = staged(laid.repartitionByRange(*keys, *order, row).withColumn(block, F.spark_partition_id()), label)
+    keys = [F.col(f"`{c}`") for c in group]
+    parts = laid.groupBy(*keys, block).agg(*[total(v).alias(f"_{v}") for v in values])
+    all_parts = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = all_parts.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(
+        *[k.alias(f"_group{i}") for i, k in enumerate(keys)],
+        F.col(block).alias("_in"),
+        F.count(F.lit(1)).over(all_parts).alias("_parts"),
+        *[total(f"_{v}").over(earlier).alias(f"_{v}") for v in values],
+    ).where("_parts > 1")
+    here = Window.partitionBy(*keys, block).orderBy(*order, row).rowsBetween(Window.unboundedPreceding, -1)
+    local = laid.withColumns({v: F.coalesce(total(v).over(here), F.lit(0).cast("long")) for v in values})
+    same = F.col(block) == F.col("_in")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_group{i}"))
+    before = {v: F.coalesce(F.col(f"_{v}"), F.lit(0).cast("long")) for v in values}
+    return local.join(F.broadcast(carried), same, "left").select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        *[(F.col(v).bitwiseXOR(b) if xor else F.col(v) + b).alias(v) for v, b in before.items()],
+    )

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import oracles
-from millrace.llm.common import read_documents, read_table, shared_dir
+from millrace.llm.common import read_documents, read_table, shared_dir, staged
+from millrace.llm.conversations import member_digests, ordered_turns, prefix_nodes, spliced, subtree_totals
 from millrace.llm.decontaminate import contaminated_spans
+from millrace.llm.filters import audit_edges, audit_orders, mark_later_copies, text_measures
 from millrace.llm.licenses import scan_licenses
 from millrace.llm.lines import drop_repeated_lines, lines_of
+from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import apply_quality_rules
 from millrace.llm.shards import assign_shards
@@ -148,6 +151,71 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, quality, toxic), one row for each labelled document."""
+    labels = read_table(spark, sf_dir, "labels").where("doc_id IS NOT NULL")
+    return labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over the documents of each language: what each removes at each step of all 120 orders."""
+    m = text_measures(F.col("text"))
+    docs = read_documents(spark, sf_dir, ("doc_id", "text", "lang")).select(
+        "doc_id",
+        F.coalesce("lang", F.lit("")).alias("part"),
+        (m["n_words"] < 200).alias("A"),
+        (100 * m["n_distinct"] < 50 * m["n_words"]).alias("B"),
+        (100 * m["n_capitals"] > 3 * m["n_chars"]).alias("C"),
+        m["has_symbol"].alias("D"),
+        F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
+    )
+    docs = mark_later_copies(staged(docs, "filter-verdicts"), "doc_id", "digest", "E")
+    labels = _labelled(spark, sf_dir)
+    rows = docs.join(labels, "doc_id", "left").select(
+        "part",
+        *"ABCDE",
+        F.coalesce(F.col("quality") == 1, F.lit(False)).alias("good"),
+        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"),
+    )
+    edges = audit_edges(rows, "part", list("ABCDE"), ["good", "toxic"])
+    steps = audit_orders(edges, "part", list("ABCDE"), ["good", "toxic"])
+    return steps.withColumnsRenamed({"lost_good": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt on the first turns of one in a hundred."""
+    turns = ordered_turns(read_table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    rebuilt, convs = spliced(turns, F.expr("conv_id - conv_id % 100"), head, 5)
+    nodes, ends = prefix_nodes(rebuilt, convs)
+    found = subtree_totals(nodes).join(member_digests(ends), ["conv_id", "depth"], "left")
+    return found.select(
+        "conv_id",
+        "depth",
+        F.col("up").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of the sources by the weights 1, 2, 3 takes of every document; labelled quality scales the sampling."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read_documents(spark, sf_dir, ("doc_id", "text", "source")).select(
+        "doc_id",
+        "source",
+        text_measures(F.col("text"))["n_words"].alias("size"),
+        F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).alias("key"),
+    )
+    labelled = docs.join(_labelled(spark, sf_dir).drop("toxic"), "doc_id", "left")
+    good = F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.25).otherwise(0.5)
+    mixed = mix_sources(labelled.withColumn("quality", good), "key")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -159,6 +227,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_source_mix": op13_source_mix,
 }
 
 #: XXH64, CRC-32 and token ids are beyond SQL, and all 50-byte strings too slow; those queries are tested by brute force.
@@ -166,4 +237,7 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
     "op6_decontamination": oracles.DECONTAMINATION,
     "op10_line_dedup": oracles.LINE_DEDUP,
+    "op11_filter_audit": oracles.FILTER_AUDIT,
+    "op12_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op13_source_mix": oracles.SOURCE_MIX,
 }
