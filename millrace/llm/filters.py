@@ -72,27 +72,14 @@ def audit_edges(rows: DataFrame, part: str, filters: list[str], tallies: list[st
     memo: set[int] = set()
     everything = (1 << len(filters)) - 1
 
+    # one text for all states, so that they share compiled code; a filter applied before has nothing to remove
+    each = [f"count_if(`{f}`) AS removed_{i}" for i, f in enumerate(filters)]
+    each += [f"count_if(`{f}` AND `{t}`) AS lost_{i}_{k}" for i, f in enumerate(filters) for k, t in enumerate(tallies)]
+    counted = [F.expr(x) for x in ["count(1) AS n", *each]]
+
     def edges_of(state: int, survivors: DataFrame) -> None:
-        left = [(i, f) for i, f in enumerate(filters) if not state >> i & 1]
-        counts = survivors.groupBy(part).agg(
-            *[F.count_if(F.col(f)).alias(f"removed_{i}") for i, f in left],
-            *[F.count_if(F.col(f) & F.col(t)).alias(f"{t}_{i}") for i, f in left for t in tallies],
-            F.count(F.lit(1)).alias("n"),
-        )
-        each = F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("filter"),
-                        F.col(f"removed_{i}").alias("removed"),
-                        *[F.col(f"{t}_{i}").alias(f"lost_{t}") for t in tallies],
-                    )
-                    for i, _ in left
-                ]
-            )
-        ).alias("e")
-        edges = counts.select(part, F.lit(state).alias("state"), "n", each).select(part, "state", "n", "e.*")
-        edges.write.mode("append").option("compression", "zstd").parquet(folder)
+        counts = survivors.groupBy(part).agg(*counted).withColumn("state", F.lit(state))
+        counts.write.mode("append").option("compression", "zstd").parquet(folder)
 
     def visit(state: int, survivors: DataFrame, release: Callable[[], object]) -> None:
         memo.add(state)
@@ -106,8 +93,15 @@ def audit_edges(rows: DataFrame, part: str, filters: list[str], tallies: list[st
         release()
 
     visit(0, root, lambda: None)
-    longs = [f"{part} string", "state int", "n long", "filter int", "removed long", *[f"lost_{t} long" for t in tallies]]
-    return spark.read.schema(", ".join(longs)).parquet(folder)
+    longs = [f"removed_{i} long" for i in range(len(filters))]
+    longs += [f"lost_{i}_{k} long" for i in range(len(filters)) for k in range(len(tallies))]
+    counts = spark.read.schema(", ".join([f"`{part}` string", "state int", "n long", *longs])).parquet(folder)
+    edges = [
+        f"named_struct('filter', {i}, 'removed', removed_{i}" + "".join(f", 'lost_{t}', lost_{i}_{k}" for k, t in enumerate(tallies)) + ")"
+        for i in range(len(filters))
+    ]
+    rows = counts.select(part, "state", "n", F.expr(f"inline(array({', '.join(edges)}))"))
+    return rows.where("getbit(state, filter) = 0")
 
 
 def audit_orders(edges: DataFrame, part: str, names: list[str], tallies: list[str]) -> DataFrame:
