@@ -9,15 +9,56 @@ from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.operators.merge import component_labels
 from millrace.operators.recall import top
+from millrace.sources.staging import staged
+
+
+def request_classes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes (rcls, words, routed), members (query_id, rcls)): requests (query_id, text) of equal tokens and equal sectors are one."""
+    read = requests.select("query_id", F.array_sort(T.tokens(F.col("text"))).alias("words"), T.route_sectors(F.col("text")).alias("routed"))
+    read = staged(read.withColumn("rcls", F.sha2(F.to_json(F.struct("words", "routed")), 256)), "requests")
+    classes = read.groupBy("rcls").agg(F.first("words").alias("words"), F.first("routed").alias("routed"))
+    return staged(classes, "request-classes"), read.select("query_id", "rcls")
+
+
+def pattern_classes(patterns: DataFrame) -> DataFrame:
+    """(id, pcls, words, ...): patterns (id, key, ...) with the words of their key and a name for each set of words."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split("key", " "), lambda w: w != "")))
+    keyed = patterns.withColumn("words", words).where(F.size("words") > 0)
+    return keyed.withColumn("pcls", F.sha2(F.array_join("words", " "), 256))
+
+
+def covered_classes(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(rcls, pcls, c, n): request classes that hold c of a key's n words, 0.6 of them or more.
+
+    A request that holds ``need`` words of a key holds one of its n - need + 1
+    rarest, rarity being counted over the request classes; only those words are
+    joined, and the words in common are counted once for each pair that meets.
+    A key of words that no request has meets none.
+    """
+    keys = staged(known.groupBy("pcls").agg(F.first("words").alias("words")), "pattern-classes")
+    index = asked.select("rcls", F.explode("words").alias("token"))
+    held = keys.select("pcls", F.size("words").alias("n"), F.explode("words").alias("token"))
+    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("pcls").orderBy(F.coalesce("df", F.lit(0)), "token")
+    need = F.ceil(F.col("n") * V.COVERAGE - 1e-9)
+    prefix = held.join(frequency, "token", "left").withColumn("p", F.row_number().over(rarest)).where(F.col("p") <= F.col("n") - need + 1)
+    met = prefix.where("df IS NOT NULL").select("pcls", "token").join(index, "token").select("rcls", "pcls").distinct()
+    met = staged(met, "pattern-met")
+    full = met.join(asked.select("rcls", F.col("words").alias("own")), "rcls").join(keys, "pcls")
+    shared = full.select("rcls", "pcls", F.size(F.array_intersect("own", "words")).alias("c"), F.size("words").alias("n"))
+    return shared.where(F.col("c") / F.col("n") >= V.COVERAGE)
 
 
 def coverage(requests: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(query_id, id, covered): patterns (id, key) whose tokens a request (query_id, text) covers by 0.6 or more."""
-    asked = requests.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    keys = patterns.select("id", F.filter(F.split("key", " "), lambda w: w != "").alias("words"))
-    index = keys.select("id", F.size(F.array_distinct("words")).alias("n"), F.explode(F.array_distinct("words")).alias("token"))
-    hits = index.join(asked, "token").groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("n")).alias("covered"))
-    return hits.where(F.col("covered") >= V.COVERAGE)
+    """(query_id, id, covered): patterns (id, key) whose tokens a request (query_id, text) covers by 0.6 or more.
+
+    The pairs of members of the classes that meet; callers that need less than all pairs use the classes.
+    """
+    asked, members = request_classes(requests)
+    known = pattern_classes(patterns)
+    pairs = covered_classes(asked, known)
+    full = pairs.join(members, "rcls").join(known.select("id", "pcls"), "pcls")
+    return full.select("query_id", "id", (F.col("c") / F.col("n")).alias("covered"))
 
 
 def predict(requests: DataFrame, patterns: DataFrame, limit: int = 3) -> DataFrame:
@@ -25,18 +66,31 @@ def predict(requests: DataFrame, patterns: DataFrame, limit: int = 3) -> DataFra
 
     Two for a taught one, confidence times coverage, a hundredth for each of up to
     twenty uses, a quarter in a routed sector; ties go to the newer pattern.
+
+    The score of a pattern depends on the request by the number of words covered
+    and by whether its sector is routed. So the best ``limit`` patterns of each key,
+    sector and such number are chosen once, before any request is joined, and only
+    classes of requests are ranked; members get their class's answer.
     """
-    hits = coverage(requests, patterns).join(patterns.select("id", "uses", "wins", "taught", "sector"), "id")
-    routed = requests.select("query_id", T.route_sectors(F.col("text")).alias("routed"))
-    hits = hits.join(routed, "query_id")
+    asked, members = request_classes(requests)
+    known = pattern_classes(patterns)
+    least = F.ceil(F.size("words") * V.COVERAGE - 1e-9).cast("int")
+    each = known.withColumn("n", F.size("words")).select(
+        "*", F.explode(F.sequence(least, F.size("words"))).alias("c")
+    ).withColumn("in_route", F.explode(F.array(F.lit(False), F.lit(True))))
     score = (
         F.when(F.col("taught"), 2.0).otherwise(0.0)
-        + T.confidence(F.col("uses"), F.col("wins"), F.col("taught")) * F.col("covered")
+        + T.confidence(F.col("uses"), F.col("wins"), F.col("taught")) * (F.col("c") / F.col("n"))
         + F.least("uses", F.lit(20)) / F.lit(100.0)
-        + F.when(F.array_contains("routed", F.col("sector")), 0.25).otherwise(0.0)
+        + F.when(F.col("in_route"), 0.25).otherwise(0.0)
     )
-    scored = hits.select("query_id", "id", F.round(score, 9).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), F.desc("id")], limit)
+    group = Window.partitionBy("pcls", "sector", "c", "in_route").orderBy(F.desc("score"), F.desc("id"))
+    scored = each.select("pcls", "sector", "c", "in_route", "id", F.round(score, 9).alias("score"))
+    best = staged(scored.withColumn("place", F.row_number().over(group)).where(F.col("place") <= limit).drop("place"), "pattern-best")
+    pairs = covered_classes(asked, known).join(asked.select("rcls", "routed"), "rcls")
+    hits = pairs.join(best, ["pcls", "c"]).where(F.col("in_route") == F.coalesce(F.array_contains("routed", F.col("sector")), F.lit(False)))
+    answers = top(hits.select("rcls", "id", "score"), "rcls", [F.desc("score"), F.desc("id")], limit)
+    return members.join(answers, "rcls").select("query_id", "id", "score", "rank")
 
 
 def associated(seeds: DataFrame, edges: DataFrame, limit: int = 3) -> DataFrame:
@@ -66,10 +120,16 @@ def reinforce_patterns(requests: DataFrame, patterns: DataFrame) -> tuple[DataFr
     pair that one request covers gains one. Stopped requests count for nothing.
     """
     ended = requests.where("outcome <> 'stopped'")
-    fired = coverage(ended, patterns).select("query_id", "id")
-    tallied = fired.join(ended.select("query_id", "outcome", "ts"), "query_id").groupBy("id").agg(
+    asked, members = request_classes(ended)
+    known = pattern_classes(patterns)
+    pairs = staged(covered_classes(asked, known), "pattern-fired")
+    # requests are summed by class, and classes by key, before a pattern is named
+    grown = members.join(ended.select("query_id", "outcome", "ts"), "query_id").groupBy("rcls").agg(
         F.count(F.lit(1)).alias("uses"), F.count_if(F.col("outcome") == "ok").alias("wins"), F.max("ts").alias("last_used")
     )
+    keyed = pairs.join(grown, "rcls").groupBy("pcls").agg(F.sum("uses").alias("uses"), F.sum("wins").alias("wins"), F.max("last_used").alias("last_used"))
+    tallied = known.select("id", "pcls").join(keyed, "pcls").select("id", "uses", "wins", "last_used")
+    fired = pairs.join(members, "rcls").join(known.select("id", "pcls"), "pcls").select("query_id", "id")
     return tallied, cofire_edges(fired.withColumnRenamed("query_id", "turn"))
 
 
@@ -100,15 +160,18 @@ def similar_requests(episodes: DataFrame) -> DataFrame:
     sets = index.join(frequency, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
     sets = sets.select("id", F.transform("r", lambda x: x["w"]).alias("words"), F.size("r").alias("n"))
     prefix = F.slice("words", F.lit(1), F.col("n") - F.ceil(F.col("n") / 2).cast("int") + 1)
-    keyed = sets.select("id", "words", "n", F.posexplode(prefix).alias("p", "w"))
+    sets = staged(sets, "request-sets")
+    keyed = sets.select("id", "n", F.posexplode(F.transform(prefix, lambda w: F.xxhash64(w))).alias("p", "w"))
     # the first common word must leave enough for an overlap of a third of both sizes, so frequent words are seldom joined
     keyed = keyed.where((F.col("n") - F.col("p")) * 2 >= F.col("n"))
     a, b = keyed.alias("a"), keyed.alias("b")
     left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
     near = (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") * 2 >= F.greatest("a.n", "b.n"))
     near = near & (left * 3 >= F.col("a.n") + F.col("b.n"))
-    pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.words").alias("wa"), F.col("b.words").alias("wb")).distinct()
-    return pairs.where(T.jaccard(F.col("wa"), F.col("wb")) >= V.SIMILARITY).select("a", "b")
+    pairs = staged(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "request-pairs")
+    own = sets.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    full = pairs.join(own.toDF("a", "wa"), "a").join(own.toDF("b", "wb"), "b")
+    return full.where(T.jaccard(F.col("wa"), F.col("wb")) >= V.SIMILARITY).select("a", "b")
 
 
 def episode_clusters(episodes: DataFrame) -> DataFrame:
@@ -146,7 +209,8 @@ def promotions(episodes: DataFrame, mined: DataFrame | None = None, patterns: Da
     if mined is not None:
         named = named.join(mined.select("key"), "key", "left_anti")
     if patterns is not None:
-        covered = coverage(named.select(F.col("component").alias("query_id"), F.col("trigger").alias("text")), patterns)
+        asked, members = request_classes(named.select(F.col("component").alias("query_id"), F.col("trigger").alias("text")))
+        covered = members.join(covered_classes(asked, pattern_classes(patterns)), "rcls", "left_semi")
         named = named.join(covered.select(F.col("query_id").alias("component")), "component", "left_anti")
     return named.orderBy("component").limit(V.PROMOTIONS).select("trigger", "key", "uses", "newest")
 

@@ -654,27 +654,35 @@ def bond_weights(spark, sf_dir):
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes(spark, sf_dir).select(
+    """Shortcuts: what each note needs, and the beginning of each conversation."""
+    noted = notes(spark, sf_dir).select(
+        "id", T.trigger_key(F.concat_ws(" ", F.element_at(F.split("fact", " needs "), 2), F.lit("needs"))).alias("key"), T.sector_of(F.col("folder")).alias("sector")
+    )
+    begun = table(spark, sf_dir, "conversations").where("turn = 0").select(
+        (F.col("conv_id") + 10_000_000).alias("id"), T.trigger_key(F.left("text", F.lit(40))).alias("key"), T.sector_of(T.auto_folder(F.col("text"), F.lit("fact"))).alias("sector")
+    )
+    return noted.unionByName(begun).select(
         "id",
-        T.trigger_key(F.concat_ws(" ", F.element_at(F.split("fact", " needs "), 2), F.lit("needs"))).alias("key"),
+        "key",
         (F.col("id") % 30).alias("uses"),
         F.floor(F.col("id") % 30 / 2).alias("wins"),
         (F.col("id") % 13 == 0).alias("taught"),
-        T.sector_of(F.col("folder")).alias("sector"),
+        "sector",
     )
 
 
 _PATTERNS = (
-    f"SELECT id, list_sort({_tok(chr(39) + 'needs ' + chr(39) + ' || string_split(fact, ' + chr(39) + ' needs ' + chr(39) + ')[2]')}) AS w, id % 30 AS uses, (id % 30) // 2 AS wins, id % 13 = 0 AS taught, {_sector('folder')} AS sector FROM ({_FILED})"
+    f"SELECT id, w, id % 30 AS uses, (id % 30) // 2 AS wins, id % 13 = 0 AS taught, sector FROM (SELECT id, list_sort({_tok(chr(39) + 'needs ' + chr(39) + ' || string_split(fact, ' + chr(39) + ' needs ' + chr(39) + ')[2]')}) AS w, {_sector('folder')} AS sector FROM ({_FILED}) "
+    f"UNION ALL SELECT conv_id + 10000000, list_sort({_tok('left(text, 40)')}), {_sector(_folder('text', chr(39) + 'fact' + chr(39)))} FROM conversations WHERE turn = 0)"
 )
-_REQUESTS = f"SELECT query_id, text || ' needs audio mixing deploy git music track linux' AS text FROM {_ASKED.replace(' a(', ' x(')}"
+_REQUESTS = f"SELECT query_id, text FROM {_ASKED.replace(' a(', ' x(')}"
 _COVERED = (
     f"WITH p AS ({_PATTERNS}), a AS ({_REQUESTS}), c AS (SELECT query_id, p.*, len(list_intersect(p.w, {_tok('a.text')}))::DOUBLE / len(p.w) AS covered FROM p, a WHERE len(p.w) > 0) "
 )
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" needs audio mixing deploy git music track linux")))
+    return asked(spark, sf_dir)
 
 
 @query(_COVERED + "SELECT query_id, id, round(covered, 6) AS covered FROM c WHERE covered >= 0.6")

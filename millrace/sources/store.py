@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions import vocab as V
+from millrace.sources.index import TokenIndex
 
 SCHEMAS = {
     "fact_events": (
@@ -47,6 +49,7 @@ class Settings:
     proactive: bool = True
     core_limit: int = 8
     read_seconds: float = 60.0
+    index_tail: int = 1000
 
 
 class Store:
@@ -93,9 +96,36 @@ class Store:
             self.set_aside(table)
             return self.table(table)
 
-    def facts(self) -> DataFrame:
-        """The current facts of the store's events."""
-        return current_facts(self.table("fact_events"), self.table("turn_events"))
+    def facts(self, ids: DataFrame | None = None) -> DataFrame:
+        """The current facts of the store's events; with ``ids`` (id) those alone, aggregated from their events alone."""
+        events, turns = self.table("fact_events"), self.table("turn_events")
+        if ids is not None:
+            events = events.join(ids, "id", "left_semi")
+            turns = turns.join(ids.withColumnRenamed("id", "fact_id"), "fact_id", "left_semi")
+        return current_facts(events, turns)
+
+    def index(self) -> TokenIndex:
+        """The stored token index, as of its last update."""
+        return TokenIndex(self.spark, self._place("token_index"))
+
+    def merge_candidates(self, fact: str, event: int) -> DataFrame | None:
+        """(id): the facts that the next event's fact may merge with, by the index; None while there is none.
+
+        Events after the index's last one are candidates unread; past ``index_tail`` of
+        them the index takes them over first. Facts of the last hour are added, as an
+        elaboration shares few of the new fact's tokens.
+        """
+        index, events = self.index(), self.table("fact_events")
+        commits = index.commits()
+        upto = commits[-1].upto if commits else -1
+        if event - 1 - max(upto, 0) > self.settings.index_tail:
+            index.update(events)
+            upto = index.commits()[-1].upto
+        elif not commits:
+            return None
+        recent = F.col("created_at") >= F.current_timestamp() - F.expr(f"INTERVAL {V.ELABORATE_SECONDS} SECONDS")
+        asked = self.spark.createDataFrame([(0, fact)], "new_id long, fact string")
+        return index.merge_candidates(asked).select("id").unionByName(events.where((F.col("event") > upto) | recent).select("id")).distinct()
 
     def bonds(self) -> DataFrame:
         """D3: (term, id, weight, last): bonds of facts that are there, from their last reset on."""

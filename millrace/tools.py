@@ -222,7 +222,8 @@ def builtin_tools(store: Store, session: Session | None = None) -> Registry:
         facts, event, lineage = store.facts(), next_number("fact_events", "event"), session.lineage()
         row = spark.createDataFrame([(fact, lineage, cues)], "fact string, lineage string, cues string")
         note, own_cues = row.select(T.cue_note(F.col("fact")), F.when(F.col("cues").isNotNull(), T.retrieval_cues(F.col("cues")))).first()
-        found = merge.write_decision(row, facts, grading.standing(facts), now, replaces).first()
+        near = store.merge_candidates(fact, event) if replaces is None else None
+        found = merge.write_decision(row, facts if near is None else store.facts(near), grading.standing(facts), now, replaces).first()
         if found is None and replaces is not None:
             return f"ERROR: there is no memory #{replaces}"
         if found is None:
