@@ -203,4 +203,6 @@ def contaminated_spans(
                 yield pa.RecordBatch.from_arrays([*columns, *new], names=out.names)
 
         probed = probed.mapInArrow(work, out)
+        if k + 1 < len(slices):
+            probed = staged(probed, "probed")  # one index in memory at a time
     return probed

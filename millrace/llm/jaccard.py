@@ -86,7 +86,7 @@ def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def _marked(rows: DataFrame, counts: np.ndarray, shingle: int) -> DataFrame:
-    """(id, r1, r2, g, n, prefix, fp, parity): each row's set (hash, size, SimHash, bitmap) and its rarest shingles in order."""
+    """(id, r1, r2, g, n, prefix, fp, parity): each row's set (128-bit hash, size, SimHash, bitmap) and its rarest shingles in order."""
     # only the order of the counts matters, so their ranks do
     ranks = np.unique(counts, return_inverse=True)[1].astype(np.int32)
 
@@ -97,14 +97,14 @@ def _marked(rows: DataFrame, counts: np.ndarray, shingle: int) -> DataFrame:
                 found = shingle_set(t.as_py(), shingle)
                 n = len(found)
                 order = np.argsort(ranks[(found >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)], kind="stable")
-                groups.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                groups.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
                 prefixes.append(found[order[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
                 fps.append(majority_bits(found))
                 parities.append(parity_bitmap(found))
             columns = [
                 *(batch.column(k) for k in range(3)),
-                pa.array(np.array(groups, dtype=np.uint64).view(np.int64)),
+                pa.array(groups, pa.binary()),
                 pa.array(sizes, pa.int32()),
                 pa.array(prefixes, pa.list_(pa.int64())),
                 pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
@@ -113,7 +113,7 @@ def _marked(rows: DataFrame, counts: np.ndarray, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "r1", "r2", "g", "n", "prefix", "fp", "parity"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"id {kind}, r1 long, r2 long, g long, n int, prefix array<long>, fp long, parity array<long>")
+    return rows.mapInArrow(work, f"id {kind}, r1 long, r2 long, g binary, n int, prefix array<long>, fp long, parity array<long>")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int, label: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int
             sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["g", "words"])
 
-    sets = staged(wanted.mapInArrow(work, "g long, words array<long>"), f"{label}-sets")
+    sets = staged(wanted.mapInArrow(work, "g binary, words array<long>"), f"{label}-sets")
     both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     shared = F.size(F.array_intersect("wa", "wb")).cast("long")
     return staged(both.where(shared * 9 >= (F.size("wa") + F.size("wb")).cast("long") * 4).select("a", "b"), label)

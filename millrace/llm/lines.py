@@ -162,13 +162,14 @@ def drop_repeated_lines(
         raise ValueError("min_words must be positive")
     clean, removed = (hidden(docs.columns, c) for c in ("clean_text", "removed_lines"))
     gone = repeated_lines(docs, id_col, text_col, min_words)
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("gone").alias("_gone"))
+    own_id, own_h, lost = (hidden([*docs.columns, clean, removed], c) for c in ("_gone_id", "_gone_h", "_gone"))
+    gone = gone.toDF(own_id, own_h, lost)
     text = F.col(f"`{text_col}`")
     key = F.xxhash64(F.coalesce(text, F.lit("")))
-    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_h")), "left")
-    kept = F.filter(lines_of(text), lambda _, i: ~F.array_contains("_gone", i))
+    joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (key == F.col(own_h)), "left")
+    kept = F.filter(lines_of(text), lambda _, i: ~F.array_contains(lost, i))
     return joined.select(
         *[docs[f"`{c}`"] for c in docs.columns],
-        F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(clean),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias(removed),
+        F.when(F.col(lost).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(clean),
+        F.coalesce(lost, F.array().cast("array<int>")).alias(removed),
     )

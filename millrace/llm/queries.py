@@ -109,15 +109,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence, its own or inherited.
 
     Documents stand for files at source/lang/doc_id; those of up to 40 words with
-    a licence statement stand for licence files of their directory.
+    a licence statement stand for licence files of their directory. Rows of one
+    doc_id and place are one file; rows without a doc_id are told apart by their text.
     """
     docs = read_documents(spark, sf_dir, ("doc_id", "text", "lang", "source"))
     short = (F.size(F.split("text", r"\s+")) <= 40) & F.col("text").rlike("(?i)licen[sc]ed? |rights reserved")
-    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string"))
-    path = F.concat_ws("/", "source", "lang", name).alias("path")
-    found = scan_licenses(docs.select(path, "text"))
-    doc_id = F.regexp_extract("path", "([0-9-]+)$", 1).cast("long").alias("doc_id")
-    return found.select(doc_id, "path", "license", "similarity", "inherited", "inherited_from")
+    # documents without an id are files of their own, named by their text
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    name = F.when(short, F.concat(F.lit("LICENSE."), own)).otherwise(own)
+    paths = docs.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text")
+    found = scan_licenses(paths.select("path", "text"))
+    owners = staged(paths.select("doc_id", "path").distinct(), "license-paths")
+    return owners.join(found, "path").select("doc_id", "path", "license", "similarity", "inherited", "inherited_from")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

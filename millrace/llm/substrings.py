@@ -369,7 +369,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("strings of 48 to 72 bytes are supported")
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hash_parts, record_parts = width, 8 * width
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(_LAST))).alias("id"),
@@ -383,8 +382,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = marked.where("low IS NULL OR low = id")
     folder = f"{shared_dir(spark)}/millrace/repeats-texts-{uuid.uuid4().hex}"
     chunks = staged(_chunks(alone, folder), "repeats-chunks")
+    # a chunk has about 1.2 MB of sample hashes, so parts follow the chunks: some 40 MB of hashes each
+    n_chunks = chunks.count()
+    hash_parts = max(width, -(-n_chunks // 32))
+    record_parts = 8 * hash_parts
     # rows of chunks are small, the work on one is not: spread them evenly
-    tasks = max(1, min(chunks.count(), record_parts))
+    tasks = max(1, min(n_chunks, record_parts))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _reader(folder)

@@ -75,3 +75,13 @@ def test_ties_repeats_clashing_columns_and_long_texts(spark):
         "x/y/z.txt": (None, "ISC", "x/COPYING"),
     }
     assert licenses.passages(None, True) == [] and licenses.passages("", True) == []
+
+
+def test_query_of_null_and_repeated_ids(spark, tmp_path):
+    from millrace.llm import queries
+
+    said = "Licensed under the Apache License, Version 2.0."
+    rows = [(None, said, "en", "web"), (None, "plain words of no licence", "en", "web"), (None, None, None, None), (7, said, "de", "web"), (7, "words", "de", "web"), (7, "words", "de", "web"), (8, "", "de", "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.license, r.inherited) for r in queries.op7_license_scan(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(None, "Apache-2.0", None), (None, None, "Apache-2.0"), (None, None, None), (7, "Apache-2.0", None), (7, None, "Apache-2.0"), (8, None, "Apache-2.0")], key=str)
