@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, firsts: DataFrame, shingle: int
             sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["g", "words"])
 
-    sets = staged(wanted.mapInArrow(work, "g binary, words array<long>"), f"{label}-sets")
+    sets = staged(wanted.mapInArrow(work, "g long, words array<long>"), f"{label}-sets")
     both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     shared = F.size(F.array_intersect("wa", "wb")).cast("long")
     return staged(both.where(shared * 9 >= (F.size("wa") + F.size("wb")).cast("long") * 4).select("a", "b"), label)
@@ -147,12 +147,16 @@ def simhash_candidates(sets: DataFrame, bits: int) -> DataFrame:
     return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def jaccard_links(marked: DataFrame, rows: DataFrame, shingle: int, bits: int) -> DataFrame:
-    """(a, b): links between distinct sets that connect all of similarity 4/5 or more."""
-    some = marked.where("n > 0").groupBy("g").agg(
-        *[F.first(c).alias(c) for c in ("n", "prefix", "fp", "parity")], F.min(F.struct("r1", "r2")).alias("r")
+def distinct_sets(marked: DataFrame) -> DataFrame:
+    """(name, g, copies, n, prefix, fp, parity, r): a row for each set that is not empty, with a number as its short name."""
+    some = marked.where("n > 0").groupBy(F.col("g").alias("name")).agg(
+        *[F.first(c).alias(c) for c in ("n", "prefix", "fp", "parity")], F.min(F.struct("r1", "r2")).alias("r"), F.count(F.lit(1)).alias("copies")
     )
-    sets = staged(some, "jaccard-distinct")
+    return staged(some.withColumn("g", F.monotonically_increasing_id()), "jaccard-distinct")
+
+
+def jaccard_links(sets: DataFrame, rows: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(a, b): links between distinct sets that connect all of similarity 4/5 or more."""
     firsts = sets.select("g", "r.r1", "r.r2")
     keyed = sets.select("g", "n", F.posexplode("prefix").alias("p", "token"))
     below = Window.partitionBy("token")
@@ -202,9 +206,12 @@ def drop_near_copies(
     rows = keyed.select(F.col(f"`{id_col}`").alias("id"), F.col(r1).alias("r1"), F.col(r2).alias("r2"), F.col(f"`{text_col}`").alias("text"))
     counts = _sketch(rows.select("text"), shingle)
     marked = staged(_marked(rows, counts, shingle), "jaccard")
-    roots = connected_components(jaccard_links(marked, rows, shingle, bits), "jaccard-components")
-    classes = marked.select("id", "r1", "r2", "g").join(roots, F.col("g") == F.col("node"), "left")
+    sets = distinct_sets(marked)
+    roots = connected_components(jaccard_links(sets, rows, shingle, bits), "jaccard-components")
+    named = sets.select("name", "g", "copies").join(roots, F.col("g") == F.col("node"), "left")
+    named = staged(named.select(F.col("name").alias("g"), F.coalesce("root", "g").alias("c"), "copies"), "jaccard-classes")
+    classes = lookup(marked.select("id", "r1", "r2", "g"), named, ["g"], "copies")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "r1", "r2")
-    kept = classes.groupBy(F.coalesce("root", "g").alias("c")).agg(F.min(place).alias("least"))
+    kept = classes.groupBy(F.coalesce("c", F.lit(-1).cast("long")).alias("c")).agg(F.min(place).alias("least"))
     kept = staged(kept.select(F.col("least.r1").alias(r1), F.col("least.r2").alias(r2)), "jaccard-kept")
     return keyed.join(kept, [r1, r2], "left_semi").dropDuplicates([r1, r2]).select(*[f"`{c}`" for c in docs.columns])
