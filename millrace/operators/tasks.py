@@ -189,22 +189,32 @@ def episode_clusters(episodes: DataFrame) -> DataFrame:
 
 
 def promotions(episodes: DataFrame, mined: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
-    """(trigger, key, uses, newest): habits of three members and two days or more, at most three a sweep.
+    """(trigger, key, resolution, uses, wins, newest): habits of three members and two days or more, at most three a sweep.
 
     The trigger is the shortest request (tokens, then length, then id); keys of one
     token, keys promoted before and triggers that a pattern covers are left out.
-    Clusters are taken in the order of their first episode.
+    Clusters are taken in the order of their first episode. All members ended well,
+    so all are wins; the resolution tells how often, with which tools and how the
+    newest of them ended (``tools`` and ``summary``, where episodes have them).
     """
-    members = episodes.join(episode_clusters(episodes), "id")
+    blank = {c: F.lit("") for c in ("summary", "tools") if c not in episodes.columns}
+    members = episodes.withColumns(blank).join(episode_clusters(episodes), "id")
     n_tokens = F.size(T.tokens(F.col("request")))
     clusters = members.groupBy("component").agg(
         F.count(F.lit(1)).alias("uses"),
         F.count_distinct(F.to_date("ts")).alias("days"),
         F.min_by("request", F.struct(n_tokens, F.length("request"), "id")).alias("request"),
         F.max("id").alias("newest"),
+        F.max_by(F.struct(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("summary", "tools")]), "id").alias("last"),
     )
+    told = F.concat(
+        F.lit("A habit of "), F.col("uses").cast("string"), F.lit(" good runs."),
+        F.when(F.col("last.tools") != "", F.concat(F.lit(" Used: "), "last.tools", F.lit("."))).otherwise(""),
+        F.when(F.col("last.summary") != "", F.concat(F.lit(" It ended with: "), "last.summary")).otherwise(""),
+    )
+    clusters = clusters.withColumn("resolution", F.left(told, F.lit(300)))
     kept = clusters.where((F.col("uses") >= V.MIN_MEMBERS) & (F.col("days") >= V.MIN_DAYS))
-    named = kept.select("component", T.trigger_display(F.col("request")).alias("trigger"), T.trigger_key(F.col("request")).alias("key"), "uses", "newest")
+    named = kept.select("component", T.trigger_display(F.col("request")).alias("trigger"), T.trigger_key(F.col("request")).alias("key"), "resolution", "uses", "newest")
     named = named.where(F.size(F.split("key", " ")) >= 2)
     if mined is not None:
         named = named.join(mined.select("key"), "key", "left_anti")
@@ -212,7 +222,30 @@ def promotions(episodes: DataFrame, mined: DataFrame | None = None, patterns: Da
         asked, members = request_classes(named.select(F.col("component").alias("query_id"), F.col("trigger").alias("text")))
         covered = members.join(covered_classes(asked, pattern_classes(patterns)), "rcls", "left_semi")
         named = named.join(covered.select(F.col("query_id").alias("component")), "component", "left_anti")
-    return named.orderBy("component").limit(V.PROMOTIONS).select("trigger", "key", "uses", "newest")
+    return named.orderBy("component").limit(V.PROMOTIONS).select("trigger", "key", "resolution", "uses", F.col("uses").alias("wins"), "newest")
+
+
+def consolidate(store, sweep: str) -> int:
+    """One sweep over the store's newest 500 episodes, under a name: how many habits became shortcuts.
+
+    Its writes carry the name and count once the commit row of the sweep is there,
+    so a sweep that died is as if it never was, and one that is asked for again does
+    nothing. Shortcuts start with the tally of their cluster; what was promoted
+    before is not promoted again, even if it was forgotten.
+    """
+    if not store.table("sweeps").where(F.col("sweep") == sweep).isEmpty():
+        return 0
+    episodes = store.table("episodes").orderBy(F.desc("id")).limit(V.EPISODES)
+    found = staged(promotions(staged(episodes, "sweep-episodes"), store.mined(), store.patterns()), "promoted")
+    seq = (store.table("patterns").agg(F.max("seq")).first()[0] or 0) + 1
+    order = Window.orderBy("key")  # three rows
+    rows = found.select(
+        (F.row_number().over(order) - 1 + seq).alias("seq"), F.lit("mined").alias("op"), "trigger", "resolution", F.lit(False).alias("taught"), "uses", "wins", F.lit(sweep).alias("sweep")
+    )
+    store.append("patterns", rows)
+    newest = episodes.agg(F.max("id")).first()[0]
+    store.append("sweeps", store.spark.createDataFrame([(newest, sweep)], "mark long, sweep string").coalesce(1))
+    return found.count()
 
 
 def pattern_list(patterns: DataFrame, limit: int = 200) -> DataFrame:
@@ -244,15 +277,17 @@ def learn(writes: DataFrame) -> DataFrame:
     """(key, trigger, resolution, taught, uses, wins) from writes (seq, trigger, resolution, taught).
 
     One row for each order-free key: the latest text, taught once and for all; the
-    first write sets the tally (one use, one win if taught).
+    first write sets the tally: its own ``uses`` and ``wins`` where it has them (a
+    promoted habit), else one use, and one win if taught.
     """
+    writes = writes.withColumns({c: F.lit(None).cast("long") for c in ("uses", "wins") if c not in writes.columns})
     keyed = writes.withColumn("key", T.trigger_key(F.col("trigger"))).where("key <> ''")
     return keyed.groupBy("key").agg(
         F.max_by(T.trigger_display(F.col("trigger")), "seq").alias("trigger"),
         F.max_by("resolution", "seq").alias("resolution"),
         F.max("taught").alias("taught"),
-        F.lit(1).alias("uses"),
-        F.min_by(F.col("taught").cast("int"), "seq").alias("wins"),
+        F.min_by(F.coalesce("uses", F.lit(1).cast("long")), "seq").alias("uses"),
+        F.min_by(F.coalesce("wins", F.col("taught").cast("long")), "seq").alias("wins"),
     )
 
 

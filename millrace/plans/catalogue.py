@@ -736,13 +736,15 @@ def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").alias("ts"),
         request.alias("request"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("summary"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).otherwise("").alias("tools"),
         F.when(F.col("o_orderstatus") == "F", "failed").otherwise("ok").alias("outcome"),
     )
 
 
 _WORDS7 = "(['invoice', 'reports', 'backup', 'photos', 'summary', 'archive', 'contract'])"
 _EPISODES = (
-    f"SELECT o_orderkey AS id, o_orderdate AS ts, {_WORDS7}[(o_custkey % 7)::INT + 1] || ' ' || {_WORDS7}[((o_custkey // 7) % 7)::INT + 1] || ' client' || (o_custkey // 10) || ' site' || (o_custkey // 20) AS request, "
+    f"SELECT o_orderkey AS id, o_orderdate AS ts, {_WORDS7}[(o_custkey % 7)::INT + 1] || ' ' || {_WORDS7}[((o_custkey // 7) % 7)::INT + 1] || ' client' || (o_custkey // 10) || ' site' || (o_custkey // 20) AS request, 'order ' || o_orderkey AS summary, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END AS tools, "
     "CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'ok' END AS outcome FROM orders"
 )
 
@@ -758,13 +760,16 @@ def similar_episode(spark, sf_dir):
 
 
 _CLUSTERS = (
-    f"WITH RECURSIVE e AS (SELECT id, ts, request, list_sort({_tok('request')}) AS w FROM ({_EPISODES}) WHERE outcome = 'ok' AND len({_tok('request')}) >= 2), s AS (SELECT w, min(id) AS id FROM e GROUP BY 1), "
+    f"WITH RECURSIVE e AS (SELECT id, ts, request, summary, tools, list_sort({_tok('request')}) AS w FROM ({_EPISODES}) WHERE outcome = 'ok' AND len({_tok('request')}) >= 2), s AS (SELECT w, min(id) AS id FROM e GROUP BY 1), "
     f"p AS (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.id <> b.id AND {_JACCARD} >= 0.5), "
     "r(id, root) AS (SELECT id, id FROM s UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.id WHERE r.root < p.y), "
-    "l AS (SELECT id, min(root) AS component FROM r GROUP BY 1), c AS (SELECT e.id, e.ts, e.request, l.component FROM e JOIN s USING (w) JOIN l ON l.id = s.id) "
+    "l AS (SELECT id, min(root) AS component FROM r GROUP BY 1), c AS (SELECT e.id, e.ts, e.request, e.summary, e.tools, l.component FROM e JOIN s USING (w) JOIN l ON l.id = s.id) "
 )
 
 
+_TOLD = "left('A habit of ' || uses || ' good runs.' || CASE WHEN last.t <> '' THEN ' Used: ' || last.t || '.' ELSE '' END || ' It ended with: ' || last.s, 300) AS resolution"
+
+
 @query(_CLUSTERS + "SELECT id, component FROM c")
 def episode_clusters(spark, sf_dir):
     return tasks.episode_clusters(_episodes(spark, sf_dir))
@@ -772,8 +777,8 @@ def episode_clusters(spark, sf_dir):
 
 @query(
     _CLUSTERS
-    + f", g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest FROM c GROUP BY 1) "
-    + f"SELECT trigger, array_to_string(list_sort({_tok('trigger')}), ' ') AS key, uses, newest FROM g WHERE uses >= 3 AND days >= 2 ORDER BY component LIMIT 3"
+    + f", g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest, arg_max({{'s': summary, 't': trim(tools)}}, id) AS last FROM c GROUP BY 1) "
+    + f"SELECT trigger, array_to_string(list_sort({_tok('trigger')}), ' ') AS key, {_TOLD}, uses, uses AS wins, newest FROM g WHERE uses >= 3 AND days >= 2 ORDER BY component LIMIT 3"
 )
 def habit_promotion(spark, sf_dir):
     return tasks.promotions(_episodes(spark, sf_dir))
@@ -781,9 +786,9 @@ def habit_promotion(spark, sf_dir):
 
 @query(
     _CLUSTERS
-    + f", g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest FROM c GROUP BY 1), "
+    + f", g AS (SELECT component, count(*) AS uses, count(DISTINCT ts::DATE) AS days, arg_min(request, {{'n': len({_tok('request')}), 'l': length(request), 'i': id}}) AS trigger, max(id) AS newest, arg_max({{'s': summary, 't': trim(tools)}}, id) AS last FROM c GROUP BY 1), "
     + f"k AS (SELECT *, array_to_string(list_sort({_tok('trigger')}), ' ') AS key FROM g WHERE uses >= 3 AND days >= 2) "
-    + "SELECT trigger, key, uses, newest FROM k WHERE key NOT LIKE 'archive%' AND key NOT LIKE '%invoice%' ORDER BY component LIMIT 3"
+    + f"SELECT trigger, key, {_TOLD}, uses, uses AS wins, newest FROM k WHERE key NOT LIKE 'archive%' AND key NOT LIKE '%invoice%' ORDER BY component LIMIT 3"
 )
 def habit_exclusion(spark, sf_dir):
     """Keys mined before and triggers that a pattern covers are left out."""

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.plans.catalogue import _tok, facts, query, questions
+from millrace.plans.catalogue import _tok, facts, query, questions, table
 from millrace.sources.index import TokenIndex
 from millrace.sources.staging import shared_folder
+from millrace.sources.store import Store
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -64,3 +65,63 @@ def index_lookup(spark, sf_dir):
     wanted = questions(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
     found = index.postings(wanted).groupBy("token").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("ids"))
     return found.join(index.frequencies(wanted), "token").select("token", "df", "first_id", "last_id", "ids")
+
+
+def _day(n: int):
+    return F.lit(f"2024-01-{n:02d}").cast("timestamp")
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as results of three tools."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("tool"), (F.col("doc_id") % 3).cast("string")).alias("tool"), F.col("text").alias("body")
+    )
+
+
+_HELD_AT = (
+    "WITH f AS (SELECT tool, text, min(doc_id) AS first FROM (SELECT doc_id, 'tool' || doc_id % 3 AS tool, text FROM documents WHERE length(text) >= 2000 AND NOT regexp_matches(text, '^\\s*(ERROR|DENIED|BLOCKED|SKIPPED)')) GROUP BY 1, 2), "
+    "h AS (SELECT *, row_number() OVER (ORDER BY first) AS n FROM f) "
+)
+
+
+def _folded_store(spark: SparkSession, sf_dir: str) -> Store:
+    """Held on day 1; even handles read on day 3; swept on day 5, which ends the odd ones; all that the first tool gave comes again on day 6."""
+    store = Store(spark, fresh_folder(spark, "bodies"))
+    results = _results(spark, sf_dir)
+    store.hold(results, _day(1))
+    handles = store.held().select("handle")
+    store.append("touches", handles.where(F.substring("handle", 2, 18).cast("long") % 2 == 0).select("handle", _day(3).alias("ts")))
+    store.sweep(_day(5))
+    return store
+
+
+@query(
+    _HELD_AT
+    + ", s AS (SELECT *, CASE WHEN n % 2 = 1 THEN row_number() OVER (PARTITION BY n % 2 ORDER BY n DESC) END AS grave FROM h), top AS (SELECT max(n) AS top FROM h), "
+    "a AS (SELECT *, CASE WHEN n % 2 = 0 THEN n WHEN grave <= 2000 THEN n ELSE top + row_number() OVER (PARTITION BY coalesce(grave > 2000, false) ORDER BY first) END AS now FROM s, top WHERE tool = 'tool0') "
+    "SELECT 'R' || n AS handle, 'live' AS status, CASE WHEN tool = 'tool0' THEN '2024-01-06' ELSE '2024-01-03' END AS touched, length(text) AS chars FROM h WHERE n % 2 = 0 "
+    "UNION ALL SELECT 'R' || now, 'live', '2024-01-06', length(text) FROM a WHERE n % 2 = 1 "
+    "UNION ALL SELECT 'R' || n, 'expired', '2024-01-01', length(text) FROM s WHERE n % 2 = 1 AND NOT (tool = 'tool0' AND grave <= 2000)"
+)
+def blob_expiry(spark, sf_dir):
+    """Bodies that are held, read, swept, and put again."""
+    store = _folded_store(spark, sf_dir)
+    store.hold(_results(spark, sf_dir).where("tool = 'tool0'"), _day(6))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("touched")
+    live = store.bodies(store.held()).select("handle", F.lit("live").alias("status"), day("touched_at"), F.length("body").cast("long").alias("chars"))
+    gone = store.table("tombs").join(live.select("handle"), "handle", "left_anti").select("handle", F.lit("expired").alias("status"), day("touched_at"), "chars")
+    return live.unionByName(gone)
+
+
+@query(
+    _HELD_AT
+    + ", d AS (SELECT doc_id AS seq, 'tool' || doc_id % 3 AS tool, text FROM documents) "
+    "SELECT seq, CASE WHEN n IS NULL THEN NULL ELSE 'R' || n END AS handle, n IS NULL OR starts_with(text, '') AS readable, sha256(d.text) AS body_sha256 FROM d LEFT JOIN h USING (tool, text)"
+)
+def fold_hold(spark, sf_dir):
+    """every result's handle, and its whole text: as it was sent, or read back by its handle."""
+    store = Store(spark, fresh_folder(spark, "bodies"))
+    sent = store.hold(_results(spark, sf_dir), _day(1))
+    back = store.bodies(store.held()).select("handle", "body")
+    whole = F.coalesce("body", F.when(F.col("handle").isNull(), F.col("text")))
+    return sent.join(back, "handle", "left").select("seq", "handle", whole.isNotNull().alias("readable"), F.sha2(whole, 256).alias("body_sha256"))

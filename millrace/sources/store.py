@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.sources.index import TokenIndex
+from millrace.sources.staging import staged
 
 SCHEMAS = {
     "fact_events": (
@@ -26,13 +27,14 @@ SCHEMAS = {
     "outcomes": "run_id string, outcome string, seq long, ts timestamp",
     "turn_events": "seq long, run_id string, fact_id long, kind string, outcome string, ts timestamp",
     "bond_events": "term string, fact_id long, ts timestamp",
-    "patterns": "seq long, op string, trigger string, resolution string, taught boolean",
+    "patterns": "seq long, op string, trigger string, resolution string, taught boolean, uses long, wins long, sweep string",
     "pattern_uses": "key string, outcome string, ts timestamp",
     "episodes": "id long, ts timestamp, request string, summary string, tools string, outcome string",
     "blobs": "handle string, fingerprint string, tool string, body string, touched_at timestamp",
-    "tombs": "handle string, fingerprint string, tool string, touched_at timestamp, chars long",
+    "touches": "handle string, ts timestamp",
+    "tombs": "handle string, fingerprint string, tool string, touched_at timestamp, chars long, swept_at timestamp",
     "drops": "handle string, ts timestamp",
-    "sweeps": "mark long",
+    "sweeps": "mark long, sweep string",
     "sightings": "seq long, kind string, uri string, display string, summary string, ts timestamp",
 }
 
@@ -141,7 +143,7 @@ class Store:
         """The shortcuts: one row for each order-free key, with tallies of first writes and of uses; forgotten ones are gone."""
         from millrace.operators import tasks
 
-        writes = self.table("patterns").withColumn("key", T.trigger_key(F.col("trigger")))
+        writes = self._committed_patterns().withColumn("key", T.trigger_key(F.col("trigger")))
         gone = writes.where("op = 'forget'").groupBy("key").agg(F.max("seq").alias("gone"))
         known = tasks.learn(writes.where("op IS NULL OR op <> 'forget'").join(gone, "key", "left").where("gone IS NULL OR seq > gone").drop("key"))
         used = self.table("pattern_uses").where("outcome <> 'stopped'").groupBy("key").agg(
@@ -153,6 +155,80 @@ class Store:
         sector = T.sector_of(T.auto_folder(F.concat_ws(" ", "trigger", "resolution"), F.lit("fact")))
         return tallied.withColumns({"id": F.xxhash64("key"), "sector": sector}).drop("n", "won")
 
+    def _committed_patterns(self) -> DataFrame:
+        """Writes of patterns; those of a sweep count once its commit row is there."""
+        done = self.table("sweeps").where("sweep IS NOT NULL").select("sweep").distinct()
+        rows = self.table("patterns")
+        return rows.where("sweep IS NULL").unionByName(rows.where("sweep IS NOT NULL").join(done, "sweep", "left_semi").select(*rows.columns))
+
+    def mined(self) -> DataFrame:
+        """(key): what sweeps promoted before, forgotten since or not."""
+        return self._committed_patterns().where("op = 'mined'").select(T.trigger_key(F.col("trigger")).alias("key")).distinct()
+
+    # ------------------------------------------------------------ held bodies
+
+    def held(self) -> DataFrame:
+        """(handle, fingerprint, tool, put_at, touched_at): the bodies that are held now; no body is read for it.
+
+        A sweep ends a handle until the body is put again; a drop ends it for good.
+        """
+        from millrace.operators import ledger
+
+        start = F.lit("1970-01-01").cast("timestamp")
+        at = F.coalesce("touched_at", start)
+        puts = self.table("blobs").groupBy("handle").agg(F.max_by(F.struct("fingerprint", "tool"), at).alias("e"), F.max(at).alias("put_at"))
+        reads = self.table("touches").groupBy("handle").agg(F.max("ts").alias("read_at"))
+        ends = self.table("tombs").groupBy("handle").agg(F.max(F.coalesce("swept_at", "touched_at", start)).alias("end_at"))
+        live = puts.join(reads, "handle", "left").join(ends, "handle", "left").where("end_at IS NULL OR put_at > end_at")
+        return ledger.without(live.select("handle", "e.*", "put_at", F.greatest("put_at", "read_at").alias("touched_at")), self.table("drops"))
+
+    def graves(self) -> DataFrame:
+        """The newest 2000 tombs of handles that are not held."""
+        from millrace.operators import ledger
+
+        at = F.coalesce("swept_at", "touched_at")
+        last = self.table("tombs").groupBy("handle").agg(F.max_by(F.struct("fingerprint", "tool", "touched_at", "chars", "swept_at"), at).alias("e"))
+        gone = last.select("handle", "e.*").join(self.held().select("handle"), "handle", "left_anti")
+        return gone.orderBy(F.desc("swept_at"), F.desc(ledger.handle_number(F.col("handle")))).limit(V.TOMBS)
+
+    def bodies(self, live: DataFrame) -> DataFrame:
+        """(handle, tool, body, touched_at) of held handles (handle, put_at, touched_at)."""
+        at = F.coalesce("touched_at", F.lit("1970-01-01").cast("timestamp"))
+        rows = self.table("blobs").select("handle", at.alias("put_at"), "tool", "body")
+        return rows.join(live.select("handle", "put_at", "touched_at"), ["handle", "put_at"]).select("handle", "tool", "body", "touched_at")
+
+    def hold(self, results: DataFrame, as_of, threshold: int = 2000) -> DataFrame:
+        """(seq, text, removed, handle) of tool results (seq, tool, body); folded bodies are stored.
+
+        A body that is held already is touched, one that was swept comes back under
+        its handle while its tomb is there, and others get the next numbers.
+        """
+        from millrace.operators import fold, ledger
+
+        live = staged(self.held(), "held")
+        done = staged(fold.fold_and_hold(results, live.select("fingerprint", "handle"), self._numbered_tombs(), threshold), "folded")
+        stored = done.where("handle IS NOT NULL")
+        firsts = stored.groupBy("handle").agg(F.min("seq").alias("seq"))
+        fresh = firsts.join(live.select("handle"), "handle", "left_anti")
+        rows = stored.join(fresh.select("seq"), "seq", "left_semi").select("seq", "handle", "body").join(results.select("seq", "tool"), "seq")
+        mark = ledger.fingerprint(F.col("tool"), F.col("body")).alias("fingerprint")
+        self.append("blobs", rows.select("handle", mark, "tool", "body", as_of.alias("touched_at")))
+        self.append("touches", firsts.join(live.select("handle"), "handle", "left_semi").select("handle", as_of.alias("ts")))
+        return done.select("seq", "text", "removed", "handle")
+
+    def _numbered_tombs(self) -> DataFrame:
+        """(fingerprint, handle): tombs that a body may come back to; others only keep their numbers in use."""
+        used = self.table("tombs").select(F.lit(None).cast("string").alias("fingerprint"), "handle")
+        dropped = self.table("blobs").select(F.lit(None).cast("string").alias("fingerprint"), "handle")
+        return self.graves().select("fingerprint", "handle").unionByName(used).unionByName(dropped)
+
+    def sweep(self, as_of, days: int = V.TTL_DAYS) -> None:
+        """End what was not put or read for so many days; a tomb stays of each."""
+        live = self.held()
+        gone = live.where(F.col("touched_at") < as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
+        sizes = self.bodies(gone).select("handle", F.length("body").cast("long").alias("chars"))
+        self.append("tombs", gone.join(sizes, "handle", "left").withColumn("swept_at", as_of))
+
     def changes(self, after: int = 0) -> DataFrame:
         """(event, op, id, category, fact): what a mirror of the facts has to take over, in order of ``event``.
 

@@ -28,7 +28,7 @@ class RunMarks(StatefulProcessor):
         self.handle = handle
         self.marks = handle.getListState("marks", "kind string, fact_id long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ended = None
         for batch in rows:
             for kind, fact, outcome in batch[["kind", "fact_id", "outcome"]].itertuples(index=False):
@@ -37,7 +37,7 @@ class RunMarks(StatefulProcessor):
                 else:
                     self.marks.appendValue((kind, int(fact)))
         if ended is None:
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
             return
         seen = sorted(set(self.marks.get())) if self.marks.exists() else []
         self.marks.clear()
@@ -46,7 +46,7 @@ class RunMarks(StatefulProcessor):
         if seen and ended != "stopped":
             yield pd.DataFrame({"run_id": key[0], "kind": [k for k, _ in seen], "fact_id": [f for _, f in seen], "outcome": ended})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.marks.clear()
         return iter(())
 
@@ -100,12 +100,15 @@ def recent_elaborations(facts: DataFrame, delay: str = "10 minutes") -> DataFram
     return pairs.where(fuller & ~names_differ(F.col("new_fact"), F.col("old_fact"))).select("id_new", "id_old")
 
 
-def consolidate_every(store, new_episodes: int, run):
-    """A foreachBatch function that stores episodes and calls ``run(store)`` once so many are newer than the last sweep.
+def consolidate_every(store, new_episodes: int, run=None, name: str = "sweep"):
+    """A foreachBatch function that stores episodes and sweeps once so many are newer than the last sweep.
 
-    The mark of the last sweep is a row of the store, and an episode is stored once
-    whatever its id comes with, so neither a restart nor a replayed batch is counted twice.
+    A sweep (``tasks.consolidate``) is named after the batch that is due and its
+    commit row holds its mark, so a batch that is replayed, or killed anywhere in
+    between, gives one sweep. An episode is stored once whatever its id comes with.
+    With ``run`` that is called with the store in the sweep's place, before its mark.
     """
+    from millrace.operators import tasks
 
     def batch(df: DataFrame, batch_id: int) -> None:
         known = store.table("episodes").select("id")
@@ -113,7 +116,11 @@ def consolidate_every(store, new_episodes: int, run):
         mark = store.table("sweeps").agg(F.max("mark")).first()[0]
         since = store.table("episodes") if mark is None else store.table("episodes").where(F.col("id") > mark)
         n, newest = since.agg(F.count(F.lit(1)), F.max("id")).first()
-        if n >= new_episodes:
+        if n < new_episodes:
+            return
+        if run is None:
+            tasks.consolidate(store, f"{name}-{newest}")
+        else:
             run(store)
             store.append("sweeps", df.sparkSession.createDataFrame([(newest,)], "mark long"))
 

@@ -172,11 +172,24 @@ class Session:
         w[3] = w[2]
         return w[0], w[1], new
 
-    def finish(self, outcome: str = "ok") -> None:
-        """Grade what the run was served and planted; ``stopped`` drops its marks without a grade."""
+    def finish(self, outcome: str = "ok", request: str = "", summary: str = "", tools: str = "") -> None:
+        """Grade what the run was served and planted; ``stopped`` drops its marks without a grade.
+
+        With its ``request`` the turn becomes an episode, and the shortcuts that the
+        request covers are tallied as used.
+        """
         if not self.run_id:
             return
         spark, store = self.store.spark, self.store
+        if request and outcome != "stopped":
+            turn = [((store.table("episodes").agg(F.max("id")).first()[0] or 0) + 1, request, summary, tools, outcome)]
+            rows = spark.createDataFrame(turn, "id long, request string, summary string, tools string, outcome string").withColumn("ts", F.current_timestamp())
+            store.append("episodes", tasks.episode_rows(rows))
+            if store.settings.reinforce:
+                asked, members = tasks.request_classes(spark.createDataFrame([(0, request)], "query_id long, text string"))
+                known = tasks.pattern_classes(store.patterns())
+                fired = known.join(tasks.covered_classes(asked, known), "pcls", "left_semi").select("key")
+                store.append("pattern_uses", fired.select("key", F.lit(outcome).alias("outcome"), F.current_timestamp().alias("ts")))
         seq = (store.table("outcomes").agg(F.max("seq")).first()[0] or 0) + 1
         ended = spark.createDataFrame([(self.run_id, outcome, seq)], "run_id string, outcome string, seq long").withColumn("ts", F.current_timestamp())
         store.append("outcomes", ended)
@@ -326,18 +339,19 @@ def builtin_tools(store: Store, session: Session | None = None) -> Registry:
             raise ValueError("reading back is off")
         asked = spark.createDataFrame([(handle, "run")], "handle string, conv_id string")
         grants = None if session.grants is None else spark.createDataFrame([("run", h) for h in session.grants], "conv_id string, handle string")
-        blobs, tombs = ledger.without(store.table("blobs"), store.table("drops")), store.table("tombs")
+        live, tombs = store.held(), store.table("tombs")
         kind, number = F.left("handle", F.lit(1)).alias("kind"), ledger.handle_number(F.col("handle"))
         swept = tombs.groupBy(kind).agg(F.max(number).alias("mark"))
-        status = ledger.handle_status(asked, blobs, swept, tombs, grants).first()["status"]
+        status = ledger.handle_status(asked, live, swept, store.graves(), grants).first()["status"]
         if status == "live":
-            return blobs.where(F.col("handle") == handle).select("handle", "body")
+            store.append("touches", spark.createDataFrame([(handle,)], "handle string").withColumn("ts", now))
+            return store.bodies(live.where(F.col("handle") == handle)).select("handle", "body").limit(1)
         if status == "expired":
             was = ledger.tomb_meta(asked, tombs).first()
             raise ValueError(f"{handle} has expired" + (f"; it held {was.chars} characters of {was.tool}, which can be run again" if was else ""))
         session.misses += 1
-        live = [r.handle for r in ledger.live_handles(blobs).collect()] if grants is None else sorted(session.grants)
-        raise ValueError(f"no held text under {handle!r}; there are {', '.join(live) or 'none'}")
+        others = [r.handle for r in ledger.live_handles(store.bodies(live)).collect()] if grants is None else sorted(session.grants)
+        raise ValueError(f"no held text under {handle!r}; there are {', '.join(others) or 'none'}")
 
     @registry.tool("fold_peek", "Lines of a held text.")
     def fold_peek(handle: str, start: int = 1, count: int = 60, part: int = 0) -> str:
