@@ -129,6 +129,41 @@ class Store:
         asked = self.spark.createDataFrame([(0, fact)], "new_id long, fact string")
         return index.merge_candidates(asked).select("id").unionByName(events.where((F.col("event") > upto) | recent).select("id")).distinct()
 
+    def write(self, batch: DataFrame) -> DataFrame:
+        """Many facts (seq, fact, category, lineage, ts, and context, cues where given) written in order: what became of each, with ids.
+
+        Only stored facts that the token index finds for some write are read, and what
+        the writes did is appended as events: a restatement writes none. ``seq`` counts
+        from 0; numbers follow the highest there is, so the store has one writer.
+        """
+        from millrace.operators import grading, ingest
+
+        events = self.table("fact_events")
+        index = self.index()
+        index.update(events)
+        rows = staged(batch, "writes")
+        facts = self.facts()
+        earliest = rows.agg(F.min("ts")).first()[0]
+        near = index.merge_candidates(rows.select(F.col("seq").alias("new_id"), "fact")).select("id")
+        if earliest is not None:
+            recent = F.col("created_at") >= F.lit(earliest) - F.expr(f"INTERVAL {V.ELABORATE_SECONDS} SECONDS")
+            near = near.unionByName(events.where(recent).select("id"))
+        near = staged(near.distinct(), "writes-near")
+        done = staged(ingest.write_batch(rows, self.facts(near), grading.standing(facts)), "written")
+        base = (events.agg(F.max("event")).first()[0] or 0) + 1
+        done = done.withColumn("id", F.when(F.col("target_stored"), F.col("target")).otherwise(F.col("target") + base))
+        given = done.where("action <> 'restated'").join(rows, "seq")
+        op = F.when(F.col("action") == "inserted", "insert").otherwise("update").alias("op")
+        extra = [c for c in ("context", "cues") if c in rows.columns]
+        self.append(
+            "fact_events",
+            given.select(
+                (F.col("seq") + base).alias("event"), op, "id", "fact", "category", *extra, "lineage", F.col("ts").alias("created_at"),
+                (F.col("changed") | F.col("demoted")).alias("reset"), "grafted",
+            ),
+        )
+        return done.select("seq", "id", "action", "changed", "demoted", "elaborated")
+
     def bonds(self) -> DataFrame:
         """D3: (term, id, weight, last): bonds of facts that are there, from their last reset on."""
         from millrace.operators import grading
