@@ -67,7 +67,8 @@ def sniff(bodies: DataFrame) -> DataFrame:
     fit = sized.where("low = width AND width >= 2")
     best = fit.groupBy("handle").agg(F.max_by(F.struct("delimiter", "width", "first"), F.struct("width", -F.col("k"))).alias("b"))
     head = F.transform(cells(F.col("b.first"), F.col("b.delimiter")), lambda c: F.trim(c))
-    header = F.forall(head, lambda c: (c != "") & T.number(c).isNull()) & (F.size(F.array_distinct(head)) == F.size(head))
+    # words that stand for numbers make no names either
+    header = F.forall(head, lambda c: (c != "") & T.number(c).isNull() & ~c.rlike(r"(?i)^[+-]?(nan|inf|infinity)$")) & (F.size(F.array_distinct(head)) == F.size(head))
     numbered = F.transform(F.sequence(F.lit(1), F.col("b.width")), lambda k: F.concat(F.lit("c"), k.cast("string")))
     return best.select(
         "handle", "b.delimiter", "b.width", F.when(header, head).otherwise(numbered).alias("columns"), header.alias("has_header")
@@ -310,14 +311,14 @@ def outlier_notes(bodies: DataFrame, head: int = 8, tail: int = 4, most: int = 6
     picked = shapes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
     lists = picked.groupBy("handle", "total", "n_rare").agg(F.array_sort(F.collect_list(F.struct("r.line_no", "r.n", "r.line"))).alias("show"))
 
-    def note(r: Column) -> Column:
-        like = F.when(r["n"] > 1, F.concat(F.lit("  ["), r["n"].cast("string"), F.lit(" lines like this]"))).otherwise("")
-        return F.concat(F.lit("  "), r["line_no"].cast("string"), F.lit(": "), T.clip(r["line"]), like)
+    def entry(r: Column) -> Column:
+        times = F.when(r["n"] > 1, F.concat(F.lit(" (x"), r["n"].cast("string"), F.lit(")"))).otherwise("")
+        return F.concat(F.lit("- line "), r["line_no"].cast("string"), times, F.lit(" | "), T.clip(r["line"]))
 
-    routine, more = F.col("total") - F.col("n_rare"), F.col("n_rare") - F.size("show")
-    heading = F.concat(F.lit("pattern: "), routine.cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" lines look like other lines in this body. These do not:"))
-    rest = F.when(more > 0, F.array(F.concat(F.lit("  ... and "), more.cast("string"), F.lit(" more unlike the rest.")))).otherwise(F.array().cast("array<string>"))
-    return lists.select("handle", F.concat(F.array(heading), F.transform("show", note), rest).alias("notes"))
+    unlisted = F.col("n_rare") - F.size("show")
+    count = F.concat(F.lit("rare: "), F.col("n_rare").cast("string"), F.lit(" in "), F.col("total").cast("string"))
+    heading = F.when(unlisted > 0, F.concat(count, F.lit(", "), unlisted.cast("string"), F.lit(" unlisted"))).otherwise(count)
+    return lists.select("handle", F.concat(F.array(heading), F.transform("show", entry)).alias("notes"))
 
 
 def _repr(text: Column) -> Column:

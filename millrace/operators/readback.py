@@ -41,25 +41,18 @@ def paging_state(calls: DataFrame) -> DataFrame:
 
 
 def paging_advice(handle: Column, seen: Column, reached: Column, total: Column) -> Column:
-    """what a reader that walks through a body is told from the third page on, else ''."""
-    done = F.least(reached, total)
-    left = total - done
-    rate = F.greatest(F.lit(1), F.floor(done / F.greatest(F.lit(1), seen - 1)))
-    calls = F.when((seen > 1) & (done > 0) & (left > 0), F.concat(F.lit(", some "), F.ceil(left / rate).cast("string"), F.lit(" calls more at this pace")))
-    said = F.concat(
-        F.lit("\n[page "), seen.cast("string"), F.lit(" of "), handle, F.lit(": "), done.cast("string"), F.lit(" of "), total.cast("string"),
-        F.lit(" lines read, "), left.cast("string"), F.lit(" left"), F.coalesce(calls, F.lit("")),
-        F.lit(". For a count, sum or most frequent value use fold_stats, which reads the whole body at once.]"),
-    )
+    """from the third page of a body on: the share read, the pages that the rest would take at their mean size, and the shorter way; else ''."""
+    covered = F.least(reached, total).cast("double")
+    ahead = F.ceil(F.try_divide((total - covered) * (seen - 1), covered))
+    outlook = F.when(ahead > 0, F.concat(F.lit("; the rest is about "), ahead.cast("string"), F.lit(" pages"))).otherwise(F.lit(""))
+    share = F.concat(F.coalesce(F.floor(F.try_divide(100 * covered, total)), F.lit(0)).cast("string"), F.lit(" % read"))
+    said = F.concat(F.lit("\n("), handle, F.lit(": "), share, F.coalesce(outlook, F.lit("")), F.lit(". fold_stats answers for all lines in one call.)"))
     return F.when(seen >= NUDGE_AFTER, said).otherwise(F.lit(""))
 
 
 def eviction_notice(handle: Column, lost: Column) -> Column:
-    """says that pages read before are no longer in the conversation, else ''."""
-    said = F.concat(
-        F.lit("\n["), lost.cast("string"), F.lit(" earlier pages of "), handle,
-        F.lit(" were collapsed: a total added up from the pages in sight misses them; fold_stats does not.]"),
-    )
+    """how many pages of this body a reader no longer sees, else ''."""
+    said = F.concat(F.lit("\n("), handle, F.lit(": pages out of sight: "), lost.cast("string"), F.lit("; sums over visible pages are too small.)"))
     return F.when(lost > 0, said).otherwise(F.lit(""))
 
 

@@ -261,6 +261,9 @@ def prime(requests: DataFrame, facts: DataFrame, limit: int = 3, max_chars: int
     joined = joined.where(~F.contains(F.coalesce("known", F.lit("")), F.col("fact")))
     cost = F.length(F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" ["), "category", F.lit("] "), "fact"))
     rows = joined.select("query_id", F.struct((-F.col("literal")).alias("l"), (-F.col("hinted")).alias("h"), (-F.col("id")).alias("i"), cost.alias("c")).alias("row")).where(cost <= max_chars)
+    # of facts of one cost only the first few can be taken, whatever else is, so a query has limit x max_chars rows at most
+    equal = Window.partitionBy("query_id", "row.c").orderBy("row")
+    rows = rows.withColumn("place", F.row_number().over(equal)).where(F.col("place") <= limit)
     listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("ids"))
 

@@ -1128,7 +1128,7 @@ _MESSAGES = "SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'tool' ELSE role
 
 
 @query(
-    f"WITH m AS ({_MESSAGES}), s AS (SELECT *, n - 100 - length(chr(10) || '...[' || (n - 100) || ' chars dropped to fit the budget. Run the tool again with a narrower scope.]') AS saved FROM m WHERE role = 'tool' AND n > 200 AND back > 2), "
+    f"WITH m AS ({_MESSAGES}), s AS (SELECT *, n - 100 - length(chr(10) || '(cut here; ' || (n - 100) || ' more characters; narrow the request to see them)') AS saved FROM m WHERE role = 'tool' AND n > 200 AND back > 2), "
     "b AS (SELECT *, coalesce(sum(saved) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE saved > 0) SELECT conv_id, turn, saved FROM b WHERE before < 600"
 )
 def trim_messages(spark, sf_dir):

@@ -282,9 +282,9 @@ def undefined_aliases(spark, sf_dir):
 
 
 @query(
-    f"WITH m AS ({_MESSAGES}), s AS (SELECT *, n - 100 - length(chr(10) || '...[' || (n - 100) || ' chars dropped to fit the budget. Run the tool again with a narrower scope.]') AS saved FROM m WHERE role = 'tool' AND n > 200 AND back > 2), "
+    f"WITH m AS ({_MESSAGES}), s AS (SELECT *, n - 100 - length(chr(10) || '(cut here; ' || (n - 100) || ' more characters; narrow the request to see them)') AS saved FROM m WHERE role = 'tool' AND n > 200 AND back > 2), "
     "b AS (SELECT *, coalesce(sum(saved) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WHERE saved > 0), c AS (SELECT conv_id, turn, true AS cut FROM b WHERE before < 600) "
-    "SELECT m.conv_id, m.turn, md5(CASE WHEN cut IS NULL THEN content ELSE left(content, 100) || chr(10) || '...[' || (n - 100) || ' chars dropped to fit the budget. Run the tool again with a narrower scope.]' END) AS digest FROM m LEFT JOIN c USING (conv_id, turn)"
+    "SELECT m.conv_id, m.turn, md5(CASE WHEN cut IS NULL THEN content ELSE left(content, 100) || chr(10) || '(cut here; ' || (n - 100) || ' more characters; narrow the request to see them)' END) AS digest FROM m LEFT JOIN c USING (conv_id, turn)"
 )
 def trimmed_messages(spark, sf_dir):
     return guard.trimmed(_messages(spark, sf_dir), 600, 100).select("conv_id", "turn", F.md5("content").alias("digest"))
@@ -293,7 +293,7 @@ def trimmed_messages(spark, sf_dir):
 @query(
     f"WITH m AS ({_MESSAGES}), l AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS total FROM m WHERE role = 'tool' AND name = 'fold_peek'), u AS (SELECT *, n - 120 AS saved FROM l WHERE back > 1 AND n > 120), "
     "b AS (SELECT *, coalesce(sum(saved) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u), c AS (SELECT conv_id, turn, true AS gone FROM b WHERE total - before > 300) "
-    "SELECT m.conv_id, m.turn, md5(CASE WHEN gone IS NULL THEN content ELSE '[read-back collapsed] ' || left(content, 98) END) AS digest FROM m LEFT JOIN c USING (conv_id, turn)"
+    "SELECT m.conv_id, m.turn, md5(CASE WHEN gone IS NULL THEN content ELSE '[shown before] ' || left(content, 105) END) AS digest FROM m LEFT JOIN c USING (conv_id, turn)"
 )
 def evicted_messages(spark, sf_dir):
     return guard.evicted(_messages(spark, sf_dir), 300, 1).select("conv_id", "turn", F.md5("content").alias("digest"))
