@@ -499,9 +499,9 @@ def elaborated_pairs(spark, sf_dir):
 
 
 @query(
-    f"WITH q AS ({_Q_TOKENS}), d AS ({_DOC_TOKENS}), h AS (SELECT query_id, id, count(*) AS o FROM d JOIN q USING (token) GROUP BY ALL), "
+    f"WITH q AS MATERIALIZED ({_Q_TOKENS}), l AS MATERIALIZED (SELECT doc_id AS id, {_tok('text')} AS own FROM documents), d AS (SELECT id, unnest(own) AS token FROM l), h AS (SELECT query_id, id, count(*) AS o FROM d JOIN q USING (token) GROUP BY ALL), "
     "s AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, id DESC) AS rk FROM h) WHERE rk <= 8) "
-    "SELECT s.query_id, q.token AS term, s.id FROM s JOIN q USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = s.id AND d.token = q.token)"
+    "SELECT s.query_id, q.token AS term, s.id FROM s JOIN q USING (query_id) JOIN l ON l.id = s.id WHERE NOT list_contains(l.own, q.token)"
 )
 def bond_pairs(spark, sf_dir):
     known, wanted = facts(spark, sf_dir), questions(spark, sf_dir)
