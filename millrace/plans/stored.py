@@ -1,4 +1,4 @@
-"""Registered queries over stored structures: the token index, held bodies and what tasks learned.
+"""Registered queries over stored structures: the token index, held bodies, packs and mirrors of fact events.
 
 Each query writes its store below the shared folder and reads it back, so the
 whole loop of writes, updates and reads is what the result shows.
@@ -125,3 +125,68 @@ def fold_hold(spark, sf_dir):
     back = store.bodies(store.held()).select("handle", "body")
     whole = F.coalesce("body", F.when(F.col("handle").isNull(), F.col("text")))
     return sent.join(back, "handle", "left").select("seq", "handle", whole.isNotNull().alias("readable"), F.sha2(whole, 256).alias("body_sha256"))
+
+
+def _histories(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Documents as five batches of fact events: all are inserted with half their text, then rewritten (some reset), moved, trusted or forgotten, and rewritten again."""
+    rows = facts(spark, sf_dir)
+    number = lambda k: (F.col("id") + k * 1_000_000_000_000).alias("event")
+    base = lambda k, op: [number(k), F.lit(op).alias("op"), "id", F.lit("fact").alias("category"), _day(k).alias("created_at")]
+    cues = F.concat(F.lit("cue"), (F.col("id") % 5).cast("string")).alias("cues")
+    return [
+        rows.select(*base(1, "insert"), F.expr("left(fact, length(fact) div 2)").alias("fact"), cues),
+        rows.where("id % 7 <> 0").select(*base(2, "update"), "fact", (F.col("id") % 3 == 0).alias("reset")),
+        rows.where("id % 4 = 1").select(*base(3, "move"), F.lit("Elsewhere/Moved").alias("folder")),
+        rows.where("id % 11 = 5").select(*base(4, "forget")).unionByName(rows.where("id % 11 = 6").select(*base(4, "trust"))),
+        rows.where("id % 13 = 2 AND id % 11 <> 5").select(*base(5, "update"), F.expr("right(fact, length(fact) div 3)").alias("fact"), F.lit("said again").alias("context")),
+    ]
+
+
+_LAST_TEXT = (
+    "CASE WHEN doc_id % 13 = 2 THEN CASE WHEN length(text) // 3 = 0 THEN '' ELSE right(text, length(text) // 3) END "
+    "WHEN doc_id % 7 <> 0 THEN text ELSE left(text, length(text) // 2) END"
+)
+_THERE = "FROM documents WHERE doc_id % 11 <> 5"
+
+
+@query(
+    f"SELECT doc_id AS id, {_LAST_TEXT} AS fact, CASE WHEN doc_id % 13 = 2 THEN 'said again' END AS context, "
+    "CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 = 0 THEN '' ELSE 'cue' || doc_id % 5 END AS cues, doc_id % 4 = 1 AS moved, "
+    "CASE WHEN doc_id % 11 = 6 AND doc_id % 13 <> 2 THEN 'user/hand/hand' END AS lineage, 1 + (doc_id % 7 <> 0)::BIGINT + (doc_id % 13 = 2)::BIGINT AS n_texts "
+    f"{_THERE}"
+)
+def packed_facts(spark, sf_dir):
+    """Facts and numbers of texts from packs made between five batches of events, and a batch after the last pack."""
+    store = Store(spark, fresh_folder(spark, "packed"))
+    for k, batch in enumerate(_histories(spark, sf_dir)):
+        store.append("fact_events", batch)
+        if k in (0, 2, 3):
+            store.pack("fact_events")
+    texts = store.revisions().groupBy("id").agg(F.count(F.lit(1)).alias("n_texts"))
+    moved = (F.col("folder") == "Elsewhere/Moved").alias("moved")
+    return store.facts().join(texts, "id").select("id", "fact", "context", "cues", moved, "lineage", "n_texts")
+
+
+@query(
+    f"SELECT doc_id AS id, {_LAST_TEXT} AS fact, 1 + (doc_id % 13 = 2)::BIGINT AS n_puts {_THERE} "
+    "UNION ALL SELECT doc_id, NULL, 2 FROM documents WHERE doc_id % 11 = 5"
+)
+def mirror_handover(spark, sf_dir):
+    """The last text that a mirror got of each fact and how often it got it: filled while facts are written, then by the stream, twice started."""
+    store = Store(spark, fresh_folder(spark, "mirrored"))
+    batches = _histories(spark, sf_dir)
+    for batch in batches[:2]:
+        store.append("fact_events", batch)
+    copy = fresh_folder(spark, "mirror")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == -1:  # writes in the middle of the filling
+            for late in batches[2:4]:
+                store.append("fact_events", late)
+        batch.select("event", "op", "id", "fact").write.mode("append").parquet(copy)
+
+    state = fresh_folder(spark, "mirror-state")
+    store.mirror(put, state, "copy").awaitTermination()
+    store.append("fact_events", batches[4])
+    store.mirror(put, state, "copy").awaitTermination()
+    return spark.read.parquet(copy).groupBy("id").agg(F.max_by("fact", "event").alias("fact"), F.count(F.lit(1)).alias("n_puts"))

@@ -1,4 +1,4 @@
-"""The store: append-only Parquet tables under one folder.
+"""The store: append-only Parquet tables under one folder.
 
 A write appends events; the current state is an aggregate over them, so nothing
 is updated in place and a lost executor costs a recomputation only.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.sources.index import TokenIndex
+from millrace.sources.packs import Packs
 from millrace.sources.staging import staged
 
 SCHEMAS = {
@@ -35,6 +36,7 @@ SCHEMAS = {
     "tombs": "handle string, fingerprint string, tool string, touched_at timestamp, chars long, swept_at timestamp",
     "drops": "handle string, ts timestamp",
     "sweeps": "mark long, sweep string",
+    "mirrors": "mirror string, upto long, filled boolean",
     "sightings": "seq long, kind string, uri string, display string, summary string, ts timestamp",
 }
 
@@ -52,6 +54,7 @@ class Settings:
     core_limit: int = 8
     read_seconds: float = 60.0
     index_tail: int = 1000
+    pack_files: int = 64
 
 
 class Store:
@@ -64,19 +67,52 @@ class Store:
         return f"{self.path}/{table}"
 
     def table(self, table: str) -> DataFrame:
-        """A table's rows; columns added later are null in older files. Only a folder that is not there is an empty table."""
+        """A table's rows, from its packs and the files since; columns added later are null in older files. No files are an empty table."""
+        return self._read(table, "rows")
+
+    def _packs(self, table: str) -> Packs:
+        return Packs(self.spark, self._place(table), f"{self.path}/packs/{table}")
+
+    def _read(self, table: str, kind: str) -> DataFrame:
+        packs = self._packs(table)
+        layout = packs.layout()
+        return self._rows(table, packs.places(layout, kind) if layout.packs else [self._place(table)])
+
+    def _rows(self, table: str, places: list[str]) -> DataFrame:
+        """Rows at the places; only a place that is not there is empty."""
         try:
-            return self.spark.read.schema(SCHEMAS[table]).parquet(self._place(table))
+            return self.spark.read.schema(SCHEMAS[table]).parquet(*places)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], SCHEMAS[table])
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def pack(self, table: str) -> None:
+        """Take the small files of a table over into a pack; events keep their history, and a pack of them its part of the state."""
+        events = table == "fact_events"
+        by_event = lambda rows: rows.repartitionByRange("event").sortWithinPartitions("event")
+        laid = by_event if events else lambda rows: rows.hint("rebalance")
+        self._packs(table).pack(lambda places: self._rows(table, places), laid, needed_events if events else None)
+
+    def tidy(self) -> list[str]:
+        """Pack the tables that have ``pack_files`` files or more outside their packs; their names."""
+        full = [t for t in SCHEMAS if len(self._packs(t).layout().tail) >= self.settings.pack_files]
+        for table in full:
+            self.pack(table)
+        return full
+
+    def vacuum(self, hours: float = 7 * 24) -> int:
+        """Delete what packs replaced so long ago; streams and readers older than that fail."""
+        return sum(self._packs(t).vacuum(hours) for t in SCHEMAS)
+
+    def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
+        """``rows`` with the table's columns; those that they lack are null."""
         wanted = self.spark.createDataFrame([], SCHEMAS[table]).schema
         have = set(rows.columns)
-        columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
-        rows.select(*columns).write.mode("append").parquet(self._place(table))
+        return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self._shaped(table, rows).write.mode("append").parquet(self._place(table))
 
     def set_aside(self, table: str) -> str:
         """Move an unreadable table aside, under its name and the time; the next read finds it empty."""
@@ -99,8 +135,11 @@ class Store:
             return self.table(table)
 
     def facts(self, ids: DataFrame | None = None) -> DataFrame:
-        """The current facts of the store's events; with ``ids`` (id) those alone, aggregated from their events alone."""
-        events, turns = self.table("fact_events"), self.table("turn_events")
+        """The current facts of the store's events; with ``ids`` (id) those alone, aggregated from their events alone.
+
+        Of a pack only the events that the state needs are read.
+        """
+        events, turns = self._read("fact_events", "state"), self.table("turn_events")
         if ids is not None:
             events = events.join(ids, "id", "left_semi")
             turns = turns.join(ids.withColumnRenamed("id", "fact_id"), "fact_id", "left_semi")
@@ -168,7 +207,7 @@ class Store:
         """D3: (term, id, weight, last): bonds of facts that are there, from their last reset on."""
         from millrace.operators import grading
 
-        state = self.table("fact_events").groupBy(F.col("id").alias("fact_id")).agg(
+        state = self._read("fact_events", "state").groupBy(F.col("id").alias("fact_id")).agg(
             F.max_by("op", "event").alias("op"), F.max(F.when(F.col("reset"), F.col("created_at"))).alias("reset_at")
         )
         kept = self.table("bond_events").join(state.where("op <> 'forget'"), "fact_id").where("reset_at IS NULL OR ts >= reset_at")
@@ -273,12 +312,37 @@ class Store:
         op = F.when(F.col("op") == "forget", F.lit("remove")).otherwise(F.lit("put"))
         return rows.select("event", op.alias("op"), "id", "category", "fact")
 
-    def mirror(self, put, checkpoint: str):
-        """A stream of new fact events to ``put(batch, batch_id)``; its checkpoint remembers how far it got."""
+    def mirror(self, put, checkpoint: str, name: str | None = None):
+        """A stream of new fact events to ``put(batch, batch_id)``; its checkpoint remembers how far it got.
+
+        A mirror with a name is filled first with the facts that are there, as batch -1.
+        """
         stream = self.spark.readStream.schema(SCHEMAS["fact_events"]).parquet(self._place("fact_events"))
         changed = stream.where("op IN ('insert', 'update', 'forget')")
+        if name is not None:
+            changed = changed.where(F.col("event") > self._fill(put, name))
         return changed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def _fill(self, put, name: str) -> int:
+        """The event that a mirror's filling ends with; events after it are the stream's.
+
+        The number is stored before the filling begins. A filling that died begins again
+        with the state as of that very event, so ``put`` gets the same batch again
+        and what was written meanwhile comes by the stream, once.
+        """
+        known = self.table("mirrors").where(F.col("mirror") == name).agg(F.max("upto").alias("upto"), F.bool_or("filled").alias("filled")).first()
+        upto = known.upto
+        if upto is None:
+            upto = self.table("fact_events").agg(F.max("event")).first()[0]
+            upto = -1 if upto is None else upto
+            self.append("mirrors", self.spark.createDataFrame([(name, upto, False)], SCHEMAS["mirrors"]))
+        if not known.filled:
+            untold = self.spark.createDataFrame([], SCHEMAS["turn_events"])  # tallies are not mirrored
+            then = current_facts(self.table("fact_events").where(F.col("event") <= upto), untold)
+            put(self._shaped("fact_events", then.withColumns({"event": F.lit(upto), "op": F.lit("insert")})), -1)
+            self.append("mirrors", self.spark.createDataFrame([(name, upto, True)], SCHEMAS["mirrors"]))
+        return upto
+
     def dump(self, limit: int = 500) -> DataFrame:
         """The newest facts with the tree that they hang on and what they lack to be found by."""
         shown = self.facts().withColumns({"tree": T.tree_of(F.col("lineage")), "cue_gap": T.cue_gap(F.col("fact"))})
@@ -307,6 +371,25 @@ class Store:
         return facts
 
 
+def needed_events(events: DataFrame) -> DataFrame:
+    """The events that ``current_facts`` takes something from: at most eleven of an id, whatever its history.
+
+    Every value there is that of a first, last or greatest event of some kind, so the
+    needed events of parts, put together, give the state of the whole.
+    """
+    op = F.col("op")
+    kinds = [
+        F.lit(True), op.isin("insert", "update"), op.isin("insert", "update", "trust"), F.col("context").isNotNull(), F.col("cues").isNotNull(),
+        F.coalesce("reset", F.lit(False)), F.col("folder").isNotNull(), F.col("grafted").isNotNull(),
+    ]
+    last = [F.max(F.when(kind, F.col("event"))) for kind in kinds]
+    latest = [F.max_by("event", F.when(kind, F.col("created_at"))) for kind in (op == "trust", F.col("reset"))]
+    first = F.min(F.when(op == "insert", F.col("event")))
+    picks = events.groupBy("id").agg(F.array_distinct(F.array(*last, *latest, first)).alias("picks"))
+    wanted = picks.select("id", F.explode("picks").alias("event")).where("event IS NOT NULL")
+    return events.join(wanted, ["id", "event"], "left_semi").select(*events.columns)
+
+
 def current_facts(events: DataFrame, turns: DataFrame) -> DataFrame:
     """The current facts: the last text of each id, without forgotten ones, with folder, marks and tallies.
 

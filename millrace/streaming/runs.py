@@ -107,6 +107,7 @@ def consolidate_every(store, new_episodes: int, run=None, name: str = "sweep"):
     commit row holds its mark, so a batch that is replayed, or killed anywhere in
     between, gives one sweep. An episode is stored once whatever its id comes with.
     With ``run`` that is called with the store in the sweep's place, before its mark.
+    After a sweep the store's small files are packed.
     """
     from millrace.operators import tasks
 
@@ -123,5 +124,6 @@ def consolidate_every(store, new_episodes: int, run=None, name: str = "sweep"):
         else:
             run(store)
             store.append("sweeps", df.sparkSession.createDataFrame([(newest,)], "mark long"))
+        store.tidy()
 
     return batch
