@@ -34,21 +34,29 @@ def allocate(rows: DataFrame, kind: Column, order: list[Column], top: DataFrame
     numbered from the partitions' counts, so no task numbers a whole kind.
     """
     letter = F.when(kind.isin(*V.HANDLE_KINDS), kind).otherwise(F.lit("R"))
-    sortable = rows.withColumn("_kind", letter)
-    keys = [F.col("_kind"), *order]
-    ranged = sortable.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    ranged = staged(ranged, "handles")  # the boundaries come from a sample
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
-    counts = ranged.groupBy("_kind", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
-    before = Window.partitionBy("_kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_kind", "_part", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    numbered = ranged.join(counts, ["_kind", "_part"])
-    number = F.col("_base") + F.col("_at") - F.col("_from") + 1
+    found = numbered(rows.withColumn("_kind", letter), "_kind", order, "_number")
+    number = F.col("_number")
     if top is not None:
-        numbered = numbered.join(top.withColumnRenamed("kind", "_kind"), "_kind", "left")
+        found = found.join(top.withColumnRenamed("kind", "_kind"), "_kind", "left")
         number = number + F.coalesce("top", F.lit(0))
-        return numbered.withColumn("handle", F.concat("_kind", number.cast("string"))).drop("_kind", "_part", "_at", "_from", "_base", "top")
-    return numbered.withColumn("handle", F.concat("_kind", number.cast("string"))).drop("_kind", "_part", "_at", "_from", "_base")
+    return found.withColumn("handle", F.concat("_kind", number.cast("string"))).drop("_kind", "_number", "top")
+
+
+def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Rows with their number (from 1, without gaps) within ``group`` by ``order``, which is total; null is a group.
+
+    Rows are range-partitioned by group and order and numbered from the partitions'
+    counts, so that no task numbers a whole group.
+    """
+    keys = [F.col(group), *order]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = staged(ranged, "numbers")  # the boundaries come from a sample
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    counts = ranged.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_in")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    before = Window.partitionBy("_group").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_group", "_in", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    found = ranged.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_in")))
+    return found.withColumn(name, F.col("_base") + F.col("_at") - F.col("_from") + 1).drop("_at", "_part", "_group", "_in", "_from", "_base")
 
 
 def put_blobs(results: DataFrame, blobs: DataFrame | None = None, tombs: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,10 @@ has read so far is an aggregate over the log of its calls.
 
 from __future__ import annotations
 
+import time
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,13 +111,66 @@ def grep_report(bodies: DataFrame, pattern: str, max_hits: int = V.GREP_HITS, ma
     """(handle, shown, found, size_cut, hits_cut, text) of every body: matching lines, and each way in which they were cut.
 
     The search stops at ``max_hits``; lines beyond ``max_chars`` are not shown. Both
-    cuts are named if both apply.
+    cuts are named if both apply. A null body has no lines.
     """
     max_hits = max(1, min(max_hits, V.GREP_MAX))
-    lines = F.transform(T.lines_of(F.col("body")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    lines = F.transform(T.lines_of(F.coalesce("body", F.lit(""))), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
     hit = F.filter(lines, lambda x: x["line"].rlike("(?i)" + checked_pattern(pattern)))
     first = F.transform(F.slice(hit, 1, max_hits), lambda x: F.concat(x["n"].cast("string"), F.lit(": "), T.clip(x["line"], V.GREP_CLIP)))
-    rows = bodies.select("handle", first.alias("hits"), F.transform(F.slice(hit, 1, max_hits), lambda x: x["n"]).alias("places"))
+    places = F.transform(F.slice(hit, 1, max_hits), lambda x: x["n"])
+    rows = bodies.select("handle", first.alias("hits"), places.alias("places"), F.lit(None).cast("int").alias("stopped"))
+    return _report(rows, max_hits, max_chars, F.lit("")).drop("stopped")
+
+
+def grep_within(bodies: DataFrame, pattern: str, seconds: float, max_hits: int = V.GREP_HITS, max_chars: int = V.READ_CHARS) -> DataFrame:
+    """``grep_report`` with a limit of time for each body, and ``stopped``: the last line that was searched, if not all were.
+
+    What was found until then is shown and the cut is named beside the others. The
+    search runs in Arrow batches, as Java's cannot be interrupted within a line; the
+    pattern has to be one for both languages, and classes and cases are ASCII.
+    """
+    max_hits = max(1, min(max_hits, V.GREP_MAX))
+    searched = bodies.select("handle", T.lines_of(F.coalesce("body", F.lit(""))).alias("lines"))
+    searched = searched.withColumn("found", _timed_search(checked_pattern(pattern), seconds, max_hits)("lines"))
+    hits = F.transform("found.places", lambda p: F.concat(p.cast("string"), F.lit(": "), T.clip(F.get("lines", p - 1), V.GREP_CLIP)))
+    rows = searched.select("handle", hits.alias("hits"), F.col("found.places").alias("places"), F.col("found.stopped").alias("stopped"))
+    late = F.concat(F.lit(f"out of time ({seconds:g} s) after line "), F.col("stopped").cast("string"), F.lit(", the rest is not searched"))
+    return _report(rows, max_hits, max_chars, late)
+
+
+def _timed_search(pattern: str, seconds: float, max_hits: int):
+    """A pandas UDF: of an array of lines the numbers of the first that match, and the last line searched if time ran out (else null)."""
+    try:
+        regex.compile(pattern, regex.IGNORECASE | regex.ASCII)
+    except regex.error as wrong:
+        raise ValueError(f"no regular expression: {pattern!r} ({wrong})") from wrong
+
+    def search(lines) -> tuple[list[int], int | None]:
+        matcher, end, places = regex.compile(pattern, regex.IGNORECASE | regex.ASCII), time.monotonic() + seconds, []
+        for n, line in enumerate(lines if lines is not None else (), 1):
+            left = end - time.monotonic()
+            try:
+                found = left > 0 and line is not None and matcher.search(line, timeout=left)
+            except TimeoutError:
+                left = 0
+            if left <= 0:
+                return places, n - 1
+            if found:
+                places.append(n)
+                if len(places) == max_hits:
+                    break
+        return places, None
+
+    def batch(lines: pd.Series) -> pd.DataFrame:
+        done = [search(x) for x in lines]
+        return pd.DataFrame({"places": [p for p, _ in done], "stopped": pd.array([s for _, s in done], dtype="Int32")})
+
+    return F.pandas_udf(batch, "places array<int>, stopped int").asNondeterministic()
+
+
+def _report(rows: DataFrame, max_hits: int, max_chars: int, late: Column) -> DataFrame:
+    """The report of each body of (handle, hits, places, stopped); ``late`` says why a search stopped, where ``stopped`` is not null."""
+
     begin = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("on"))
 
     def step(a: Column, line: Column) -> Column:
@@ -127,12 +184,13 @@ def grep_report(bodies: DataFrame, pattern: str, max_hits: int = V.GREP_HITS, ma
     reasons = F.array_compact(
         F.array(
             F.when(size_cut, F.concat((found - F.col("shown")).cast("string"), F.lit(" more did not fit"))),
-            F.when(hits_cut, F.concat(F.lit("stopped at line "), F.element_at("places", -1).cast("string"), F.lit(" after max_hits"))),
+            F.when(hits_cut, F.concat(F.lit("stopped at line "), F.try_element_at("places", F.lit(-1)).cast("string"), F.lit(" after max_hits"))),
+            F.when(F.col("stopped").isNotNull(), late),
         )
     )
     note = F.when(F.size(reasons) > 0, F.concat(F.lit(" ("), F.array_join(reasons, "; "), F.lit(")"))).otherwise(F.lit(""))
     head = F.concat(F.col("handle").cast("string"), F.lit(": "), F.col("shown").cast("string"), F.lit(" matching lines"), note)
-    text = F.when(found == 0, F.concat(F.col("handle").cast("string"), F.lit(": no line matches"))).otherwise(
+    text = F.when(found == 0, F.concat(F.col("handle").cast("string"), F.lit(": no line matches"), note)).otherwise(
         F.concat(head, F.lit("\n"), F.array_join(F.slice("hits", F.lit(1), F.col("shown")), "\n"))
     )
-    return rows.select("handle", "shown", found.alias("found"), size_cut.alias("size_cut"), hits_cut.alias("hits_cut"), text.alias("text"))
+    return rows.select("handle", "shown", found.alias("found"), size_cut.alias("size_cut"), hits_cut.alias("hits_cut"), "stopped", text.alias("text"))

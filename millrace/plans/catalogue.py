@@ -1090,7 +1090,33 @@ def redact_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *guard.redact_counts(F.col("text")))
 
 
-@query()
+# DuckDB's \\b knows ASCII only: letters get an ASCII mark on both sides while cards are looked for
+_LETTERS_MARKED = r"regexp_replace({}, '(\p{{L}}+)', '_qx_\1_qx_', 'g')"
+_REDACTED = (
+    "WITH t AS (SELECT doc_id // 16 AS scope, doc_id AS seq, text FROM documents), "
+    f"a AS (SELECT *, regexp_extract_all(text, '{V.EMAIL}') AS e, string_split_regex(text, '{V.EMAIL}') AS g FROM t), "
+    f"b AS (SELECT *, flatten(list_transform(g, lambda x: regexp_extract_all(x, '{V.KEY}'))) AS k, list_transform(flatten(list_transform(g, lambda x: string_split_regex(x, '{V.KEY}'))), lambda x: {_LETTERS_MARKED.format('x')}) AS h FROM a), "
+    f"c AS (SELECT *, flatten(list_transform(h, lambda x: regexp_extract_all(x, '{V.CARD}'))) AS n FROM b), "
+    "l AS (SELECT scope, seq, list_concat(list_transform(e, lambda x: {'letter': 'E', 'raw': x}), list_transform(k, lambda x: {'letter': 'K', 'raw': x}), list_transform(n, lambda x: {'letter': 'N', 'raw': x})) AS found FROM c), "
+    "v AS (SELECT scope, seq, unnest(found) AS v, generate_subscripts(found, 1) AS pos FROM l), "
+    "f AS (SELECT scope, v.raw AS raw, min({'seq': seq, 'pos': pos}) AS first, arg_min(v.letter, {'seq': seq, 'pos': pos}) AS letter FROM v GROUP BY ALL), "
+    "y AS (SELECT scope, raw, '«' || letter || row_number() OVER (PARTITION BY scope ORDER BY first) || '»' AS token FROM f), "
+    "m AS (SELECT seq, map(list(raw ORDER BY raw), list(token ORDER BY raw)) AS book FROM (SELECT DISTINCT scope, seq, v.raw AS raw FROM v) JOIN y USING (scope, raw) GROUP BY 1), "
+    "p AS (SELECT l.scope, seq, len(found) AS hits, text, book FROM l JOIN t USING (seq) LEFT JOIN m USING (seq)) "
+)
+
+
+def _tokens_in(text: str, patterns: tuple[str, ...], depth: int = 0) -> str:
+    """SQL for a text with its values replaced by those of the map ``book``."""
+    if not patterns:
+        return text
+    last = len(patterns) == 2
+    inner = _tokens_in(_LETTERS_MARKED.format(f"g{depth}") if last else f"g{depth}", patterns[1:], depth + 1)
+    raw = f"regexp_extract_all({text}, '{patterns[0]}')[i{depth}]"
+    return f"array_to_string(list_transform(string_split_regex({text}, '{patterns[0]}'), lambda g{depth}, i{depth}: {inner} || coalesce(book[{raw}], '')), '')"
+
+
+@query(_REDACTED + f"SELECT scope, seq, hits::INTEGER AS hits, md5(CASE WHEN hits = 0 THEN text ELSE replace({_tokens_in('text', (V.EMAIL, V.KEY, V.CARD))}, '_qx_', '') END) AS digest FROM p")
 def redact_pii(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select(F.expr("doc_id div 16").alias("scope"), F.col("doc_id").alias("seq"), "text")
     return guard.redact(texts).select("scope", "seq", "hits", F.md5("text").alias("digest"))

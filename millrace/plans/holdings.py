@@ -12,6 +12,7 @@ from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.operators import fold, grading, guard, ledger, readback
 from millrace.plans.catalogue import (
+    ORACLES,
     _CLIP, _ENTITIES, _LINES, _MESSAGES, _PUTS, _STATS, _bare, _list, _logs, _messages, _sightings, _stats_requests, _tok, bodies,
     csv_bodies, query, table, turn_events,
 )
@@ -89,6 +90,12 @@ def grep_report(spark, sf_dir):
     return readback.grep_report(bodies(spark, sf_dir), "e", 5, 900).drop("text")
 
 
+@query(ORACLES["grep_report"].replace("SELECT d.doc_id AS handle", "SELECT d.doc_id AS handle, NULL::INTEGER AS stopped"))
+def grep_within(spark, sf_dir):
+    """the report of a search with a limit of time, long enough here that every body is searched."""
+    return readback.grep_within(bodies(spark, sf_dir), "e", 600, 5, 900).drop("text")
+
+
 _CALLS = "SELECT user_id AS conv_id, event_type AS handle, event_id AS pos, event_id % 5 = 0 AS gone, event_id % 200 AS last_line FROM events"
 
 

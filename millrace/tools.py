@@ -370,7 +370,7 @@ def builtin_tools(store: Store, session: Session | None = None) -> Registry:
     def fold_grep(handle: str, pattern: str, max_hits: int = 40) -> str:
         checked_pattern(pattern)
         body = held(handle)
-        return within(spark, settings.read_seconds, lambda: readback.grep_report(body, pattern, max_hits).first()["text"])
+        return readback.grep_within(body, pattern, settings.read_seconds, max_hits).first()["text"]
 
     @registry.tool("fold_stats", "One aggregate over a column of a held table, or a count of lines.")
     def fold_stats(handle: str, column: str = "", op: str = "count", where: str | None = None) -> str:
