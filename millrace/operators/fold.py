@@ -6,6 +6,8 @@ number of bodies and requests.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,21 +242,25 @@ def foldable(tool: Column, body: Column, threshold: int) -> Column:
     return (F.length(body) >= threshold) & ~tool.isin("fold_peek", "fold_grep", "fold_stats") & ~refused
 
 
-def fold(results: DataFrame, threshold: int = 2000) -> DataFrame:
+def fold(results: DataFrame, threshold: int = 2000, cost: Callable[[Column], Column] = F.length) -> DataFrame:
     """(seq, text, removed, fingerprint, folded) of tool results (seq, tool, body).
 
     A foldable body becomes a digest, unless that is not shorter; the decision is
     made before anything is stored. The digest holds the body's shape, the
     ``summary`` (where results have that column), then a sample of a uniform JSON
     table, or the columns of delimited text, the rare lines between the ends, head
-    and tail. ``seq`` is unique.
+    and tail. ``cost`` weighs the formats of the sample. ``seq`` is unique.
     """
     if "summary" not in results.columns:
         results = results.withColumn("summary", F.lit(None).cast("string"))
     bodies = results.where(foldable(F.col("tool"), F.col("body"), threshold)).select(F.col("seq").alias("handle"), "body")
     columns = sniff(bodies).select(F.col("handle").alias("seq"), F.col("delimiter").alias("_delimiter"), F.col("columns").alias("_columns"))
     marks = outlier_notes(bodies).select(F.col("handle").alias("seq"), F.col("notes").alias("_notes"))
-    joined = results.join(columns, "seq", "left").join(marks, "seq", "left")
+    # the texts are columns of their own before they are counted, so each is made once
+    texts = bodies.select(F.col("handle").alias("seq"), _table_texts(F.col("body")).alias("_texts")).where(F.col("_texts").isNotNull())
+    best = _cheapest(_priced([F.get("_texts", F.lit(k)) for k in range(5)], cost))
+    texts = texts.select("seq", best.alias("_best"))
+    joined = results.join(columns, "seq", "left").join(marks, "seq", "left").join(texts, "seq", "left")
     body, tool = F.col("body"), F.col("tool")
     lines = T.lines_of(body)
     clipped = F.transform(lines, lambda x: T.clip(x))
@@ -263,7 +269,7 @@ def fold(results: DataFrame, threshold: int = 2000) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in DELIMITER_NAMES.items() for x in pair]), F.col("_delimiter"))
     named = F.concat(F.lit("columns ("), kind, F.lit("-separated): "), F.array_join("_columns", ", "))
     shown = F.concat(F.when(named.isNotNull(), F.array(named)).otherwise(none), F.coalesce("_notes", none), ends)
-    shown = F.when(uniform(body), table_sample(body)).otherwise(shown)
+    shown = F.when(F.col("_best").isNotNull(), _table_lines(body, F.col("_best"))).otherwise(shown)
     summary = F.when(F.col("summary") != "", F.array(F.concat(F.lit("summary: "), "summary"))).otherwise(none)
     header = F.concat(F.lit("["), tool, F.lit(": "), F.size(lines).cast("string"), F.lit(" lines, "), F.length(body).cast("string"), F.lit(" chars]"))
     digest = F.array_join(F.concat(F.array(header), summary, F.when(F.size(lines) > 0, shown).otherwise(none)), "\n")
@@ -280,7 +286,7 @@ def fold(results: DataFrame, threshold: int = 2000) -> DataFrame:
 
 
 def fold_and_hold(
-    results: DataFrame, blobs: DataFrame | None = None, tombs: DataFrame | None = None, threshold: int = 2000
+    results: DataFrame, blobs: DataFrame | None = None, tombs: DataFrame | None = None, threshold: int = 2000, cost: Callable[[Column], Column] = F.length
 ) -> DataFrame:
     """(seq, text, removed, handle, body): folded results with the handle that their bodies are held under.
 
@@ -290,7 +296,7 @@ def fold_and_hold(
     """
     from millrace.operators import ledger
 
-    done = staged(fold(results, threshold), "folded")
+    done = staged(fold(results, threshold, cost), "folded")
     held = results.join(done.where("folded").select("seq"), "seq", "left_semi").select("seq", "tool", "body")
     handles = ledger.put_blobs(held, blobs, tombs).select("seq", "handle")
     marked = done.join(handles, "seq", "left").join(held.select("seq", "body"), "seq", "left")
@@ -331,8 +337,8 @@ def _repr(text: Column) -> Column:
     return F.when(~text.rlike(r"[\p{C}\p{Zl}\p{Zp}\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"), quoted)
 
 
-def table_sample(body: Column, most: int = 8) -> Column:
-    """the lines that stand for a uniform JSON body: its size and columns, and its first rows in the cheapest format."""
+def _table_texts(body: Column, most: int = 8) -> Column:
+    """the first rows of a uniform JSON body in every format, as in ``_texts``; null for other bodies."""
     maps, raw = F.from_json(body, "array<map<string,string>>"), F.from_json(body, "array<string>")
     typed = F.from_json(body, "array<map<string,variant>>")
     names = F.map_keys(F.get(maps, F.lit(0)))
@@ -351,16 +357,23 @@ def table_sample(body: Column, most: int = 8) -> Column:
     cells_of = F.transform(first, lambda r: F.transform(names, lambda n: F.coalesce(F.element_at(r, n), F.lit(""))))
     literals = F.transform(F.slice(typed, 1, most), lambda r: F.transform(names, lambda n: literal(r, n)))
     json = F.concat(F.lit("["), F.array_join(F.slice(raw, 1, most), ","), F.lit("]"))
+    return F.when(uniform(body), F.array(*_texts(names, cells_of, literals, json)))
+
+
+def _table_lines(body: Column, best: Column, most: int = 8) -> Column:
+    """the lines that stand for a uniform JSON body: its size and columns, and its first rows in the chosen format."""
+    maps = F.from_json(body, "array<map<string,string>>")
+    names = F.map_keys(F.get(maps, F.lit(0)))
     title = F.concat(F.lit("table: "), F.size(maps).cast("string"), F.lit(" rows x "), F.size(names).cast("string"), F.lit(" cols ["), F.array_join(names, ", "), F.lit("]"))
-    return T.let(_cheapest(_formats(names, cells_of, literals, json)), lambda c: F.array(title, F.concat(F.lit("first "), F.size(first).cast("string"), F.lit(" rows ("), c["format"], F.lit("):")), c["text"]))
+    return F.array(title, F.concat(F.lit("first "), F.least(F.size(maps), F.lit(most)).cast("string"), F.lit(" rows ("), best["format"], F.lit("):")), best["text"])
 
 
-def _formats(names: Column, rows: Column, literals: Column, json: Column) -> Column:
-    """The texts of a table in the formats that carry it unaltered, as an array of (cost, order, format, text).
+def _texts(names: Column, rows: Column, literals: Column, json: Column) -> list[Column]:
+    """The texts of a table in five formats, each (k, format, text, ok); ``ok``: it carries the table unaltered.
 
     ``rows`` are arrays of cells as text, ``literals`` the same as Python literals
     (null where there is none), ``json`` the compact JSON. A format with a
-    separator or a line break in a cell is left out, never rewritten.
+    separator or a line break in a cell is not ok, never rewritten.
     """
 
     def joined(separator: str) -> Column:
@@ -379,11 +392,18 @@ def _formats(names: Column, rows: Column, literals: Column, json: Column) -> Col
     literal = F.concat(F.lit("cols=["), F.array_join(title, ", "), F.lit("]\nrows=["), tuples, F.lit("]"))
     whole = F.forall(literals, lambda r: ~F.exists(r, lambda x: x.isNull())) & ~F.exists(title, lambda x: x.isNull())
     made = [("json", json, F.lit(True)), ("tabular", joined(" | "), carries("|")), ("tsv", joined("\t"), carries("\\t")), ("csv", csv, carries("")), ("python", literal, whole)]
-    every = F.array(*[F.struct(F.length(t).alias("cost"), F.lit(k).alias("k"), F.lit(n).alias("format"), t.alias("text"), ok.alias("ok")) for k, (n, t, ok) in enumerate(made)])
+    return [F.struct(F.lit(k).alias("k"), F.lit(n).alias("format"), t.alias("text"), ok.alias("ok")) for k, (n, t, ok) in enumerate(made)]
+
+
+def _priced(texts: list[Column], cost: Callable[[Column], Column]) -> Column:
+    """The texts that carry their table, as an array of (cost, k, format, text, ok)."""
+    every = F.array(*[F.struct(cost(t["text"]).cast("int").alias("cost"), *[t[n].alias(n) for n in ("k", "format", "text", "ok")]) for t in texts])
     return F.filter(every, lambda e: e["ok"])
 
 
 def _cheapest(every: Column) -> Column:
+    """The least of priced texts, or the JSON one where it saves too little."""
+
     def chosen(e: Column) -> Column:
         json = F.get(F.filter(e, lambda x: x["format"] == "json"), F.lit(0))
         best = F.array_min(e)
@@ -392,11 +412,12 @@ def _cheapest(every: Column) -> Column:
     return T.let(every, chosen)
 
 
-def encodings(rows: Column, names: list[str]) -> Column:
-    """The texts of an array of structs in five formats, as in ``_formats``.
+def encodings(rows: Column, names: list[str], cost: Callable[[Column], Column] = F.length) -> Column:
+    """The texts of an array of structs in five formats, as in ``_texts``.
 
     Strings, booleans and whole numbers have Python literals; other types leave
-    that format out. The cost is the length in characters.
+    that format out. The cost is the length in characters, unless a counter is given
+    (``functions.counters``).
     """
 
     def literal(r: Column, n: str) -> Column:
@@ -411,12 +432,12 @@ def encodings(rows: Column, names: list[str]) -> Column:
     columns = F.array(*[F.lit(n) for n in names])
     cells_of = F.transform(rows, lambda r: F.array(*[F.coalesce(r[n].cast("string"), F.lit("")) for n in names]))
     literals = F.transform(rows, lambda r: F.array(*[literal(r, n) for n in names]))
-    return _formats(columns, cells_of, literals, F.to_json(rows, {"ignoreNullFields": "false"}))
+    return _priced(_texts(columns, cells_of, literals, F.to_json(rows, {"ignoreNullFields": "false"})), cost)
 
 
-def choose_format(rows: Column, names: list[str]) -> Column:
+def choose_format(rows: Column, names: list[str], cost: Callable[[Column], Column] = F.length) -> Column:
     """the cheapest format's (cost, k, format, text), or compact JSON where it saves less than 8 percent."""
-    return _cheapest(encodings(rows, names))
+    return _cheapest(encodings(rows, names, cost))
 
 
 def parse_rows(bodies: DataFrame) -> DataFrame:

@@ -76,15 +76,22 @@ class Registry:
         return [t for t in self.tools.values() if read_only is None or t.read_only == read_only]
 
     def dispatch(self, name: str, arguments: dict[str, Any]) -> str:
-        """Hook, lookup, guard, confirmation, argument check and call, in this order."""
+        """Hook, lookup, guard, confirmation, argument check and call, in this order.
+
+        Arguments whose names begin with ``_`` are marks of a parser and reach
+        neither hooks that decide nor the tool.
+        """
         if self.on_dispatch:
             try:
                 self.on_dispatch(name, arguments)
             except Exception:
                 pass  # it only watches
         tool = self.tools.get(name)
-        if tool is None or not self._is_enabled(name):
+        if tool is None:
             return f"ERROR: no tool {name!r}; there are {', '.join(self.names())}"
+        if not self._is_enabled(name):
+            return f"ERROR: {name} is off here" + ("; go on without it" if tool.internal else "; only the user can turn it on, so ask them to")
+        arguments = {k: v for k, v in arguments.items() if not k.startswith("_")}
         try:
             refusal = self.guard(tool, arguments) if self.guard else None
         except Exception as broken:
