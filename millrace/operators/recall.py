@@ -14,6 +14,9 @@ from millrace.functions import text as T
 from millrace.functions import vocab as V
 
 
+_FEW = 20_000  # tokens of queries that are sent to all tasks
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
     """(query_id, token): the distinct scoring tokens of each query."""
     return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token"))
@@ -32,7 +35,10 @@ def top(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame
 
 def overlaps(queries: DataFrame, facts: DataFrame, column: str = "fact", name: str = "overlap") -> DataFrame:
     """(query_id, id, name): how many tokens a query shares with each fact, where it shares any."""
-    hits = fact_tokens(facts, column).join(query_tokens(queries), "token")
+    asked = query_tokens(queries)
+    # files of short facts are small and have many rows, so the size of a file must not decide what is sent to the driver
+    few = asked.limit(_FEW + 1).count() <= _FEW
+    hits = fact_tokens(facts, column).join(F.broadcast(asked) if few else asked.hint("merge"), "token")
     return hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias(name))
 
 
@@ -62,7 +68,7 @@ def keyword_rank(queries: DataFrame, facts: DataFrame, limit: int, as_of: Column
         columns += ["uses", "wins", "last_used"]
         bonus = bonus + T.familiarity(F.col("uses"), F.col("wins"), F.col("last_used"), as_of)
     if len(columns) > 1:
-        hits = hits.join(facts.select(*columns), "id")
+        hits = hits.join(facts.select(*columns).hint("merge"), "id")
     hits = hits.select("query_id", "id", "overlap", "cue", F.round(bonus, 9).alias("bonus"))
     best = top(hits, "query_id", [F.desc("overlap"), F.desc("cue"), F.desc("bonus"), F.desc("id")], limit)
     bare = queries.where(F.size(T.tokens(F.col("text"))) == 0).select("query_id")
@@ -131,8 +137,8 @@ def pellets(queries: DataFrame, facts: DataFrame, routed: bool = True) -> DataFr
         .select("query_id", F.col("token").alias("term"), F.lit(V.PELLETS["stem"]).alias("weight"))
     )
     words = asked.select("word").distinct()
-    holding = index.join(words, index["token"] == words["word"]).select("id", "word")
-    counted = holding.join(index, "id").where("word <> token").groupBy("word", "token").agg(F.count(F.lit(1)).alias("n"))
+    holding = index.hint("merge").join(words, index["token"] == words["word"]).select("id", "word")
+    counted = holding.join(index.hint("merge"), "id").where("word <> token").groupBy("word", "token").agg(F.count(F.lit(1)).alias("n"))
     near = top(counted, "word", [F.desc("n"), F.asc("token")], V.NEIGHBOURS).where(F.col("n") >= V.MIN_COOCCURRENCE)
     near = asked.join(near, "word").select(
         "query_id", F.col("token").alias("term"), F.lit(V.PELLETS["neighbour"]).alias("weight")
@@ -179,7 +185,7 @@ def scatter(
     older scoring) adds a share of the id to the score.
     """
     have = set(facts.columns)
-    hits = fact_tokens(facts).withColumnRenamed("token", "term").join(pellets(queries, facts, "folder" in have), "term")
+    hits = fact_tokens(facts).withColumnRenamed("token", "term").hint("merge").join(pellets(queries, facts, "folder" in have), "term")
     score = hits.groupBy("query_id", "id").agg(F.sum("weight").alias("hit"))
     if bonds is not None:
         tied = bond_hits(queries, bonds).withColumn("bond", F.least("bond", F.lit(V.BOND_MAX)) * V.PELLETS["bond"])
@@ -189,10 +195,10 @@ def scatter(
     order = F.col("hit")
     if "folder" in have:
         routed = queries.select("query_id", T.route_sectors(F.col("text")).alias("routed"))
-        score = score.join(routed, "query_id").join(facts.select("id", "folder"), "id")
+        score = score.join(routed, "query_id").join(facts.select("id", "folder").hint("merge"), "id")
         order = order + F.when(F.array_contains("routed", T.sector_of(F.col("folder"))), V.PELLETS["sector"]).otherwise(0.0)
     if {"uses", "wins", "last_used"} <= have and as_of is not None:
-        score = score.join(facts.select("id", "uses", "wins", "last_used"), "id")
+        score = score.join(facts.select("id", "uses", "wins", "last_used").hint("merge"), "id")
         order = order + T.familiarity(F.col("uses"), F.col("wins"), F.col("last_used"), as_of) * V.PELLETS["sector"]
     score = score.select("query_id", "id", F.round(order + F.col("id") * id_term, 9).alias("score"))
     best = F.max("score").over(Window.partitionBy("query_id"))
