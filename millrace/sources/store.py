@@ -9,12 +9,17 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.functions import text as T
 from millrace.functions import vocab as V
+from millrace.functions.nearest import Asked
 from millrace.sources.index import TokenIndex
 from millrace.sources.packs import Packs
 from millrace.sources.staging import staged
@@ -438,23 +443,36 @@ def cosine_backend(stored: DataFrame, asked: DataFrame, limit: int = 24, block_b
 
     The asked ones are the stated query set. They are counted and dealt into
     blocks of at most ``block_bytes``, each of which is sent to the stored ones;
-    a task keeps its best of each query before anything is shuffled.
+    every pair is compared, by products of matrices, and what these leave is
+    summed and rounded as in SQL. A task keeps its best of each query, so
+    what is shuffled is ``limit`` rows of each query and task. Pairs without a
+    similarity (null, sizes that differ) come last, NaN first.
     """
-
-    def unit(v):
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(v, lambda x: x / norm)
-
-    left = asked.select("query_id", unit(F.col("v").cast("array<double>")).alias("q"))
-    right = stored.select(F.col("id").alias("mem_id"), unit(F.col("v").cast("array<double>")).alias("v"))
-    size = left.select(F.sum(F.size("q") * 8 + 32)).first()[0] or 0
+    spark = stored.sparkSession
+    size = asked.select(F.sum(F.coalesce(F.size("v"), F.lit(0)) * 8 + 32)).first()[0] or 0
     blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)  # a hash deals unevenly
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    left = asked.select("query_id", F.col("v").cast("array<double>").alias("v"))
+    right = stored.select("id", F.col("v").cast("array<double>").alias("v"))
+    schema = StructType([StructField("query_id", left.schema["query_id"].dataType), StructField("mem_id", right.schema["id"].dataType), StructField("sim", DoubleType())])
+    out = to_arrow_schema(schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("mem_id"))
     every = None
     for k in range(blocks):
-        block = left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        scored = right.crossJoin(F.broadcast(block)).select("query_id", "mem_id", F.round(dot, 6).alias("sim"))
+        block = left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow().combine_chunks()
+        if not block.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(Asked(block["query_id"].combine_chunks(), block["v"].combine_chunks(), limit))
+
+        def nearest(batches, sent=sent):
+            wanted = sent.value
+            wanted.start()
+            for b in batches:
+                wanted.see(np.array(b.column(0).to_pylist(), object) if pa.types.is_string(b.column(0).type) else b.column(0).to_numpy(zero_copy_only=False), b.column(1))
+            yield wanted.found(out)
+
+        scored = right.mapInArrow(nearest, schema)
         best = scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
         every = best if every is None else every.unionByName(best)
+    if every is None:
+        every = spark.createDataFrame([], schema).withColumn("pos", F.lit(1))
     return every.select("query_id", "pos", "mem_id", "sim")
