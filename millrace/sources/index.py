@@ -4,9 +4,9 @@ A segment holds what one batch of fact events changed: postings (token, id), the
 forward list (id, tokens) and the change of each token's document frequency. A
 segment counts once its commit row is there, so a crash leaves nothing but
 unread files, and the next update writes the same number again. Postings are
-partitioned by rarity (``tier``, powers of four of the segment's frequency) and by
-hash of the token, so a reader opens the files of its own tokens only, and a
-top-k that can do without frequent tokens never opens theirs.
+partitioned by rarity (``tier``, powers of four of the segment's frequency; those
+of under 1,024 facts are one) and by hash of the token, so a reader opens the files
+of its own tokens only, and a top-k that can do without frequent tokens never opens theirs.
 
 Top-k: a fact that shares t of a query's m tokens has one of its m - t + 1 rarest.
 Counts over the rarest half give a lower bound t of the k-th best overlap; the
@@ -27,8 +27,11 @@ from millrace.sources.staging import staged
 _KINDS = {
     "postings": "token string, id long, event long, live boolean, seg int, tier int, bucket int",
     "forward": "id long, event long, tokens array<string>, seg int, bucket int",
-    "frequency": "token string, df long, tier int, seg int, bucket int",
+    "frequency": "token string, df long, n long, tier int, seg int, bucket int",
 }
+_RARE = 4  # the least tier; so few tokens have another that every task can have them
+_FILE_ROWS = {"postings": 1_000_000, "forward": 50_000}
+_READ_ROWS = 500_000  # postings that one task puts together
 _COMMITS = "seg int, upto long, base boolean, buckets int"
 
 
@@ -61,19 +64,31 @@ class TokenIndex:
         buckets = commits[-1].buckets if commits else self.buckets
         return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
-    def _write(self, kind: str, seg: int, rows: DataFrame, by: list[str], order: list[str]) -> None:
-        """Sorted over all tasks, so that a frequent token or a full bucket is split; overwrites what a crash left."""
-        laid = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    def _tasks(self, rows: int, most: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+    def _write(self, kind: str, seg: int, rows: DataFrame, by: list[str], order: list[str], parts: Column | int = 1, total: int = 0) -> None:
+        """``parts`` files for each folder, dealt by hash and sorted, so that a frequent token or full bucket is split; overwrites what a crash left."""
+        salted = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts) if isinstance(parts, int) else parts))
+        laid = salted.repartition(self._tasks(total, _FILE_ROWS.get(kind, 1_000_000)), *by, "_part").sortWithinPartitions(*by, *order).drop("_part")
         laid.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{self.path}/{kind}/seg={seg}")
 
-    def _commit(self, seg: int, postings: DataFrame, forward: DataFrame, frequency: DataFrame, upto: int, base: bool, buckets: int) -> None:
-        frequency = frequency.withColumn("tier", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) / 2).cast("int"))
-        frequency = staged(frequency.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")), "index-frequency")
-        tiers = frequency.select("token", "tier", "bucket")
-        self._write("postings", seg, postings.join(tiers, "token"), ["tier", "bucket"], ["token", "id"])
-        self._write("frequency", seg, frequency.drop("n"), ["bucket"], ["token"])
+    def _commit(self, seg: int, postings: DataFrame, forward: DataFrame, frequency: DataFrame, upto: int, base: bool, buckets: int, facts: int) -> None:
+        tier = F.greatest(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) / 2).cast("int"), F.lit(_RARE))
+        frequency = frequency.withColumn("tier", tier).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+        frequency = staged(frequency, "index-frequency")
+        sizes = frequency.groupBy("tier", "bucket").agg(F.sum("n").alias("n")).groupBy("tier").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+        parts = F.lit(1)
+        for r in sizes:  # a row for each tier
+            parts = F.when(F.col("tier") == r.tier, max(1, -(-r.most // _FILE_ROWS["postings"]))).otherwise(parts)
+        often = frequency.where(F.col("tier") > _RARE).select("token", "tier")
+        placed = postings.join(F.broadcast(often), "token", "left").withColumns(
+            {"tier": F.coalesce("tier", F.lit(_RARE)), "bucket": F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")}
+        )
+        self._write("postings", seg, placed, ["tier", "bucket"], ["token", "id"], parts, sum(r.n for r in sizes))
+        self._write("frequency", seg, frequency, ["bucket"], ["token"])
         owned = forward.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-        self._write("forward", seg, owned, ["bucket"], ["id"])
+        self._write("forward", seg, owned, ["bucket"], ["id"], max(1, -(-facts // (buckets * _FILE_ROWS["forward"]))), facts)
         row = self.spark.createDataFrame([(seg, upto, base, buckets)], _COMMITS).coalesce(1)
         row.write.mode("append").parquet(f"{self.path}/commits")
 
@@ -87,23 +102,33 @@ class TokenIndex:
         commits = self.commits()
         upto = commits[-1].upto if commits else -1
         fresh = events.where((F.col("event") > upto) & F.col("op").isin("insert", "update", "forget"))
-        batch = fresh.groupBy("id").agg(F.max("event").alias("event"), F.max_by(F.struct("op", "fact"), "event").alias("e"))
+        if fresh.groupBy("id").count().where("count > 1").isEmpty():  # no text need be moved to find the last one
+            batch = fresh.select("id", "event", F.struct("op", "fact").alias("e"))
+        else:
+            batch = fresh.groupBy("id").agg(F.max("event").alias("event"), F.max_by(F.struct("op", "fact"), "event").alias("e"))
         tokens = F.when(F.col("e.op") == "forget", F.array().cast("array<string>")).otherwise(T.tokens(F.col("e.fact")))
         batch = staged(batch.select("id", "event", tokens.alias("tokens")), "index-batch")
         touched, newest = batch.agg(F.count(F.lit(1)), F.max("event")).first()
         if not touched:
             return 0
         buckets = commits[-1].buckets if commits else self.buckets
-        before = self.tokens_of(batch.select("id"), commits).select("id", F.col("tokens").alias("old"))
-        both = batch.join(before, "id", "left").withColumn("old", F.coalesce("old", F.array().cast("array<string>")))
-        both = staged(both, "index-change")
-        gone = both.select(F.explode(F.array_except("old", "tokens")).alias("token"), "id", "event", F.lit(False).alias("live"))
-        new = both.select(F.explode(F.array_except("tokens", "old")).alias("token"), "id", "event", F.lit(True).alias("live"))
-        postings = gone.unionByName(new)
+        none = F.array().cast("array<string>")
+        if commits:
+            before = self.tokens_of(batch.select("id"), commits).select("id", F.col("tokens").alias("old"))
+            old = F.coalesce("old", none)
+            changed = batch.join(before, "id", "left").select(
+                "id", "event", "tokens", F.array_except(old, "tokens").alias("gone"), F.array_except("tokens", old).alias("new")
+            )
+            both = staged(changed, "index-change")
+            gone = both.select(F.explode("gone").alias("token"), "id", "event", F.lit(False).alias("live"))
+            postings = gone.unionByName(both.select(F.explode("new").alias("token"), "id", "event", F.lit(True).alias("live")))
+        else:
+            both = batch
+            postings = both.select(F.explode("tokens").alias("token"), "id", "event", F.lit(True).alias("live"))
         change = F.sum(F.when(F.col("live"), 1).otherwise(-1)).cast("long")
         frequency = postings.groupBy("token").agg(change.alias("df"), F.count(F.lit(1)).alias("n"))
         seg = commits[-1].seg + 1 if commits else 0
-        self._commit(seg, postings, both.select("id", "event", "tokens"), frequency, newest, False, buckets)
+        self._commit(seg, postings, both.select("id", "event", "tokens"), frequency, newest, False, buckets, touched)
         if len(commits) + 1 > self.max_segments:
             self.compact()
         return touched
@@ -113,10 +138,10 @@ class TokenIndex:
         commits = self.commits()
         if len(commits) < 2:
             return
-        forward = self._current(self._read("forward", commits), commits).where(F.size("tokens") > 0)
+        forward = staged(self._current(self._read("forward", commits), commits).where(F.size("tokens") > 0), "index-merged")
         postings = forward.select(F.explode("tokens").alias("token"), "id", "event", F.lit(True).alias("live"))
         frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.count(F.lit(1)).alias("n"))
-        self._commit(commits[-1].seg + 1, postings, forward, frequency, commits[-1].upto, True, self.buckets)
+        self._commit(commits[-1].seg + 1, postings, forward, frequency, commits[-1].upto, True, self.buckets, forward.count())
 
     # ------------------------------------------------------------ reading
 
@@ -149,13 +174,17 @@ class TokenIndex:
         tokens = tokens.select("token").distinct()
         known = self._in_buckets(self._read("frequency", commits), tokens, "token", commits).join(tokens, "token", "left_semi")
         place = F.col("tier") * 1_000_000 + F.col("bucket")
-        wanted = [r[0] for r in known.select(place).distinct().collect()]  # tiers times buckets at most
+        n = F.sum(F.coalesce("n", F.abs("df"))).alias("n")
+        found = known.groupBy(place.alias("place")).agg(n).collect()  # tiers times buckets at most
+        wanted, total = [r.place for r in found], sum(r.n for r in found)
         rows = self._read("postings", commits)
         if not wanted:
             return rows.select("token", "id").limit(0)
         found = rows.where(place.isin(wanted)).join(tokens, "token", "left_semi")
         if len(commits) == 1:
             return found.where("live").select("token", "id")
+        # by fact and in as many tasks as there are postings for, so counts of a fact's tokens need no other shuffle
+        found = found.repartition(self._tasks(total, _READ_ROWS), "id")
         last = found.groupBy("token", "id").agg(F.max_by("live", "event").alias("live"))
         return last.where("live").select("token", "id")
 

@@ -102,3 +102,24 @@ def test_merge_candidates_and_remember(spark, tmp_path):
     assert tools.dispatch("remember", {"fact": "The deploy server runs linux"}).startswith("Updated #1")
     assert tools.dispatch("remember", {"fact": "deploy server runs"}).startswith("Already held as #1")
     assert tools.dispatch("remember", {"fact": "The build takes ten minutes"}).startswith("Remembered")
+
+
+def test_tasks_follow_the_postings_and_updates_move_no_text(spark, tmp_path, monkeypatch):
+    from millrace.sources import index as module
+
+    monkeypatch.setattr(module, "_READ_ROWS", 100)
+    monkeypatch.setattr(module, "_FILE_ROWS", {"postings": 200, "forward": 20})
+    index, plans = TokenIndex(spark, f"file://{tmp_path}/index", buckets=2), {}
+    inner = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().toString()) and inner(df, label))
+    index.update(spark.createDataFrame([(i, "insert", i, f"always word{i % 40} other") for i in range(1, 1201)], EVENT))
+    assert "Aggregate" not in plans["index-batch"]
+    index.update(spark.createDataFrame([(2000 + i, "update" if i % 3 else "forget", i, f"always last{i % 7}" if i % 3 else None) for i in range(1, 601)], EVENT))
+    ask = spark.createDataFrame([("always",), ("other",), ("last3",)], "token string")
+    found = index.postings(ask)
+    assert found.rdd.getNumPartitions() > 10  # with 100 postings a task; they were dealt to 4 tasks however many there were
+    got = {r.token: r.n for r in found.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"always": 1000, "other": 600, "last3": sum(i % 7 == 3 and i % 3 > 0 for i in range(1, 601))}
+    assert got == {r.token: r.df for r in index.frequencies(ask).collect()}
+    files = spark.read.parquet(f"file://{tmp_path}/index/postings/seg=0").where("token = 'always'").select(F.input_file_name().alias("f")).distinct().count()
+    assert files >= 3  # a frequent token is dealt to several tasks
