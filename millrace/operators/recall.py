@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from millrace.functions import text as T
 from millrace.functions import vocab as V
+from millrace.functions.counted import Counter, counted
 
 
 _FEW = 20_000  # tokens of queries that are sent to all tasks
@@ -42,6 +44,25 @@ def overlaps(queries: DataFrame, facts: DataFrame, column: str = "fact", name: s
     return hits.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias(name))
 
 
+def _best_by_row(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame | None:
+    """(query_id, id, overlap, cue): of each task's facts the best ``limit`` of each query, where nothing else ranks them.
+
+    All words of a fact are in its row, so the task that reads it counts them: no pair of
+    a query and a fact is a row before that. None if the queries have no word or too
+    many for that, or an id or a number that is no long, is null or comes twice.
+    """
+    if {facts.schema["id"].dataType, queries.schema["query_id"].dataType} != {LongType()}:
+        return None
+    asked = query_tokens(queries).limit(_FEW + 1).toArrow()
+    ids = facts.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    if not 0 < asked.num_rows <= _FEW or asked["query_id"].null_count or not ids.where("n > 1 OR id IS NULL").isEmpty():
+        return None
+    sent = queries.sparkSession.sparkContext.broadcast(Counter(asked, limit))
+    cues = [T.tokens(F.col("cues")).alias("hints")] if "cues" in facts.columns else []
+    words = facts.select("id", T.tokens(F.col("fact")).alias("words"), *cues)
+    return words.mapInArrow(lambda batches: counted(batches, sent.value), "query_id long, id long, overlap long, cue long")
+
+
 def keyword_rank(queries: DataFrame, facts: DataFrame, limit: int, as_of: Column | None = None) -> DataFrame:
     """K1: (query_id, id, overlap, cue, bonus, rank), best ``limit`` of each query.
 
@@ -50,13 +71,17 @@ def keyword_rank(queries: DataFrame, facts: DataFrame, limit: int, as_of: Column
     where the facts have them.
     """
     have = set(facts.columns)
-    hits = overlaps(queries, facts)
-    if "cues" in have:
+    plain = "folder" not in have and not ({"uses", "wins", "last_used"} <= have and as_of is not None)
+    hits = _best_by_row(queries, facts, limit) if plain else None
+    if hits is not None:
+        pass
+    elif "cues" in have:
+        hits = overlaps(queries, facts)
         cues = overlaps(queries, facts, "cues", "cue")
         hits = hits.join(cues, ["query_id", "id"], "full").fillna(0, ["overlap", "cue"])
         hits = hits.withColumn("cue", F.least("cue", F.lit(3).cast("long")))
     else:
-        hits = hits.withColumn("cue", F.lit(0).cast("long"))
+        hits = overlaps(queries, facts).withColumn("cue", F.lit(0).cast("long"))
     bonus = F.lit(0.0)
     columns = ["id"]
     if "folder" in have:
