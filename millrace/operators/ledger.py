@@ -65,7 +65,11 @@ def put_blobs(results: DataFrame, blobs: DataFrame | None = None, tombs: DataFra
     Equal results share the handle of the first; a live blob (fingerprint, handle)
     wins over a tomb; new handles follow the order of first sighting.
     """
-    marked = results.withColumn("fingerprint", fingerprint(F.col("tool"), F.col("body")))
+    return give_handles(results.select("seq", fingerprint(F.col("tool"), F.col("body")).alias("fingerprint")), blobs, tombs)
+
+
+def give_handles(marked: DataFrame, blobs: DataFrame | None = None, tombs: DataFrame | None = None) -> DataFrame:
+    """``put_blobs`` of results whose fingerprints are known (seq, fingerprint); no body is read."""
     firsts = marked.groupBy("fingerprint").agg(F.min("seq").alias("first"))
     known = firsts
     for table, name in ((blobs, "live"), (tombs, "dead")):
