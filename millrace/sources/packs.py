@@ -69,8 +69,9 @@ class Packs:
         return Layout(commits[-1], tuple(row.packs), tuple(row.files), tuple(n for n in there if n not in covered))
 
     def places(self, layout: Layout, kind: str) -> list[str]:
-        """The paths to read: ``kind`` of each pack (rows or state), and the tail."""
-        return [f"{self.path}/{p}/{kind}" for p in layout.packs] + [f"{self.source}/{name}" for name in layout.tail]
+        """The paths to read: ``kind`` of each pack (rows or state; rows where it has no state of its own), and the tail."""
+        own = lambda p: any(name == kind for name, _ in self._list(f"{self.path}/{p}"))
+        return [f"{self.path}/{p}/{kind if own(p) else 'rows'}" for p in layout.packs] + [f"{self.source}/{name}" for name in layout.tail]
 
     def _size(self, pack: str) -> int:
         return self._files.getContentSummary(self._hadoop(f"{self.path}/{pack}/rows")).getLength()
@@ -92,8 +93,10 @@ class Packs:
         name = f"pack-{uuid.uuid4().hex}"
         laid(read([*tail, *(f"{self.path}/{p}/rows" for p in absorbed)])).write.option("compression", "zstd").parquet(f"{self.path}/{name}/rows")
         if state is not None:
-            needed = state(read([f"{self.path}/{name}/rows"]))
-            needed.write.option("compression", "zstd").parquet(f"{self.path}/{name}/state")
+            rows = read([f"{self.path}/{name}/rows"])
+            needed = state(rows)
+            if 2 * needed.count() < rows.count():  # counted without texts
+                needed.write.option("compression", "zstd").parquet(f"{self.path}/{name}/state")
         present = {n for n, _ in self._list(self.source)}
         row = ([*kept, name], [n for n in (*old.covered, *old.tail) if n in present])
         self.spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/n={old.number + 1}")

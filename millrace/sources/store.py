@@ -93,7 +93,10 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table])
 
     def pack(self, table: str) -> None:
-        """Take the small files of a table over into a pack; events keep their history, and a pack of them its part of the state."""
+        """Take the small files of a table over into a pack; events keep their history, and a pack of them its part of the state.
+
+        Where the state needs half of the events or more, it is read from the pack's rows: a copy would spare few.
+        """
         events = table == "fact_events"
         by_event = lambda rows: rows.repartitionByRange("event").sortWithinPartitions("event")
         laid = by_event if events else lambda rows: rows.hint("rebalance")
@@ -412,6 +415,7 @@ def current_facts(events: DataFrame, turns: DataFrame) -> DataFrame:
         """The value at the last event with the condition."""
         return F.max_by(value, F.when(condition, F.col("event")))
 
+    none = F.lit(None).cast("string")
     written = F.col("op").isin("insert", "update")
     trust = F.col("op") == "trust"
     cleared = F.when(F.coalesce("reset", F.lit(False)), F.coalesce("cues", F.lit(""))).otherwise(F.col("cues"))
@@ -425,7 +429,8 @@ def current_facts(events: DataFrame, turns: DataFrame) -> DataFrame:
         last(F.when(trust, F.lit("user/hand/hand")).otherwise(F.col("lineage")), written | trust).alias("lineage"),
         F.max(F.when(trust, F.col("created_at"))).alias("trusted_at"),
         F.max(F.when(F.col("reset"), F.col("created_at"))).alias("reset_at"),
-        F.min_by(F.struct("fact", "category"), F.when(F.col("op") == "insert", F.col("event"))).alias("filed"),
+        # the folder of the first text is found where that is read, so no second text is moved
+        F.min_by(F.when(F.col("op") == "insert", T.auto_folder(F.col("fact"), F.col("category"))), F.when(F.col("op") == "insert", F.col("event"))).alias("filed"),
     )
     rows = state.where("op <> 'forget' AND e IS NOT NULL")
     since = rows.select(F.col("id").alias("fact_id"), "reset_at", "trusted_at")
@@ -435,7 +440,7 @@ def current_facts(events: DataFrame, turns: DataFrame) -> DataFrame:
     rows = rows.join(tallies, "id", "left").join(held, "id", "left")
     return rows.select(
         "id", "e.*", "context", F.coalesce("cues", F.lit("")).alias("cues"),
-        F.coalesce("moved", T.auto_folder(F.col("filed.fact"), F.col("filed.category"))).alias("folder"), "lineage",
+        F.coalesce("moved", "filed", T.auto_folder(none, none)).alias("folder"), "lineage",
         F.coalesce("grafted", F.lit("")).alias("grafted"),
         F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("wins", F.lit(0)).alias("wins"), "last_used",
         F.coalesce("unproven", F.lit(False)).alias("unproven"),

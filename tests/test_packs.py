@@ -105,3 +105,24 @@ def test_a_filling_that_dies_is_repeated_and_the_stream_goes_on(spark, tmp_path)
     store.mirror(put, f"{tmp_path}/cp", "m").awaitTermination()
     assert tries == [[("insert", 1, "one")]]
     assert got == [("insert", 1, "one"), ("insert", 3, "three"), ("update", 1, "one again"), ("forget", 3, None)]
+
+
+def test_a_pack_keeps_a_state_of_its_own_only_where_it_spares_half(spark, tmp_path):
+    import os
+
+    plain, store = Store(spark, f"file://{tmp_path}/p"), Store(spark, f"file://{tmp_path}/q")
+    kinds = "event long, op string, id long, fact string, category string, folder string"
+    once = spark.createDataFrame([(n, "insert", n, f"guitar string {n}", "decision", None) for n in range(40)] + [(50, "move", 3, None, None, "Tree/Moved")], kinds)
+    often = spark.createDataFrame([(100 + n, "update", n % 4, f"said {n}", "fact", None) for n in range(400)] + [(600, "update", 77, "no insert", "fact", None)], kinds)
+    states = []
+    for batch in (once, often):
+        plain.append("fact_events", batch)
+        store.append("fact_events", batch)
+        store.pack("fact_events")
+        packs = store._packs("fact_events").layout().packs
+        states.append(["state" in os.listdir(f"{tmp_path}/q/packs/fact_events/{p}") for p in packs])
+        assert _rows(store.facts()) == _rows(plain.facts()) and _rows(store.revisions()) == _rows(plain.revisions())
+        assert _rows(store.bonds()) == _rows(plain.bonds())
+    assert states[0] == [False] and states[1][-1] and store._read("fact_events", "state").count() < 120
+    folders = {r.id: r.folder for r in store.facts().collect()}
+    assert folders[3] == "Tree/Moved" and folders[5] == plain.facts().where("id = 5").first().folder and folders[77].startswith("Facts")
