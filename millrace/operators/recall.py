@@ -14,6 +14,7 @@ from pyspark.sql.types import LongType
 from millrace.functions import text as T
 from millrace.functions import vocab as V
 from millrace.functions.counted import Counter, counted
+from millrace.sources.staging import staged
 
 
 _FEW = 20_000  # tokens of queries that are sent to all tasks
@@ -63,6 +64,55 @@ def _best_by_row(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame
     return words.mapInArrow(lambda batches: counted(batches, sent.value), "query_id long, id long, overlap long, cue long")
 
 
+def _unique(rows: DataFrame, column: str) -> bool:
+    """Whether no value of a column is null or there twice."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).unionByName(rows.where(F.col(column).isNull()).select(column, F.lit(0).cast("long").alias("n"))).isEmpty()
+
+
+def _alike(facts: DataFrame, limit: int) -> DataFrame:
+    """(id, cls, words, place): facts that have the same words and folder are one class, named by its newest id; of each the newest ``limit`` ids.
+
+    Whatever ranks by words and folder, then by id, ranks the facts of a class alike: a query's best
+    ``limit`` facts are among the newest of its best ``limit`` classes.
+    """
+    have = [c for c in ("folder",) if c in facts.columns]
+    rows = facts.select("id", F.array_sort(T.tokens(F.col("fact"))).alias("words"), *have).where(F.size("words") > 0)
+    newest = Window.partitionBy("words", *have).orderBy(F.desc("id"))
+    placed = rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit)
+    return staged(placed.withColumn("cls", F.max("id").over(Window.partitionBy("words", *have))), "facts-alike")
+
+
+def _best_by_class(terms: DataFrame, queries: DataFrame, alike: DataFrame, limit: int, points: Column, share: float, first: str) -> DataFrame:
+    """(query_id, id, points, bonus, score, rank): the best ``limit`` facts of each query (query_id, text) by its terms (query_id, term, weight).
+
+    Queries with one set of terms that facts have and one routing are a class too, so classes meet
+    and only the best of them become rows of queries. ``points`` is an aggregate, of that name, over the weights of
+    shared terms; ``share`` is what a routed sector adds; ``first`` is the column to rank by before the bonus.
+    """
+    classes = alike.where("place = 1")
+    index = classes.select("cls", F.explode("words").alias("term"))
+    met = terms.join(index.select("term").distinct(), "term", "left_semi")
+    asked = met.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    filed = "folder" in alike.columns
+    routed = T.route_sectors(F.col("text")) if filed else F.array().cast("array<string>")
+    asked = staged(asked.join(queries.select("query_id", routed.alias("routed")), "query_id"), "queries-terms")
+    kinds = asked.groupBy("terms", "routed").agg(F.min("query_id").alias("kind"))
+    kinds, asked = staged(kinds, "queries-alike"), staged(asked.join(kinds, ["terms", "routed"]).select("query_id", "kind"), "queries-kinds")
+    hits = kinds.select("kind", F.inline("terms")).join(index, "term").groupBy("kind", "cls").agg(points)
+    bonus = F.lit(0.0)
+    if filed:
+        hits = hits.join(kinds.select("kind", "routed"), "kind").join(classes.select("cls", "folder"), "cls")
+        bonus = F.when(F.array_contains("routed", T.sector_of(F.col("folder"))), share).otherwise(0.0)
+    hits = hits.select("kind", "cls", "points", bonus.alias("bonus"))
+    hits = hits.withColumn("score", F.round(F.col("points") + F.col("bonus"), 9))
+    order = [F.desc("points"), F.desc("bonus")] if first == "points" else [F.desc(first)]
+    best = top(hits, "kind", [*order, F.desc("cls")], limit).drop("rank")
+    found = best.hint("merge").join(alike.select("cls", "id"), "cls")
+    found = top(found, "kind", [*order, F.desc("id")], limit)
+    listed = found.groupBy("kind").agg(F.collect_list(F.struct("id", "points", "bonus", "score", "rank")).alias("rows"))
+    return asked.join(listed, "kind").select("query_id", F.inline("rows"))
+
+
 def keyword_rank(queries: DataFrame, facts: DataFrame, limit: int, as_of: Column | None = None) -> DataFrame:
     """K1: (query_id, id, overlap, cue, bonus, rank), best ``limit`` of each query.
 
@@ -73,6 +123,12 @@ def keyword_rank(queries: DataFrame, facts: DataFrame, limit: int, as_of: Column
     have = set(facts.columns)
     plain = "folder" not in have and not ({"uses", "wins", "last_used"} <= have and as_of is not None)
     hits = _best_by_row(queries, facts, limit) if plain else None
+    aged = {"uses", "wins", "last_used"} <= have and as_of is not None
+    if "folder" in have and "cues" not in have and not aged and _unique(facts, "id") and _unique(queries, "query_id"):
+        terms = query_tokens(queries).select("query_id", F.col("token").alias("term"), F.lit(1).alias("weight"))
+        rows = _best_by_class(terms, queries, _alike(facts, limit), limit, F.count(F.lit(1)).alias("points"), V.SECTOR_BONUS, "points")
+        best = rows.select("query_id", "id", F.col("points").alias("overlap"), F.lit(0).cast("long").alias("cue"), "bonus", "rank")
+        return _with_newest(best, queries, facts, limit)
     if hits is not None:
         pass
     elif "cues" in have:
@@ -96,6 +152,11 @@ def keyword_rank(queries: DataFrame, facts: DataFrame, limit: int, as_of: Column
         hits = hits.join(facts.select(*columns).hint("merge"), "id")
     hits = hits.select("query_id", "id", "overlap", "cue", F.round(bonus, 9).alias("bonus"))
     best = top(hits, "query_id", [F.desc("overlap"), F.desc("cue"), F.desc("bonus"), F.desc("id")], limit)
+    return _with_newest(best, queries, facts, limit)
+
+
+def _with_newest(best: DataFrame, queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """Ranked facts of queries, and the newest ones for queries without tokens."""
     bare = queries.where(F.size(T.tokens(F.col("text"))) == 0).select("query_id")
     newest = facts.select("id").orderBy(F.desc("id")).limit(limit)
     zero = [F.lit(0).cast("long").alias(c) for c in ("overlap", "cue")]
@@ -148,22 +209,26 @@ def neighbours(facts: DataFrame) -> DataFrame:
 def pellets(queries: DataFrame, facts: DataFrame, routed: bool = True) -> DataFrame:
     """R2: (query_id, term, weight): terms near a query's own, each with its strongest weight.
 
-    Stems meet in buckets of their first four characters; neighbours are counted
-    only around query words, so no pair table of the whole corpus is built.
+    Stems meet in buckets of their first four characters, each word once; neighbours are counted
+    only around query words, so no pair table of the whole corpus is built, and
+    facts of the same words are counted together.
     """
     asked = query_tokens(queries).withColumnRenamed("token", "word")
-    index = fact_tokens(facts)
+    sets = facts.select("id", F.array_sort(T.tokens(F.col("fact"))).alias("words")).where(F.size("words") > 0)
+    index = sets.groupBy("words").agg(F.min("id").alias("id"), F.count("id").alias("facts")).select("id", "facts", F.explode("words").alias("token"))
     stored = index.select("token").distinct().where(F.length("token") >= V.STEM_MIN)
+    words = asked.select("word").distinct()
     stems = (
-        asked.where(F.length("word") >= V.STEM_MIN)
+        words.where(F.length("word") >= V.STEM_MIN)
         .withColumn("head", F.left("word", F.lit(V.STEM_MIN)))
         .join(stored.withColumn("head", F.left("token", F.lit(V.STEM_MIN))), "head")
         .where(T.same_stem(F.col("word"), F.col("token")))
+        .select("word", "token")
+        .join(asked, "word")
         .select("query_id", F.col("token").alias("term"), F.lit(V.PELLETS["stem"]).alias("weight"))
     )
-    words = asked.select("word").distinct()
     holding = index.hint("merge").join(words, index["token"] == words["word"]).select("id", "word")
-    counted = holding.join(index.hint("merge"), "id").where("word <> token").groupBy("word", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = holding.join(index.hint("merge"), "id").where("word <> token").groupBy("word", "token").agg(F.sum("facts").alias("n"))
     near = top(counted, "word", [F.desc("n"), F.asc("token")], V.NEIGHBOURS).where(F.col("n") >= V.MIN_COOCCURRENCE)
     near = asked.join(near, "word").select(
         "query_id", F.col("token").alias("term"), F.lit(V.PELLETS["neighbour"]).alias("weight")
@@ -202,14 +267,24 @@ def scatter(
     bonds: DataFrame | None = None,
     as_of: Column | None = None,
     id_term: float = 0.0,
+    most_served: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): up to three facts that the keywords missed.
 
     ``served`` (query_id, id) is left out. A fact needs pellet or bond evidence;
     sector and familiarity only order. Ids break ties; ``id_term`` (1e-6 for the
-    older scoring) adds a share of the id to the score.
+    older scoring) adds a share of the id to the score. ``most_served`` is the most that
+    ``served`` has of a query, where that is known: then classes of facts and of queries meet instead of rows.
     """
     have = set(facts.columns)
+    aged = {"uses", "wins", "last_used"} <= have and as_of is not None
+    bounded = served is None or most_served is not None
+    if bounded and bonds is None and not aged and not id_term and _unique(facts, "id") and _unique(queries, "query_id"):
+        limit = V.SCATTER_FILL + (most_served or 0)
+        near = pellets(queries, facts, "folder" in have)
+        rows = _best_by_class(near, queries, _alike(facts, limit), limit, F.sum("weight").alias("points"), V.PELLETS["sector"], "score")
+        rows = rows.select("query_id", "id", "score")
+        return _filled(rows if served is None else rows.join(served.select("query_id", "id"), ["query_id", "id"], "left_anti"))
     hits = fact_tokens(facts).withColumnRenamed("token", "term").hint("merge").join(pellets(queries, facts, "folder" in have), "term")
     score = hits.groupBy("query_id", "id").agg(F.sum("weight").alias("hit"))
     if bonds is not None:
@@ -226,6 +301,11 @@ def scatter(
         score = score.join(facts.select("id", "uses", "wins", "last_used").hint("merge"), "id")
         order = order + T.familiarity(F.col("uses"), F.col("wins"), F.col("last_used"), as_of) * V.PELLETS["sector"]
     score = score.select("query_id", "id", F.round(order + F.col("id") * id_term, 9).alias("score"))
+    return _filled(score)
+
+
+def _filled(score: DataFrame) -> DataFrame:
+    """The best facts of each query that are not far below its best one."""
     best = F.max("score").over(Window.partitionBy("query_id"))
     ranked = top(score, "query_id", [F.desc("score"), F.desc("id")], V.SCATTER_FILL).withColumn("best", best)
     return ranked.where(F.col("score") >= F.col("best") * V.SCATTER_FLOOR).drop("best")
@@ -255,7 +335,7 @@ def recall(
     if spread:
         served = fused.where(~F.col("key").startswith("txt:")).select("query_id", F.col("key").try_cast("long").alias("id"))
         count = fused.groupBy("query_id").agg(F.max("rank").alias("base"))
-        more = scatter(queries, facts, served, bonds, as_of).join(count, "query_id", "left")
+        more = scatter(queries, facts, served, bonds, as_of, most_served=limit).join(count, "query_id", "left")
         more = more.withColumn("rank", F.col("rank") + F.coalesce("base", F.lit(0))).where(F.col("rank") <= limit)
         fused = fused.unionByName(
             more.select("query_id", F.col("id").cast("string").alias("key"), "score", "rank", F.lit("scatter").alias("source"))

@@ -91,3 +91,13 @@ def test_predict_and_hop(spark):
     assert [(r.id, r.score) for r in got] == [(2, 2.9), (1, 0.77)]
     edges = spark.createDataFrame([(1, 3, 5), (2, 3, 1), (1, 2, 9)], "a long, b long, weight long")
     assert [(r.id, r.weight) for r in tasks.associated(got and spark.createDataFrame([(0, 1), (0, 2)], "query_id long, id long"), edges).collect()] == [(3, 6)]
+
+
+def test_facts_alike_are_ranked_as_one(spark):
+    rows = [(k, f"The garden door {'is blue' if k % 3 else 'was painted'}", f"Facts/{'Work' if k % 2 else 'Development'}") for k in range(60)]
+    many = spark.createDataFrame(rows, "id long, fact string, folder string")
+    asked = ask(spark, "gardens painting by a client", "gardens", "blue doors", "of the")
+    assert recall._alike(many, 2).count() == 8
+    none = spark.createDataFrame([], "query_id long, id long")
+    by_rows = {tuple(r) for r in recall.scatter(asked, many, none).select("query_id", "id", "score", "rank").collect()}
+    assert {tuple(r) for r in recall.scatter(asked, many).select("query_id", "id", "score", "rank").collect()} == by_rows and by_rows
